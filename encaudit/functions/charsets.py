@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from encaudit.functions.arrays import bind
+
 REPLACEMENT = "\ufffd"
 
 # Byte-order marks and the UTF-8 bytes of U+FFFD.
@@ -88,12 +90,13 @@ def is_unicode_label(label: Column) -> Column:
 
 def bom_name(content: Column) -> Column:
     """Name of the byte-order mark at the start, null if there is none."""
-    return (
-        F.when(F.startswith(content, raw(BOM_UTF32_LE)), "utf-32-le")
-        .when(F.startswith(content, raw(BOM_UTF32_BE)), "utf-32-be")
-        .when(F.startswith(content, raw(BOM_UTF8)), "utf-8")
-        .when(F.startswith(content, raw(BOM_UTF16_LE)), "utf-16-le")
-        .when(F.startswith(content, raw(BOM_UTF16_BE)), "utf-16-be")
+    return bind(
+        F.substring(content, 1, 4),
+        lambda head: F.when(F.startswith(head, raw(BOM_UTF32_LE)), "utf-32-le")
+        .when(F.startswith(head, raw(BOM_UTF32_BE)), "utf-32-be")
+        .when(F.startswith(head, raw(BOM_UTF8)), "utf-8")
+        .when(F.startswith(head, raw(BOM_UTF16_LE)), "utf-16-le")
+        .when(F.startswith(head, raw(BOM_UTF16_BE)), "utf-16-be"),
     )
 
 
@@ -115,6 +118,10 @@ def detect_label(content: Column) -> Column:
     Cheap byte scans come first. The one-character-per-byte view is only built
     for bytes that hold NUL or are not UTF-8.
     """
+    return bind(content, _label_of)
+
+
+def _label_of(content: Column) -> Column:
     bom = bom_name(content)
     text = utf8_view(content)
     view = latin1_view(content)
@@ -157,8 +164,13 @@ def decode_plan(content: Column, label: Column) -> Column:
     Fields: ``decode_charset``, ``write_charset``, ``bom`` (written back),
     ``skip`` (bytes of the mark that are there), ``family``.
     """
-    name = normalize_label(label)
-    mark = bom_name(content)
+    return bind(
+        F.struct(normalize_label(label).alias("name"), bom_name(content).alias("mark")),
+        lambda known: bind(_charsets(known["name"], known["mark"]), _plan),
+    )
+
+
+def _charsets(name: Column, mark: Column) -> Column:
     decode_charset = (
         F.when(mark == "utf-8", "utf-8-sig")
         .when(mark.startswith("utf-16"), "utf-16")
@@ -172,13 +184,22 @@ def decode_plan(content: Column, label: Column) -> Column:
         .when(name == "utf-32", "utf-32-le")
         .otherwise(name)
     )
-    bom = F.when(mark.isNull() & (name == "utf-8-sig"), raw(BOM_UTF8)).otherwise(bom_bytes(mark))
+    promised = mark.isNull() & (name == "utf-8-sig")
     return F.struct(
         decode_charset.alias("decode_charset"),
         write_charset.alias("write_charset"),
-        bom.alias("bom"),
-        F.octet_length(bom_bytes(mark)).alias("skip"),
-        family_of(write_charset).alias("family"),
+        bom_bytes(mark).alias("present"),
+        F.when(promised, raw(BOM_UTF8)).otherwise(bom_bytes(mark)).alias("bom"),
+    )
+
+
+def _plan(known: Column) -> Column:
+    return F.struct(
+        known["decode_charset"].alias("decode_charset"),
+        known["write_charset"].alias("write_charset"),
+        known["bom"].alias("bom"),
+        F.octet_length(known["present"]).alias("skip"),
+        family_of(known["write_charset"]).alias("family"),
     )
 
 
@@ -212,6 +233,13 @@ def _hex_be(body: Column, family: Column) -> Column:
 
 def is_decodable(body: Column, family: Column) -> Column:
     """True if strict decoding of the bytes succeeds. Null family gives false."""
+    return bind(
+        F.struct(body.alias("body"), family.alias("family")),
+        lambda bound: _is_decodable(bound["body"], bound["family"]),
+    )
+
+
+def _is_decodable(body: Column, family: Column) -> Column:
     digits = _hex_be(body, family)
     return F.coalesce(
         F.when(family == "utf8", F.is_valid_utf8(utf8_view(body)))
@@ -244,6 +272,13 @@ def decode_lossy(body: Column, family: Column, substitute: str = REPLACEMENT) ->
     ``substitute`` other than U+FFFD must be one ASCII character; it serves to
     tell malformed bytes from a real U+FFFD and keeps every index the same.
     """
+    return bind(
+        F.struct(body.alias("body"), family.alias("family")),
+        lambda bound: _decode(bound["body"], bound["family"], substitute),
+    )
+
+
+def _decode(body: Column, family: Column, substitute: str) -> Column:
     code = f"{ord(substitute):04X}"
     digits = _hex_be(body, family)
     view = latin1_view(body)
@@ -261,7 +296,7 @@ def decode_lossy(body: Column, family: Column, substitute: str = REPLACEMENT) ->
             ),
             REPLACEMENT,
         )
-    sound = is_decodable(body, family)
+    sound = _is_decodable(body, family)
     mended16 = F.decode(F.unhex(_mend(digits, _UNIT16, _BAD16, code)), "UTF-16BE")
     mended32 = F.unhex(_mend(digits, _UNIT32, _BAD32, "0000" + code))
     return (
@@ -286,7 +321,13 @@ def decode_lossy(body: Column, family: Column, substitute: str = REPLACEMENT) ->
 
 def decode_strict(body: Column, family: Column) -> Column:
     """Text of the bytes after the mark, null if they do not decode."""
-    return F.when(is_decodable(body, family), decode_lossy(body, family))
+    return bind(
+        F.struct(body.alias("body"), family.alias("family")),
+        lambda bound: F.when(
+            _is_decodable(bound["body"], bound["family"]),
+            _decode(bound["body"], bound["family"], REPLACEMENT),
+        ),
+    )
 
 
 # ---------------------------------------------------------------- encoding
@@ -294,6 +335,13 @@ def decode_strict(body: Column, family: Column) -> Column:
 
 def is_encodable(text: Column, family: Column) -> Column:
     """True if every character of the text exists in the charset."""
+    return bind(
+        F.struct(text.alias("text"), family.alias("family")),
+        lambda bound: _is_encodable(bound["text"], bound["family"]),
+    )
+
+
+def _is_encodable(text: Column, family: Column) -> Column:
     defined = "".join(wide for _, wide in _CP1252_DEFINED)
     return F.coalesce(
         F.when(family.isin(UNICODE_FAMILIES), F.lit(True))
@@ -306,11 +354,18 @@ def is_encodable(text: Column, family: Column) -> Column:
 
 def encode_text(text: Column, family: Column) -> Column:
     """Bytes of the text without a mark, null if a character does not exist there."""
+    return bind(
+        F.struct(text.alias("text"), family.alias("family")),
+        lambda bound: _encode(bound["text"], bound["family"]),
+    )
+
+
+def _encode(text: Column, family: Column) -> Column:
     utf32 = F.hex(F.encode(text, "UTF-32"))
     narrow = "".join(c for c, _ in _CP1252_DEFINED)
     wide = "".join(w for _, w in _CP1252_DEFINED)
     return F.when(
-        is_encodable(text, family),
+        _is_encodable(text, family),
         F.when(family == "utf8", F.encode(text, "UTF-8"))
         .when(family == "utf16le", F.encode(text, "UTF-16LE"))
         .when(family == "utf16be", F.encode(text, "UTF-16BE"))
@@ -328,8 +383,12 @@ def encode_file(text: Column, plan: Column) -> Column:
 
 def with_bom(encoded: Column, plan: Column) -> Column:
     """Encoded text with the mark of its plan in front, unless it is there."""
-    marked = F.startswith(encoded, plan["bom"])
-    return F.when(marked, encoded).otherwise(F.concat(plan["bom"], encoded))
+    return bind(
+        F.struct(encoded.alias("encoded"), plan["bom"].alias("bom")),
+        lambda known: F.when(
+            F.startswith(known["encoded"], known["bom"]), known["encoded"]
+        ).otherwise(F.concat(known["bom"], known["encoded"])),
+    )
 
 
 def byte_offset(text: Column, plan: Column, index: Column) -> Column:

@@ -47,7 +47,8 @@ FINDING_FIELDS = [
 
 def has_damage(content: Column, plan: Column) -> Column:
     """Cheap test on the raw bytes that every file with findings passes."""
-    return F.coalesce(F.contains(content, scan_pattern(plan["family"])), F.lit(False))
+    pattern = bind(plan["family"], scan_pattern)
+    return F.coalesce(F.contains(content, pattern), F.lit(False))
 
 
 def scan_text(body: Column, family: Column) -> Column:
@@ -153,20 +154,41 @@ def finding_array(
     damaged character and the offset inside it. A file without findings, or
     whose charset is not supported, gives an empty array.
     """
-    plan = decode_plan(content, label)
+    none = F.array().cast(_array_type(with_text, with_word))
+
+    def planned(bound: Column) -> Column:
+        start = F.struct(
+            bound["content"].alias("content"),
+            decode_plan(bound["content"], bound["label"]).alias("plan"),
+            F.lower(bound["extension"]).alias("extension"),
+        )
+        return bind(
+            start,
+            lambda file: F.when(
+                has_damage(file["content"], file["plan"]), scanned(file)
+            ).otherwise(none),
+        )
 
     def scanned(bound: Column) -> Column:
         family = bound["plan"]["family"]
-        body = body_of(bound["content"], bound["plan"]["skip"])
+        skip = bound["plan"]["skip"]
         return bind(
             F.struct(
-                body.alias("body"),
+                body_of(bound["content"], skip).alias("body"),
                 family.alias("family"),
-                bound["plan"]["skip"].alias("skip"),
-                scan_text(body, family).alias("text"),
+                skip.alias("skip"),
                 bound["extension"].alias("extension"),
             ),
-            measured,
+            lambda part: bind(
+                F.struct(
+                    part["body"].alias("body"),
+                    part["family"].alias("family"),
+                    part["skip"].alias("skip"),
+                    scan_text(part["body"], part["family"]).alias("text"),
+                    part["extension"].alias("extension"),
+                ),
+                measured,
+            ),
         )
 
     def measured(bound: Column) -> Column:
@@ -240,12 +262,10 @@ def finding_array(
 
         return F.transform(bound["states"], row)
 
-    start = F.struct(
-        content.alias("content"), plan.alias("plan"), F.lower(extension).alias("extension")
+    given = F.struct(
+        content.alias("content"), label.alias("label"), extension.alias("extension")
     )
-    found = bind(start, scanned)
-    none = F.array().cast(_array_type(with_text, with_word))
-    return F.when(has_damage(content, plan), found).otherwise(none)
+    return bind(given, planned)
 
 
 def _lines(bound: Column, wanted: bool) -> Column:

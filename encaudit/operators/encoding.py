@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from encaudit.functions.arrays import bind
 from encaudit.functions.charsets import (
     BOM_UTF8,
     body_of,
@@ -48,15 +49,29 @@ def with_plan(files: DataFrame) -> DataFrame:
 def with_text(files: DataFrame) -> DataFrame:
     """Adds ``plan`` and ``text``; malformed input becomes U+FFFD, never an error."""
     planned = with_plan(files)
-    body = body_of(F.col("content"), F.col("plan.skip"))
-    return planned.withColumn("text", decode_lossy(body, F.col("plan.family")))
+    text = bind(
+        F.struct("content", "plan"),
+        lambda file: decode_lossy(
+            body_of(file["content"], file["plan"]["skip"]), file["plan"]["family"]
+        ),
+    )
+    return planned.withColumn("text", text)
 
 
 def to_utf8_bom(content: Column, label: Column) -> Column:
     """Content as UTF-8 with a byte-order mark, null if it does not decode."""
-    plan = decode_plan(content, label)
-    text = decode_strict(body_of(content, plan["skip"]), plan["family"])
-    return F.concat(raw(BOM_UTF8), F.encode(text, "UTF-8"))
+    return bind(
+        F.struct(content.alias("content"), decode_plan(content, label).alias("plan")),
+        lambda file: F.concat(
+            raw(BOM_UTF8),
+            F.encode(
+                decode_strict(
+                    body_of(file["content"], file["plan"]["skip"]), file["plan"]["family"]
+                ),
+                "UTF-8",
+            ),
+        ),
+    )
 
 
 def with_converted(files: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ def spread(df: DataFrame, max_bytes: int = 256 * 1024 * 1024) -> DataFrame:
     rows. Only an input whose size is known and below ``max_bytes`` is shuffled;
     a large one already has more splits than cores.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     if size > max_bytes:
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

@@ -9,9 +9,11 @@ driver nor one task ever holds the whole listing.
 from __future__ import annotations
 
 import os
+import sys
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +22,9 @@ from encaudit.functions.kinds import SAMPLE_BYTES
 from encaudit.functions.paths import is_pruned, skip_names
 from encaudit.session import settle
 
+# Executors get the functions of this module with the task, so they need no install.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _ENTRY = T.StructType(
     [
         T.StructField("path", T.StringType()),

@@ -32,7 +32,9 @@ def file_kind(head: Column, length: Column) -> Column:
     """
     sample = head_sample(head)
     cut = F.encode(F.regexp_replace(latin1_view(sample), _CUT, ""), "ISO-8859-1")
-    kept = F.when(length > SAMPLE_BYTES, cut).otherwise(sample)
+    # a sample with NUL is not UTF-8 text, and must keep the byte pairs of UTF-16
+    pure = ~F.contains(sample, raw("00"))
+    kept = F.when((length > SAMPLE_BYTES) & pure, cut).otherwise(sample)
 
     def judge(bound: Column) -> Column:
         data, label = bound["sample"], bound["label"]

@@ -20,9 +20,6 @@ from encaudit.sources.tables import export_files
 from encaudit.sources.tree import scan_files as scan_tree
 from registry import corpus as c
 
-PATH = F.col("path")
-CONTENT = F.col("content")
-RELATIVE = F.substring(PATH, F.lit(2), F.length(PATH)).alias("relative_path")
 FINDING_COLUMNS = [
     "path", "finding_no", "line", "char_position", "char_found",
     "byte_sequence_file_pos", "absolute_char_index", "comment_context", "is_commented",
@@ -46,7 +43,7 @@ def _damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return c.documents(spark, sf_dir).select("path", RELATIVE)
+    return c.documents(spark, sf_dir).select("path", F.expr("substr(path, 2) AS relative_path"))
 
 
 # ------------------------------------------------------------ files and directories
@@ -59,9 +56,9 @@ def scan_files(spark, sf_dir):
     export_files(_clean(spark, sf_dir), local)
     start = len(local) + 1
     return scan_tree(spark, local).select(
-        F.substring(PATH, F.lit(start), F.length(PATH)).alias("path"),
-        F.octet_length(CONTENT).cast("long").alias("length"),
-        F.sha2(CONTENT, 256).alias("digest"),
+        F.substring(F.col("path"), F.lit(start), F.length(F.col("path"))).alias("path"),
+        F.octet_length(F.col("content")).cast("long").alias("length"),
+        F.sha2(F.col("content"), 256).alias("digest"),
     )
 
 
@@ -78,7 +75,7 @@ def pruned_dirs(spark, sf_dir):
 
 @query
 def file_extension(spark, sf_dir):
-    return _listing(spark, sf_dir).select("path", paths.extension(PATH).alias("extension"))
+    return _listing(spark, sf_dir).select("path", paths.extension(F.col("path")).alias("extension"))
 
 
 @query
@@ -114,7 +111,7 @@ def census_totals(spark, sf_dir):
 
 @query
 def bom_kind(spark, sf_dir):
-    mark = F.coalesce(charsets.bom_name(CONTENT), F.lit("none"))
+    mark = F.coalesce(charsets.bom_name(F.col("content")), F.lit("none"))
     return _clean(spark, sf_dir).select("path", mark.alias("bom"))
 
 
@@ -185,7 +182,7 @@ def transcode_utf8_bom(spark, sf_dir):
 @query
 def backup_originals(spark, sf_dir):
     kept = routing.originals_to_back_up(_clean(spark, sf_dir), c.EXTENSIONS)
-    return kept.select("path", "label", F.md5(CONTENT).alias("digest"))
+    return kept.select("path", "label", F.md5(F.col("content")).alias("digest"))
 
 
 @query
@@ -220,7 +217,7 @@ def scan_pattern(spark, sf_dir):
 @query
 def raw_offsets(spark, sf_dir):
     files = findings.damaged_files(_damaged(spark, sf_dir))
-    return files.select("path", F.explode(offsets_of(CONTENT, F.col("label"))).alias("byte_pos"))
+    return files.select("path", F.explode(offsets_of(F.col("content"), F.col("label"))).alias("byte_pos"))
 
 
 @query
@@ -265,7 +262,7 @@ def context_python(spark, sf_dir):
 @query
 def context_dispatch(spark, sf_dir):
     found = findings.findings(_damaged(spark, sf_dir))
-    grouped = found.groupBy(paths.extension(PATH).alias("extension"), "comment_context")
+    grouped = found.groupBy(paths.extension(F.col("path")).alias("extension"), "comment_context")
     return grouped.agg(F.count(F.lit(1)).alias("n_findings"))
 
 

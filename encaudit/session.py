@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,13 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute a DataFrame once into the shared folder, for use in several plans.
+    """Compute a DataFrame once into a table in the shared folder, and read that.
 
-    A reliable checkpoint survives the loss of executors and keeps the plans
-    that read it from computing it again.
+    The table survives the loss of executors, keeps later plans from computing
+    its rows again, and lets them read just the columns and rows they need. Row
+    order is not kept.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    table = f"{shared_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(table)
+    return df.sparkSession.read.schema(df.schema).parquet(table)
 
 
 def spread(df: DataFrame, max_bytes: int = 256 * 1024 * 1024) -> DataFrame:

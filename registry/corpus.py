@@ -8,11 +8,13 @@ the single-byte charsets all but a few, or nothing would tell them from UTF-8).
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from encaudit.functions.charsets import encode_text
-from encaudit.session import spread
+from encaudit.session import settle, spread
 from encaudit.sources.tables import files_from_table
 
 FOLDERS = ["src", "lib", ".git", "node_modules", "docs"]
@@ -130,7 +132,21 @@ def stored(text: Column, charset: Column) -> Column:
 
 
 def corpus(spark: SparkSession, sf_dir: str, damaged: bool = False) -> DataFrame:
-    """``path``, ``length`` and ``content`` of every document as a file."""
+    """``path``, ``length`` and ``content`` of every document as a file.
+
+    Written once per session as a table of files, which the queries then read.
+    """
+    return _written(spark.sparkContext.applicationId, sf_dir, damaged)
+
+
+@functools.lru_cache(maxsize=8)
+def _written(application: str, sf_dir: str, damaged: bool) -> DataFrame:
+    spark = SparkSession.getActiveSession()
+    return settle(made_corpus(spark, sf_dir, damaged))
+
+
+def made_corpus(spark: SparkSession, sf_dir: str, damaged: bool = False) -> DataFrame:
+    """The corpus as a plan over the documents, not yet written."""
     table = documents(spark, sf_dir).select("path", "charset", shown_text(damaged).alias("text"))
     content = stored(F.col("text"), F.col("charset"))
     return files_from_table(table, F.col("path"), content)

@@ -13,6 +13,7 @@ from encaudit.functions import charsets, contexts, paths
 from encaudit.functions.findings import raw_offsets as offsets_of
 from encaudit.functions.suggestions import sanitize_suggestion as sanitize
 from encaudit.operators import census, encoding, findings, repair, reports, routing, selection
+from encaudit.plans.audit import Audit, audit
 from encaudit.plans.repair import Repair
 from encaudit.plans.repair import repair as run_repair
 from encaudit.session import shared_dir
@@ -403,57 +404,61 @@ def repair_totals(spark, sf_dir):
 # ------------------------------------------------------------ reports
 
 
-def _audited(spark, sf_dir, convert: bool, **options) -> DataFrame:
-    files = c.corpus(spark, sf_dir, damaged=True)
-    return routing.audit_files(files, c.EXTENSIONS, checks=True, convert=convert, **options)
+@functools.lru_cache(maxsize=8)
+def _run_audit(application: str, sf_dir: str, convert: bool) -> Audit:
+    files = c.corpus(SparkSession.getActiveSession(), sf_dir, damaged=True)
+    return audit(files, c.EXTENSIONS, checks=True, convert=convert, with_string=convert)
+
+
+def _audit(spark, sf_dir, convert: bool) -> Audit:
+    return _run_audit(spark.sparkContext.applicationId, sf_dir, convert)
 
 
 @query
 def encoding_histogram(spark, sf_dir):
-    return reports.encoding_histogram(routing.file_results(_audited(spark, sf_dir, False)))
+    return reports.encoding_histogram(_audit(spark, sf_dir, False).results)
 
 
 @query
 def converted_files(spark, sf_dir):
-    return reports.converted_files(routing.file_results(_audited(spark, sf_dir, True)))
+    return reports.converted_files(_audit(spark, sf_dir, True).results)
 
 
 @query
 def skipped_files(spark, sf_dir):
-    return reports.skipped_files(routing.file_results(_audited(spark, sf_dir, True)))
+    return reports.skipped_files(_audit(spark, sf_dir, True).results)
 
 
 @query
 def error_files(spark, sf_dir):
-    return reports.error_files(routing.file_results(_audited(spark, sf_dir, True)))
+    return reports.error_files(_audit(spark, sf_dir, True).results)
 
 
 @query
 def findings_in_comments(spark, sf_dir):
-    found = routing.audited_findings(_audited(spark, sf_dir, False))
+    found = _audit(spark, sf_dir, False).findings
     return reports.findings_in_comments(found)
 
 
 @query
 def findings_in_code(spark, sf_dir):
-    found = routing.audited_findings(_audited(spark, sf_dir, False))
+    found = _audit(spark, sf_dir, False).findings
     return reports.findings_in_code(found, only_relevant=True)
 
 
 @query
 def findings_unsupported(spark, sf_dir):
-    found = routing.audited_findings(_audited(spark, sf_dir, False))
+    found = _audit(spark, sf_dir, False).findings
     return reports.findings_unsupported(found)
 
 
 @query
 def findings_report(spark, sf_dir):
-    found = routing.audited_findings(_audited(spark, sf_dir, True, with_text=True))
+    found = _audit(spark, sf_dir, True).findings
     return reports.findings_report(found, with_string=True)
 
 
 @query
 def scan_totals(spark, sf_dir):
     files = c.corpus(spark, sf_dir, damaged=True)
-    results = routing.file_results(routing.audit_files(files, c.EXTENSIONS))
-    return reports.scan_totals(files, results)
+    return reports.scan_totals(files, _audit(spark, sf_dir, False).results)

@@ -44,6 +44,9 @@ _CP1252 = bytes(range(0x80, 0xA0)).decode("cp1252", "replace")
 _CP1252_DEFINED = [(c, w) for c, w in zip(_C1, _CP1252, strict=True) if w != REPLACEMENT]
 _CP1252_UNDEFINED = "".join(c for c, w in zip(_C1, _CP1252, strict=True) if w == REPLACEMENT)
 
+# Control bytes that no text holds.
+_CONTROLS = r"\x00-\x08\x0b\x0e-\x1f"
+
 # One well-formed unit in upper-case hex (big-endian), and what a decoder replaces.
 _UNIT16 = "(?:(?:[0-9A-CEF][0-9A-F]|D[0-7])[0-9A-F]{2}|D[89AB][0-9A-F]{2}D[C-F][0-9A-F]{2})"
 _BAD16 = r"(?:D[89AB][0-9A-F]{4}\z|[0-9A-F]{4}|[0-9A-F]{2}\z)"
@@ -132,15 +135,19 @@ def _label_of(content: Column) -> Column:
     high = F.length(F.translate(F.regexp_replace(view, "(?s)(.)(.)", "$2"), nul, ""))
     first_nul = (pairs - low) / pairs >= 0.30
     second_nul = (pairs - high) / pairs >= 0.30
+    # a pair with NUL on that side has to be a character a text may hold
+    big = view.rlike(rf"(?s)^(?:[^\x00].|\x00[^{_CONTROLS}])*+$")
+    little = view.rlike(rf"(?s)^(?:.[^\x00]|[^{_CONTROLS}]\x00)*+$")
     return (
-        F.when(bom.isin("utf-32-le", "utf-32-be"), "utf-32")
+        F.when(content.isNull(), None)
+        .when(bom.isin("utf-32-le", "utf-32-be"), "utf-32")
         .when(bom == "utf-8", "utf-8-sig")
         .when(bom.isNotNull(), "utf-16")
         .when(F.octet_length(content) == 0, None)
         .when(
             F.contains(content, raw("00")),
-            F.when(even & second_nul & ~first_nul, "utf-16le").when(
-                even & first_nul & ~second_nul, "utf-16be"
+            F.when(even & second_nul & ~first_nul & little, "utf-16le").when(
+                even & first_nul & ~second_nul & big, "utf-16be"
             ),
         )
         .when(

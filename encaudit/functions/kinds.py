@@ -40,7 +40,8 @@ def file_kind(head: Column, length: Column) -> Column:
         data, label = bound["sample"], bound["label"]
         controls = F.octet_length(data) - F.length(F.translate(latin1_view(data), _CONTROLS, ""))
         return (
-            F.when(F.octet_length(data) == 0, TEXT)
+            F.when(data.isNull(), None)
+            .when(F.octet_length(data) == 0, TEXT)
             .when(label.isin("utf-16", "utf-16le", "utf-16be", "utf-32"), TEXT)
             .when(F.contains(data, raw("00")), BINARY)
             .when(controls / F.octet_length(data) > CONTROL_SHARE, BINARY)

@@ -227,6 +227,7 @@ def scan_visible_files(
 ) -> DataFrame:
     """Files below ``root`` by Spark's ``binaryFile`` reader: no hidden names.
 
+    Unlike the walk this reader follows links to directories.
     Directories to skip are tested on the file metadata, which drops whole files
     before they are read; ``glob`` is a further name filter on the listing.
     """

@@ -30,6 +30,9 @@ TEXT = "città è là\nniño größe\n"
         (b"", None),
         (b"\x89PNG\r\n\x1a\n\x00\x00\x00\rIHDR", None),
         (b"text with \x00 in it", None),
+        (b"\x00\x01", None),
+        (b"\x00\x01\x02\x03", None),
+        (b"\x01\x00\x02\x00", None),
         (b"bad \x81 byte \xff", None),
     ],
 )

@@ -53,6 +53,12 @@ _BAD16 = r"(?:D[89AB][0-9A-F]{4}\z|[0-9A-F]{4}|[0-9A-F]{2}\z)"
 _UNIT32 = "(?:0000(?:[0-9A-CEF][0-9A-F]|D[0-7])[0-9A-F]{2}|00(?:0[1-9A-F]|10)[0-9A-F]{4})"
 _BAD32 = r"(?:[0-9A-F]{8}|[0-9A-F]{2,6}\z)"
 
+# Well-formed contents, one character per byte.
+_SOUND16_LE = r"(?s)^(?:.[^\xd8-\xdf]|.[\xd8-\xdb].[\xdc-\xdf])*+\z"
+_SOUND16_BE = r"(?s)^(?:[^\xd8-\xdf].|[\xd8-\xdb].[\xdc-\xdf].)*+\z"
+_SOUND32_LE = r"(?s)^(?:.[^\xd8-\xdf]\x00\x00|..[\x01-\x10]\x00)*+\z"
+_SOUND32_BE = r"(?s)^(?:\x00\x00[^\xd8-\xdf].|\x00[\x01-\x10]..)*+\z"
+
 
 def raw(hex_text: str) -> Column:
     """Binary literal."""
@@ -136,8 +142,8 @@ def _label_of(content: Column) -> Column:
     first_nul = (pairs - low) / pairs >= 0.30
     second_nul = (pairs - high) / pairs >= 0.30
     # a pair with NUL on that side has to be a character a text may hold
-    big = view.rlike(rf"(?s)^(?:[^\x00].|\x00[^{_CONTROLS}])*+$")
-    little = view.rlike(rf"(?s)^(?:.[^\x00]|[^{_CONTROLS}]\x00)*+$")
+    big = view.rlike(rf"(?s)^(?:[^\x00].|\x00[^{_CONTROLS}])*+\z")
+    little = view.rlike(rf"(?s)^(?:.[^\x00]|[^{_CONTROLS}]\x00)*+\z")
     return (
         F.when(content.isNull(), None)
         .when(bom.isin("utf-32-le", "utf-32-be"), "utf-32")
@@ -247,24 +253,20 @@ def is_decodable(body: Column, family: Column) -> Column:
 
 
 def _is_decodable(body: Column, family: Column) -> Column:
-    digits = _hex_be(body, family)
+    view = latin1_view(body)
+    size = F.octet_length(body)
+    valid8 = F.is_valid_utf8(utf8_view(body))
+    # without a byte of the surrogate range no unit can be a surrogate
+    plain = ~view.rlike("[\xd8-\xdf]")
     return F.coalesce(
-        F.when(family == "utf8", F.is_valid_utf8(utf8_view(body)))
-        .when(
-            family == "ascii",
-            F.is_valid_utf8(utf8_view(body))
-            & (F.length(utf8_view(body)) == F.octet_length(body)),
-        )
+        F.when(family == "utf8", valid8)
+        .when(family == "ascii", valid8 & (F.length(utf8_view(body)) == size))
         .when(family == "latin1", F.lit(True))
-        .when(family == "cp1252", ~latin1_view(body).rlike(f"[{_CP1252_UNDEFINED}]"))
-        .when(
-            family.isin("utf16le", "utf16be"),
-            (F.octet_length(body) % 2 == 0) & digits.rlike(f"^{_UNIT16}*+$"),
-        )
-        .when(
-            family.isin("utf32le", "utf32be"),
-            (F.octet_length(body) % 4 == 0) & digits.rlike(f"^{_UNIT32}*+$"),
-        ),
+        .when(family == "cp1252", ~view.rlike(f"[{_CP1252_UNDEFINED}]"))
+        .when(family == "utf16le", (size % 2 == 0) & (plain | view.rlike(_SOUND16_LE)))
+        .when(family == "utf16be", (size % 2 == 0) & (plain | view.rlike(_SOUND16_BE)))
+        .when(family == "utf32le", (size % 4 == 0) & view.rlike(_SOUND32_LE))
+        .when(family == "utf32be", (size % 4 == 0) & view.rlike(_SOUND32_BE)),
         F.lit(False),
     )
 

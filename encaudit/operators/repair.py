@@ -28,6 +28,7 @@ from encaudit.functions.paths import extension
 from encaudit.functions.suggestions import sanitize_suggestion
 from encaudit.operators.findings import damaged_files, findings
 from encaudit.operators.skew import ROWS_PER_SALT, lookup_join
+from encaudit.session import settle
 
 APPLY, RETRY, SKIP = "apply", "retry", "skip"
 APPLIED, SKIPPED, FAILED, OPEN = "applied", "skipped", "failed", "open"
@@ -226,6 +227,9 @@ def repairs_from_corpus(
         ),
         decisions,
     )
+    if decisions is not None:
+        # the lookup reads its rows twice; the join with the decisions runs once
+        places = settle(places)
     keys = ["pattern", "word_offset", "rank"]
     proposed = lookup_join(places, ranked, keys, PLACE, rows_per_salt)
     return _outcome(proposed, automatic, min_support)

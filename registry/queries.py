@@ -16,7 +16,7 @@ from encaudit.operators import census, encoding, findings, repair, reports, rout
 from encaudit.plans.audit import Audit, audit
 from encaudit.plans.repair import Repair
 from encaudit.plans.repair import repair as run_repair
-from encaudit.session import shared_dir
+from encaudit.session import settle, shared_dir
 from encaudit.sources.tables import export_files
 from encaudit.sources.tree import scan_files as scan_tree
 from registry import corpus as c
@@ -296,7 +296,9 @@ def decisions_for(found: DataFrame) -> DataFrame:
 def _run_repair(application: str, sf_dir: str, decided: bool) -> Repair:
     spark = SparkSession.getActiveSession()
     files = c.corpus(spark, sf_dir, damaged=True)
-    decisions = decisions_for(findings.findings(_damaged(spark, sf_dir))) if decided else None
+    decisions = None
+    if decided:
+        decisions = settle(decisions_for(findings.findings(_damaged(spark, sf_dir))))
     return run_repair(
         files, c.EXTENSIONS, clean_texts=c.clean_texts(spark, sf_dir), decisions=decisions
     )

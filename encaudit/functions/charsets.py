@@ -33,16 +33,33 @@ FAMILIES = {
     "utf32le": ["utf-32", "utf32", "utf-32le", "utf-32-le"],
     "utf32be": ["utf-32be", "utf-32-be"],
     "ascii": ["ascii", "us-ascii"],
-    "latin1": ["iso-8859-1", "latin-1", "latin1"],
-    "cp1252": ["windows-1252", "cp1252"],
 }
 UNICODE_FAMILIES = ["utf8", "utf16le", "utf16be", "utf32le", "utf32be"]
 
-# What the bytes 80-9F mean in windows-1252; five of them are undefined.
-_C1 = "".join(chr(code) for code in range(0x80, 0xA0))
-_CP1252 = bytes(range(0x80, 0xA0)).decode("cp1252", "replace")
-_CP1252_DEFINED = [(c, w) for c, w in zip(_C1, _CP1252, strict=True) if w != REPLACEMENT]
-_CP1252_UNDEFINED = "".join(c for c, w in zip(_C1, _CP1252, strict=True) if w == REPLACEMENT)
+# Charsets of one byte per character, by codec name, with the spellings of their
+# labels. Their families are named "single:" and the codec.
+SINGLE_BYTE = {
+    "latin-1": ["iso-8859-1", "latin-1", "latin1"],
+    **{f"iso8859-{n}": [f"iso-8859-{n}", f"iso8859-{n}"] for n in range(2, 17) if n != 12},
+    **{f"cp{n}": [f"windows-{n}", f"cp{n}"] for n in range(1250, 1259)},
+    **{f"cp{n}": [f"ibm{n}", f"cp{n}"] for n in (437, 850, 852, 855, 866)},
+    "koi8-r": ["koi8-r"],
+    "koi8-u": ["koi8-u"],
+    "mac-roman": ["macroman", "mac-roman"],
+    "mac-cyrillic": ["maccyrillic", "mac-cyrillic"],
+    "tis-620": ["tis-620"],
+}
+LATIN1, CP1252 = "single:latin-1", "single:cp1252"
+_HIGH = "".join(chr(code) for code in range(0x80, 0x100))
+_UPPER_HALVES = {
+    f"single:{codec}": bytes(range(0x80, 0x100)).decode(codec, "replace") for codec in SINGLE_BYTE
+}
+# The bytes 80-9F that windows-1252 leaves undefined.
+_CP1252_UNDEFINED = "".join(
+    narrow
+    for narrow, wide in zip(_HIGH, _UPPER_HALVES[CP1252], strict=True)
+    if wide == REPLACEMENT
+)
 
 # Control bytes that no text holds.
 _CONTROLS = r"\x00-\x08\x0b\x0e-\x1f"
@@ -218,11 +235,29 @@ def _plan(known: Column) -> Column:
 
 def family_of(charset: Column) -> Column:
     """Charset family of a normalised name, null for one that is not supported."""
-    family = None
-    for name, spellings in FAMILIES.items():
-        test = charset.isin(spellings)
-        family = F.when(test, name) if family is None else family.when(test, name)
-    return family
+    names = {name: family for family, spellings in FAMILIES.items() for name in spellings}
+    for codec, spellings in SINGLE_BYTE.items():
+        names.update({name: f"single:{codec}" for name in spellings})
+    return F.try_element_at(_literal_map(names), charset)
+
+
+def is_single_byte(family: Column) -> Column:
+    """True for charsets of one byte per character other than ASCII."""
+    return family.startswith("single:")
+
+
+def _literal_map(entries: dict[str, str]) -> Column:
+    pairs = ", ".join(f"'{key}', '{value}'" for key, value in entries.items())
+    return F.expr(f"map({pairs})")
+
+
+def _upper_half(family: Column) -> Column:
+    """What the bytes 80-FF mean in a single-byte family; U+FFFD where undefined."""
+    return F.try_element_at(_literal_map(_UPPER_HALVES), family)
+
+
+def _translate(text: Column, matching: Column, replacement: Column) -> Column:
+    return F.call_function("translate", text, matching, replacement)
 
 
 def body_of(content: Column, skip: Column) -> Column:
@@ -261,8 +296,13 @@ def _is_decodable(body: Column, family: Column) -> Column:
     return F.coalesce(
         F.when(family == "utf8", valid8)
         .when(family == "ascii", valid8 & (F.length(utf8_view(body)) == size))
-        .when(family == "latin1", F.lit(True))
-        .when(family == "cp1252", ~view.rlike(f"[{_CP1252_UNDEFINED}]"))
+        .when(family == LATIN1, F.lit(True))
+        .when(
+            is_single_byte(family),
+            ~F.contains(
+                _translate(view, F.lit(_HIGH), _upper_half(family)), F.lit(REPLACEMENT)
+            ),
+        )
         .when(family == "utf16le", (size % 2 == 0) & (plain | view.rlike(_SOUND16_LE)))
         .when(family == "utf16be", (size % 2 == 0) & (plain | view.rlike(_SOUND16_BE)))
         .when(family == "utf32le", (size % 4 == 0) & view.rlike(_SOUND32_LE))
@@ -310,8 +350,8 @@ def _decode(body: Column, family: Column, substitute: str) -> Column:
     mended32 = F.unhex(_mend(digits, _UNIT32, _BAD32, "0000" + code))
     return (
         F.when(family == "utf8", F.when(sound, utf8_view(body)).otherwise(mended8))
-        .when(family == "latin1", view)
-        .when(family == "cp1252", F.translate(view, _C1, _CP1252.replace(REPLACEMENT, substitute)))
+        .when(family == LATIN1, view)
+        .when(is_single_byte(family), from_single_byte(view, family, substitute))
         .when(family == "ascii", F.regexp_replace(view, "[\x80-\xff]", substitute))
         .when(
             family == "utf16le",
@@ -328,6 +368,12 @@ def _decode(body: Column, family: Column, substitute: str) -> Column:
     )
 
 
+def from_single_byte(view: Column, family: Column, substitute: str = REPLACEMENT) -> Column:
+    """Text of a one-character-per-byte view in a single-byte family."""
+    meanings = F.translate(_upper_half(family), REPLACEMENT, substitute)
+    return _translate(view, F.lit(_HIGH), meanings)
+
+
 def decode_strict(body: Column, family: Column) -> Column:
     """Text of the bytes after the mark, null if they do not decode."""
     return bind(
@@ -351,12 +397,13 @@ def is_encodable(text: Column, family: Column) -> Column:
 
 
 def _is_encodable(text: Column, family: Column) -> Column:
-    defined = "".join(wide for _, wide in _CP1252_DEFINED)
+    ascii_characters = "".join(chr(code) for code in range(0x80))
+    defined = F.concat(F.lit(ascii_characters), F.translate(_upper_half(family), REPLACEMENT, ""))
     return F.coalesce(
         F.when(family.isin(UNICODE_FAMILIES), F.lit(True))
         .when(family == "ascii", ~text.rlike("[^\x00-\x7f]"))
-        .when(family == "latin1", ~text.rlike("[^\x00-\xff]"))
-        .when(family == "cp1252", ~text.rlike(f"[^\x00-\x7f\xa0-\xff{defined}]")),
+        .when(family == LATIN1, ~text.rlike("[^\x00-\xff]"))
+        .when(is_single_byte(family), _translate(text, defined, F.lit("")) == ""),
         F.lit(False),
     )
 
@@ -371,8 +418,6 @@ def encode_text(text: Column, family: Column) -> Column:
 
 def _encode(text: Column, family: Column) -> Column:
     utf32 = F.hex(F.encode(text, "UTF-32"))
-    narrow = "".join(c for c, _ in _CP1252_DEFINED)
-    wide = "".join(w for _, w in _CP1252_DEFINED)
     return F.when(
         _is_encodable(text, family),
         F.when(family == "utf8", F.encode(text, "UTF-8"))
@@ -380,8 +425,11 @@ def _encode(text: Column, family: Column) -> Column:
         .when(family == "utf16be", F.encode(text, "UTF-16BE"))
         .when(family == "utf32le", F.unhex(_swap32(utf32)))
         .when(family == "utf32be", F.unhex(utf32))
-        .when(family.isin("ascii", "latin1"), F.encode(text, "ISO-8859-1"))
-        .when(family == "cp1252", F.encode(F.translate(text, wide, narrow), "ISO-8859-1")),
+        .when(family.isin("ascii", LATIN1), F.encode(text, "ISO-8859-1"))
+        .when(
+            is_single_byte(family),
+            F.encode(_translate(text, _upper_half(family), F.lit(_HIGH)), "ISO-8859-1"),
+        ),
     )
 
 

@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from encaudit.functions.arrays import bind, running
 from encaudit.functions.charsets import (
     REPLACEMENT,
-    UNICODE_FAMILIES,
     body_of,
     decode_lossy,
     decode_plan,
+    from_single_byte,
+    is_single_byte,
     latin1_view,
     scan_pattern,
     utf8_view,
@@ -63,7 +64,7 @@ def scan_text(body: Column, family: Column) -> Column:
     marked = F.replace(latin1_view(body), hidden, visible)
     return (
         F.when(family == "ascii", F.regexp_replace(marked, "[\x80-\xff]", "?"))
-        .when(family.isin("latin1", "cp1252"), F.replace(mended, hidden, visible))
+        .when(is_single_byte(family), from_single_byte(marked, family, "?"))
         .otherwise(mended)
     )
 
@@ -211,7 +212,7 @@ def finding_array(
 
     def numbered(bound: Column) -> Column:
         family = bound["family"]
-        single = family.isin("ascii", "latin1", "cp1252")
+        single = is_single_byte(family) | (family == "ascii")
         chars = F.when(single, 3).otherwise(1)
         width = F.octet_length(scan_pattern(family))
         pairs = F.arrays_zip(bound["parts"].alias("part"), bound["sizes"].alias("size"))
@@ -221,7 +222,7 @@ def finding_array(
                 pair["part"], pair["size"], number, chars, width, with_word
             ),
         )
-        visible = ~family.isin("latin1", "cp1252")
+        visible = ~is_single_byte(family)
         return bind(
             F.struct(
                 running(items, _combine(with_word)).alias("states"),

@@ -78,8 +78,9 @@ def audit_files(
     """The whole outcome of every file in one row, in one pass over the contents.
 
     Result columns of ``file_results`` plus ``write_charset``, ``new_content``
-    (null unless converted) and ``findings`` (null unless checked). Nothing is
-    shuffled. Write it out once and take every report from the written table.
+    (null unless converted), ``damaged_content`` (null unless there is something
+    to repair) and ``findings`` (null unless checked). Nothing is shuffled. Write
+    it out once and take every report from the written table.
     """
     routed = with_action(files, extensions, checks, convert, repair)
     content, label, action = F.col("content"), F.col("label"), F.col("action")
@@ -141,6 +142,9 @@ def audit_files(
         "error_description",
         "write_charset",
         "new_content",
+        F.when(
+            (F.col("outcome") == REPAIR) & (F.size("findings") > 0), F.col("content")
+        ).alias("damaged_content"),
         "findings",
     )
 

@@ -7,10 +7,11 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 
 from encaudit.operators.census import extension_census
-from encaudit.sources.tree import list_files, read_heads
+from encaudit.sources.tree import balance, list_files, read_heads
 
 
 def census(spark: SparkSession, root: str, skip_dirs: Iterable[str] = ()) -> DataFrame:
     """Census of all files below a root, whatever their extension."""
-    listing = list_files(spark, root, skip_dirs).repartition("path")
-    return extension_census(read_heads(listing))
+    listing = list_files(spark, root, skip_dirs)
+    tasks = spark.sparkContext.defaultParallelism * 4
+    return extension_census(read_heads(balance(listing, tasks)))

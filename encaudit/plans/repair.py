@@ -55,13 +55,12 @@ def repair(
     else:
         chosen = steps.repairs_from_proposals(found, proposals, decisions, automatic)
     chosen = settle(chosen)
-    labels = results.where(F.col("action") == REPAIR).select(
-        "path", F.col("encoding_before").alias("label")
+    # the contents that may change were kept with the findings: the files are read
+    # once, and only damaged contents are ever shuffled
+    damaged = audited.where(F.col("damaged_content").isNotNull()).select(
+        "path", F.col("encoding_before").alias("label"), F.col("damaged_content").alias("content")
     )
-    # only files that change take part, so only their contents are shuffled
-    changed = chosen.where(F.col("status") == steps.APPLIED).select("path").distinct()
-    wanted = labels.join(changed, "path", "left_semi")
-    rewritten = settle(steps.apply_repairs(files.join(wanted, "path"), chosen))
+    rewritten = settle(steps.apply_repairs(damaged, chosen))
     remaining = settle(steps.remaining_findings(rewritten))
     verified = steps.verify(chosen, remaining)
     return Repair(

@@ -122,7 +122,7 @@ def walk(spark: SparkSession, root: str, skip_dirs: Iterable[str] = ()) -> DataF
         spreaded = level.select("path", "relative_path")
         if levels:
             nested = F.concat("relative_path", F.lit("/")).alias("relative_path")
-            spreaded = level.select("path", nested).repartition("path")
+            spreaded = level.select("path", nested).repartition(_tasks(spark), "path")
         found = settle(spreaded.mapInArrow(_list_level(names), _ENTRY))
         levels.append(found.where(F.col("kind") != DIRECTORY))
         level = found.where(F.col("kind") == DIRECTORY)
@@ -212,10 +212,30 @@ def scan_files(
 ) -> DataFrame:
     """Every file below ``root`` with its content, hidden names included."""
     listing = list_files(spark, root, skip_dirs)
-    return read_contents(listing.repartition(partitions or _partitions(spark), "path"))
+    return read_contents(balance(listing, partitions))
 
 
-def _partitions(spark: SparkSession) -> int:
+def balance(listing: DataFrame, partitions: int | None = None) -> DataFrame:
+    """A listing spread by path so that each task reads about one split of bytes.
+
+    Only paths and sizes are shuffled. Without a number of ``partitions`` the
+    total size of the listing gives it.
+    """
+    spark = listing.sparkSession
+    if partitions is None:
+        split = F.lit(_bytes_of(spark.conf.get("spark.sql.files.maxPartitionBytes")))
+        total = listing.agg(F.ceil(F.coalesce(F.sum("length"), F.lit(0)) / split)).first()[0]
+        partitions = max(_tasks(spark), int(total))
+    return listing.repartition(partitions, "path")
+
+
+def _bytes_of(setting: str) -> int:
+    units = {"b": 1, "k": 2**10, "m": 2**20, "g": 2**30}
+    digits = setting.strip().lower().rstrip("b") or "0"
+    return int(digits[:-1]) * units[digits[-1]] if digits[-1] in units else int(digits)
+
+
+def _tasks(spark: SparkSession) -> int:
     return max(
         spark.sparkContext.defaultParallelism,
         int(spark.conf.get("spark.sql.shuffle.partitions")),

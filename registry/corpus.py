@@ -13,7 +13,7 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from encaudit.functions.charsets import encode_text
+from encaudit.functions.charsets import CP1252, LATIN1, encode_text
 from encaudit.session import settle, spread
 from encaudit.sources.tables import files_from_table
 
@@ -30,7 +30,6 @@ CHARSETS = [
     "utf-16be",
     "binary",
 ]
-FAMILY = {"utf-16": "utf16le", "utf-16be": "utf16be", "iso-8859-1": "latin1", "windows-1252": "cp1252"}
 BINARY_HEAD = "89504E470D0A1A0A00"
 SKIP_DIRS = [" .git ", "", "node_modules", ".git"]
 EXTENSIONS = [".PY", ".cpp", ".h", ".txt", ".md"]
@@ -124,8 +123,8 @@ def stored(text: Column, charset: Column) -> Column:
             F.concat(F.lit(b"\xff\xfe"), encode_text(text, F.lit("utf16le"))),
         )
         .when(charset == "utf-16be", encode_text(text, F.lit("utf16be")))
-        .when(charset == "iso-8859-1", encode_text(single, F.lit("latin1")))
-        .when(charset == "windows-1252", encode_text(single, F.lit("cp1252")))
+        .when(charset == "iso-8859-1", encode_text(single, F.lit(LATIN1)))
+        .when(charset == "windows-1252", encode_text(single, F.lit(CP1252)))
         .when(charset == "binary", F.concat(F.lit(bytes.fromhex(BINARY_HEAD)), utf8))
         .otherwise(utf8)
     )

@@ -377,13 +377,18 @@ def apply_repairs(spark, sf_dir):
 @query
 def repair_unencodable(spark, sf_dir):
     rows = c.read_table(spark, sf_dir, "documents", "doc_id", "text")
-    names = ["ascii", "latin1", "cp1252", "utf8"]
+    names = {
+        "ascii": "ascii", "latin1": charsets.LATIN1, "cp1252": charsets.CP1252, "utf8": "utf8"
+    }
     texts = F.array("text", F.replace("text", F.lit("."), F.lit(c.ELLIPSIS)))
     asked = rows.select("doc_id", F.posexplode(texts).alias("form", "text"))
     return asked.select(
         "doc_id",
         "form",
-        *[charsets.is_encodable(F.col("text"), F.lit(name)).alias(name) for name in names],
+        *[
+            charsets.is_encodable(F.col("text"), F.lit(family)).alias(name)
+            for name, family in names.items()
+        ],
     )
 
 

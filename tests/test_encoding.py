@@ -49,10 +49,10 @@ def test_overrides_win_over_detection(spark, make_files):
 
 
 def test_label_normalisation_and_families(spark):
-    rows = spark.createDataFrame([(" ISO_8859_1\n",), ("UTF-8",), ("koi8_r",)], "label string")
+    rows = spark.createDataFrame([(" ISO_8859_1\n",), ("UTF-8",), ("koi8_X",)], "label string")
     name = charsets.normalize_label(F.col("label"))
     got = rows.select(name.alias("n"), charsets.family_of(name).alias("f")).collect()
-    assert [tuple(r) for r in got] == [("iso-8859-1", "latin1"), ("utf-8", "utf8"), ("koi8-r", None)]
+    assert [tuple(r) for r in got] == [("iso-8859-1", "single:latin-1"), ("utf-8", "utf8"), ("koi8-x", None)]
 
 
 @pytest.mark.parametrize(
@@ -107,7 +107,7 @@ def test_conversion_writes_utf8_with_bom_and_isolates_bad_files(make_files):
             ("/undefined", b"\x81", "windows-1252"),
             ("/high", b"\x80", "ascii"),
             ("/odd", b"\xff\xfea", "utf-16"),
-            ("/unknown", b"a", "koi8-r"),
+            ("/unknown", b"a", "x-none"),
         ]
     )
     got = {r["path"]: r["converted"] for r in with_converted(files).collect()}
@@ -167,3 +167,29 @@ def test_byte_offset_agrees_with_findings(make_files):
 def test_file_kind(make_files, content, kind):
     files = make_files([("/a", content, None)])
     assert files.select(file_kind(F.col("content"), F.col("length")).alias("k")).first()["k"] == kind
+
+
+def test_every_single_byte_charset_matches_its_codec(make_files):
+    every = bytes(range(256))
+    rows = []
+    for codec, spellings in charsets.SINGLE_BYTE.items():
+        rows += [(f"/{codec}/{number}", every, name) for number, name in enumerate(spellings)]
+    files = make_files(rows)
+    texts = {r["path"]: r["text"] for r in with_text(files).select("path", "text").collect()}
+    converted = {r["path"]: r["converted"] for r in with_converted(files).select("path", "converted").collect()}
+    for path, _, _ in rows:
+        codec = path.split("/")[1]
+        text = every.decode(codec, "replace")
+        assert texts[path] == text, codec
+        expected = None if models.MARK in text else text.encode("utf-8-sig")
+        assert (converted[path] and bytes(converted[path])) == expected, codec
+    defined = [(p, every.decode(p.split("/")[1], "ignore").encode(p.split("/")[1]), n) for p, _, n in rows]
+    for row in with_round_trip(make_files(defined)).collect():
+        assert bytes(row["rewritten"]) == bytes(row["content"]), row["label"]
+
+
+def test_encodable_characters(spark):
+    rows = [("я", "koi8-r"), ("é", "koi8-r"), ("€", "cp1252"), ("\x81", "cp1252"), (models.MARK, "cp1252")]
+    table = spark.createDataFrame([(t, f"single:{c}") for t, c in rows], "text string, family string")
+    got = table.select(charsets.is_encodable(F.col("text"), F.col("family")).alias("e")).collect()
+    assert [r["e"] for r in got] == [True, False, True, False, False]

@@ -74,13 +74,15 @@ def audit_files(
     repair: bool = False,
     with_text: bool = False,
     with_word: bool = False,
+    keep_originals: bool = False,
 ) -> DataFrame:
     """The whole outcome of every file in one row, in one pass over the contents.
 
     Result columns of ``file_results`` plus ``write_charset``, ``new_content``
-    (null unless converted), ``damaged_content`` (null unless there is something
-    to repair) and ``findings`` (null unless checked). Nothing is shuffled. Write
-    it out once and take every report from the written table.
+    (null unless converted), ``old_content`` (null unless there is something to
+    repair, or to convert with ``keep_originals``) and ``findings`` (null unless
+    checked). Nothing is shuffled. Write it out once and take every report from
+    the written table.
     """
     routed = with_action(files, extensions, checks, convert, repair)
     content, label, action = F.col("content"), F.col("label"), F.col("action")
@@ -126,6 +128,9 @@ def audit_files(
             "findings": F.when(checked, found),
         }
     )
+    kept_back = (F.col("outcome") == REPAIR) & (F.size("findings") > 0)
+    if keep_originals:
+        kept_back = kept_back | (F.col("action") == CONVERT)
     nothing = (F.col("outcome") == REPAIR) & (F.size("findings") == 0)
     return kept.select(
         "path",
@@ -142,9 +147,7 @@ def audit_files(
         "error_description",
         "write_charset",
         "new_content",
-        F.when(
-            (F.col("outcome") == REPAIR) & (F.size("findings") > 0), F.col("content")
-        ).alias("damaged_content"),
+        F.when(kept_back, F.col("content")).alias("old_content"),
         "findings",
     )
 
@@ -167,6 +170,14 @@ def converted_contents(audited: DataFrame) -> DataFrame:
     return audited.where("converted").select("path", F.col("new_content").alias("content"))
 
 
+def kept_originals(audited: DataFrame) -> DataFrame:
+    """Old content of audited files, keyed by path, where it was kept."""
+    kept = audited.where(F.col("old_content").isNotNull())
+    return kept.select(
+        "path", F.col("encoding_before").alias("label"), F.col("old_content").alias("content")
+    )
+
+
 def originals_to_back_up(files: DataFrame, extensions: Iterable[str]) -> DataFrame:
     """Content of the files a conversion would change, keyed by full path."""
     routed = with_action(files, extensions, checks=False, convert=True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from encaudit.operators import reports
 from encaudit.operators.encoding import with_overrides
@@ -14,8 +14,10 @@ from encaudit.operators.routing import (
     audited_findings,
     converted_contents,
     file_results,
+    kept_originals,
 )
 from encaudit.session import settle
+from encaudit.sources.tree import files_to_audit
 
 
 @dataclass(frozen=True)
@@ -36,6 +38,11 @@ class Audit:
     def converted(self) -> DataFrame:
         return converted_contents(self.files)
 
+    @property
+    def originals(self) -> DataFrame:
+        """Old content of the files that were to be converted, if it was kept."""
+        return kept_originals(self.files)
+
     def reports(
         self, with_string: bool = False, only_relevant: bool = False
     ) -> dict[str, DataFrame]:
@@ -63,6 +70,7 @@ def audit(
     convert: bool = False,
     overrides: DataFrame | None = None,
     with_string: bool = False,
+    keep_originals: bool = False,
     target: str | None = None,
 ) -> Audit:
     """Audits ``files(path, content)``.
@@ -72,8 +80,27 @@ def audit(
     """
     if overrides is not None:
         files = with_overrides(files, overrides)
-    audited = audit_files(files, extensions, checks, convert, with_text=with_string)
+    audited = audit_files(
+        files,
+        extensions,
+        checks,
+        convert,
+        with_text=with_string,
+        keep_originals=keep_originals,
+    )
     if target is None:
         return Audit(settle(audited))
     audited.write.mode("overwrite").parquet(target)
     return Audit(files.sparkSession.read.parquet(target))
+
+
+def audit_tree(
+    spark: SparkSession,
+    path: str,
+    extensions: Iterable[str],
+    skip_dirs: Iterable[str] = (),
+    **options,
+) -> Audit:
+    """``audit`` of a directory tree or of one file."""
+    extensions = list(extensions)
+    return audit(files_to_audit(spark, path, extensions, skip_dirs), extensions, **options)

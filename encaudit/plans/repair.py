@@ -5,13 +5,20 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from encaudit.operators import repair as steps
 from encaudit.operators.encoding import with_overrides
-from encaudit.operators.routing import REPAIR, audit_files, audited_findings, file_results
+from encaudit.operators.routing import (
+    REPAIR,
+    audit_files,
+    audited_findings,
+    file_results,
+    kept_originals,
+)
 from encaudit.session import settle
+from encaudit.sources.tree import files_to_audit
 
 
 @dataclass(frozen=True)
@@ -57,9 +64,7 @@ def repair(
     chosen = settle(chosen)
     # the contents that may change were kept with the findings: the files are read
     # once, and only damaged contents are ever shuffled
-    damaged = audited.where(F.col("damaged_content").isNotNull()).select(
-        "path", F.col("encoding_before").alias("label"), F.col("damaged_content").alias("content")
-    )
+    damaged = kept_originals(audited)
     rewritten = settle(steps.apply_repairs(damaged, chosen))
     remaining = settle(steps.remaining_findings(rewritten))
     verified = steps.verify(chosen, remaining)
@@ -73,3 +78,15 @@ def repair(
             results.where(F.col("action") == REPAIR), found, verified, remaining
         ),
     )
+
+
+def repair_tree(
+    spark: SparkSession,
+    path: str,
+    extensions: Iterable[str],
+    skip_dirs: Iterable[str] = (),
+    **options,
+) -> Repair:
+    """``repair`` of a directory tree or of one file."""
+    extensions = list(extensions)
+    return repair(files_to_audit(spark, path, extensions, skip_dirs), extensions, **options)

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from encaudit.functions.kinds import SAMPLE_BYTES
 from encaudit.functions.paths import is_pruned, skip_names
+from encaudit.operators.selection import has_extension
 from encaudit.session import settle
 
 # Executors get the functions of this module with the task, so they need no install.
@@ -215,6 +216,34 @@ def scan_files(
     return read_contents(balance(listing, partitions))
 
 
+def listing_of(spark: SparkSession, path: str, skip_dirs: Iterable[str] = ()) -> DataFrame:
+    """Listing of a directory tree, or of the one file the path names."""
+    if _is_file(path):
+        return single_file(spark, path)
+    return list_files(spark, path, skip_dirs)
+
+
+def _is_file(path: str) -> bool:
+    if "://" in path:
+        from pyarrow import fs
+
+        system, inner = fs.FileSystem.from_uri(path)
+        return system.get_file_info(inner).type == fs.FileType.File
+    return os.path.isfile(path)
+
+
+def files_to_audit(
+    spark: SparkSession, path: str, extensions: Iterable[str], skip_dirs: Iterable[str] = ()
+) -> DataFrame:
+    """Every file of a tree; only those with a wanted extension are opened."""
+    listing = listing_of(spark, path, skip_dirs)
+    wanted = has_extension(F.col("path"), extensions)
+    opened = read_contents(balance(listing.where(wanted)))
+    return opened.unionByName(
+        listing.where(~wanted).withColumn("content", F.lit(None).cast("binary"))
+    )
+
+
 def balance(listing: DataFrame, partitions: int | None = None) -> DataFrame:
     """A listing spread by path so that each task reads about one split of bytes.
 

@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from encaudit.plans.census import census
+from encaudit import audit_tree, census, repair_tree
 from encaudit.functions import paths
 from encaudit.operators.census import census_totals, extension_census, text_extensions
 from encaudit.operators.selection import pruned_directories
@@ -168,3 +168,34 @@ def test_findings_of_arriving_files(spark, tmp_path):
     assert sorted((r["file_name"], r["comment_context"], r["byte_sequence_file_pos"]) for r in got) == [
         ("one.c", "comment", 3), ("two.py", "code", 6), ("two.py", "comment", 14),
     ]
+
+
+def test_auditing_a_tree_opens_only_wanted_files(spark, folder):
+    root, files = folder
+    done = audit_tree(
+        spark, str(root), [".py", ".CPP", ".txt"], [".git"], convert=True, keep_originals=True
+    )
+    results = {r["path"][len(str(root)) + 1 :]: r for r in done.results.collect()}
+    assert {name: r["action"] for name, r in results.items()} == {
+        "a.py": "convert", "README": "skip", "b.cpp": "check", "payload.bin": "skip",
+        ".hidden.py": "convert", "_private.py": "convert", "broken.txt": "error",
+        "src/a b+c%20.py": "convert", "src/in/è.h": "skip",
+    }
+    assert results["broken.txt"]["error_description"] == "Cannot read broken.txt"
+    originals = {r["path"][len(str(root)) + 1 :]: bytes(r["content"]) for r in done.originals.collect()}
+    names = ["a.py", ".hidden.py", "_private.py", "src/a b+c%20.py"]
+    assert originals == {name: files[name] for name in names}
+    converted = {r["path"][len(str(root)) + 1 :]: bytes(r["content"]) for r in done.converted.collect()}
+    assert converted == {name: b"\xef\xbb\xbf" + files[name] for name in names}
+
+
+def test_auditing_and_repairing_one_file(spark, tmp_path):
+    path = tmp_path / "one.txt"
+    path.write_bytes("x � y".encode())
+    assert audit_tree(spark, str(path), [".txt"]).findings.count() == 1
+    assert audit_tree(spark, str(path), [".md"]).results.first()["action"] == "skip"
+    table = "path string, absolute_char_index bigint, rank int, suggestion string"
+    proposals = spark.createDataFrame([(str(path), 2, 1, "e")], table)
+    done = repair_tree(spark, str(path), [".txt"], proposals=proposals)
+    assert bytes(done.contents.first()["content"]) == b"x e y"
+    assert path.read_bytes() == "x � y".encode()

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import posixpath
 from collections.abc import Iterable
 
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -26,21 +28,29 @@ def write_contents(contents: DataFrame, target: str) -> None:
 def export_files(contents: DataFrame, target_root: str, relative_path: str = "path") -> None:
     """Writes each content as a file below a new root, one task per partition.
 
-    The root has to be reachable from every executor. A file that already exists
-    is replaced by the same content when a task is run again; nothing outside
-    the root is touched, and a path that would leave it is refused.
+    The root is a folder or URI that every executor reaches. Each attempt of a
+    task writes under a name of its own and then moves the file into place, so
+    a repeated task leaves the same files. Nothing outside the root is touched;
+    a path that would leave it is refused.
     """
     root = target_root.rstrip("/")
 
     def write(rows: Iterable[Row]) -> None:
+        from pyarrow import fs
+
+        if "://" in root:
+            system, base = fs.FileSystem.from_uri(root)
+        else:
+            system, base = fs.LocalFileSystem(), os.path.abspath(root)
+        attempt = TaskContext.get().taskAttemptId()
         for row in rows:
-            target = os.path.normpath(os.path.join(root, row["path"].lstrip("/")))
-            if not target.startswith(os.path.normpath(root) + os.sep):
+            target = posixpath.normpath(posixpath.join(base, row["path"].lstrip("/")))
+            if not target.startswith(base.rstrip("/") + "/"):
                 raise ValueError(f"Path leaves the target folder: {row['path']}")
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            part = f"{target}.{os.getpid()}.part"
-            with open(part, "wb") as stream:
+            system.create_dir(posixpath.dirname(target), recursive=True)
+            part = f"{target}.{attempt}.part"
+            with system.open_output_stream(part) as stream:
                 stream.write(row["content"])
-            os.replace(part, target)
+            system.move(part, target)
 
     contents.select(F.col(relative_path).alias("path"), "content").foreachPartition(write)

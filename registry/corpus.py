@@ -135,13 +135,19 @@ def corpus(spark: SparkSession, sf_dir: str, damaged: bool = False) -> DataFrame
 
     Written once per session as a table of files, which the queries then read.
     """
-    return _written(spark.sparkContext.applicationId, sf_dir, damaged)
+    make = functools.partial(made_corpus, spark, sf_dir, damaged)
+    return once(spark, ("corpus", sf_dir, damaged), lambda: settle(make()))
 
 
-@functools.lru_cache(maxsize=8)
-def _written(application: str, sf_dir: str, damaged: bool) -> DataFrame:
-    spark = SparkSession.getActiveSession()
-    return settle(made_corpus(spark, sf_dir, damaged))
+_MADE: dict[tuple, object] = {}
+
+
+def once(spark: SparkSession, key: tuple, make):
+    """What ``make`` gives, made once per application."""
+    full = (spark.sparkContext.applicationId, *key)
+    if full not in _MADE:
+        _MADE[full] = make()
+    return _MADE[full]
 
 
 def made_corpus(spark: SparkSession, sf_dir: str, damaged: bool = False) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import uuid
 from collections.abc import Callable
 
@@ -53,10 +52,11 @@ def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def scan_files(spark, sf_dir):
     root = f"{shared_dir(spark)}/scan-{uuid.uuid4().hex}"
-    local = root.removeprefix("file://").removeprefix("file:")
-    export_files(_clean(spark, sf_dir), local)
-    start = len(local) + 1
-    return scan_tree(spark, local).select(
+    if root.startswith("file:"):
+        root = root.removeprefix("file://").removeprefix("file:")
+    export_files(_clean(spark, sf_dir), root)
+    start = len(root) + 1
+    return scan_tree(spark, root).select(
         F.substring(F.col("path"), F.lit(start), F.length(F.col("path"))).alias("path"),
         F.octet_length(F.col("content")).cast("long").alias("length"),
         F.sha2(F.col("content"), 256).alias("digest"),
@@ -292,9 +292,7 @@ def decisions_for(found: DataFrame) -> DataFrame:
     )
 
 
-@functools.lru_cache(maxsize=4)
-def _run_repair(application: str, sf_dir: str, decided: bool) -> Repair:
-    spark = SparkSession.getActiveSession()
+def _run_repair(spark: SparkSession, sf_dir: str, decided: bool) -> Repair:
     files = c.corpus(spark, sf_dir, damaged=True)
     decisions = None
     if decided:
@@ -305,7 +303,8 @@ def _run_repair(application: str, sf_dir: str, decided: bool) -> Repair:
 
 
 def _repair(spark: SparkSession, sf_dir: str, decided: bool = True) -> Repair:
-    return _run_repair(spark.sparkContext.applicationId, sf_dir, decided)
+    key = ("repair", sf_dir, decided)
+    return c.once(spark, key, lambda: _run_repair(spark, sf_dir, decided))
 
 
 @query
@@ -411,14 +410,14 @@ def repair_totals(spark, sf_dir):
 # ------------------------------------------------------------ reports
 
 
-@functools.lru_cache(maxsize=8)
-def _run_audit(application: str, sf_dir: str, convert: bool) -> Audit:
-    files = c.corpus(SparkSession.getActiveSession(), sf_dir, damaged=True)
+def _run_audit(spark: SparkSession, sf_dir: str, convert: bool) -> Audit:
+    files = c.corpus(spark, sf_dir, damaged=True)
     return audit(files, c.EXTENSIONS, checks=True, convert=convert, with_string=convert)
 
 
-def _audit(spark, sf_dir, convert: bool) -> Audit:
-    return _run_audit(spark.sparkContext.applicationId, sf_dir, convert)
+def _audit(spark: SparkSession, sf_dir: str, convert: bool) -> Audit:
+    key = ("audit", sf_dir, convert)
+    return c.once(spark, key, lambda: _run_audit(spark, sf_dir, convert))
 
 
 @query

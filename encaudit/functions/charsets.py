@@ -7,7 +7,7 @@ test in a ``when`` branch and a bad file costs its own row, not the job.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from encaudit.functions.arrays import bind
@@ -49,6 +49,22 @@ SINGLE_BYTE = {
     "mac-cyrillic": ["maccyrillic", "mac-cyrillic"],
     "tis-620": ["tis-620"],
 }
+# Charsets of several bytes per character that the JVM decodes, with the spellings
+# of their labels. Their families are named "jvm:" and the charset.
+MULTI_BYTE = {
+    "Shift_JIS": ["shift-jis", "sjis"],
+    "EUC-JP": ["euc-jp"],
+    "ISO-2022-JP": ["iso-2022-jp"],
+    "GB2312": ["gb2312"],
+    "GBK": ["gbk", "cp936"],
+    "GB18030": ["gb18030"],
+    "Big5": ["big5"],
+    "EUC-KR": ["euc-kr"],
+    "x-windows-949": ["cp949"],
+}
+# Spark refuses these charsets, and raises on malformed input, unless both are set.
+_JVM_SETTINGS = ["spark.sql.legacy.javaCharsets", "spark.sql.legacy.codingErrorAction"]
+
 LATIN1, CP1252 = "single:latin-1", "single:cp1252"
 _HIGH = "".join(chr(code) for code in range(0x80, 0x100))
 _UPPER_HALVES = {
@@ -238,9 +254,28 @@ def family_of(charset: Column) -> Column:
     names = {name: family for family, spellings in FAMILIES.items() for name in spellings}
     for codec, spellings in SINGLE_BYTE.items():
         names.update({name: f"single:{codec}" for name in spellings})
+    if _jvm_charsets_allowed():
+        for charset_name, spellings in MULTI_BYTE.items():
+            names.update({name: f"jvm:{charset_name}" for name in spellings})
     return F.try_element_at(_literal_map(names), charset)
 
 
+def _jvm_charsets_allowed() -> bool:
+    session = SparkSession.getActiveSession()
+    if session is None:
+        return False
+    return all(session.conf.get(name, "false").lower() == "true" for name in _JVM_SETTINGS)
+
+
+def is_jvm(family: Column) -> Column:
+    """True for multi-byte charsets: they can be converted, but not searched for damage."""
+    return family.startswith("jvm:")
+
+
+def _jvm_text(body: Column, family: Column) -> Column:
+    return F.call_function("decode", body, F.substring(family, 5, 100))
+
+
 def is_single_byte(family: Column) -> Column:
     """True for charsets of one byte per character other than ASCII."""
     return family.startswith("single:")
@@ -303,6 +338,7 @@ def _is_decodable(body: Column, family: Column) -> Column:
                 _translate(view, F.lit(_HIGH), _upper_half(family)), F.lit(REPLACEMENT)
             ),
         )
+        .when(is_jvm(family), ~F.contains(_jvm_text(body, family), F.lit(REPLACEMENT)))
         .when(family == "utf16le", (size % 2 == 0) & (plain | view.rlike(_SOUND16_LE)))
         .when(family == "utf16be", (size % 2 == 0) & (plain | view.rlike(_SOUND16_BE)))
         .when(family == "utf32le", (size % 4 == 0) & view.rlike(_SOUND32_LE))
@@ -353,6 +389,7 @@ def _decode(body: Column, family: Column, substitute: str) -> Column:
         .when(family == LATIN1, view)
         .when(is_single_byte(family), from_single_byte(view, family, substitute))
         .when(family == "ascii", F.regexp_replace(view, "[\x80-\xff]", substitute))
+        .when(is_jvm(family), F.translate(_jvm_text(body, family), REPLACEMENT, substitute))
         .when(
             family == "utf16le",
             F.when(sound, F.decode(body, "UTF-16LE")).otherwise(mended16),
@@ -464,5 +501,6 @@ def scan_pattern(family: Column) -> Column:
         .when(family == "utf16be", raw("FFFD"))
         .when(family == "utf32le", raw("FDFF0000"))
         .when(family == "utf32be", raw("0000FFFD"))
+        .when(family == "jvm:GB18030", raw("8431A437"))
         .when(family.isNotNull(), raw(UTF8_REPLACEMENT))
     )

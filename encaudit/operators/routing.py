@@ -7,8 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from encaudit.functions.charsets import decode_plan, detect_label, is_unicode_label
-from encaudit.functions.findings import finding_array
+from encaudit.functions.charsets import decode_plan, detect_label, is_jvm, is_unicode_label
+from encaudit.functions.findings import finding_array, has_damage
 from encaudit.operators.encoding import to_utf8_bom
 from encaudit.operators.selection import with_selection
 
@@ -98,6 +98,7 @@ def audit_files(
     unreadable = content.isNull() & F.col("selected")
     unsupported = action.isin(CHECK, REPAIR) & F.col("family").isNull()
     failed = (action == CONVERT) & new.isNull()
+    unsearched = action.isin(CHECK, REPAIR) & is_jvm(F.col("family")) & has_damage(content, plan)
     error = (
         F.when(unreadable, F.concat(F.lit("Cannot read "), "file_name"))
         .when(action == ERROR, F.concat(F.lit("Cannot detect encoding of "), "file_name"))
@@ -105,6 +106,7 @@ def audit_files(
             unsupported,
             F.concat(F.lit("Cannot decode "), "file_name", F.lit(" from "), label),
         )
+        .when(unsearched, F.concat(F.lit("Cannot check "), "file_name", F.lit(" in "), label))
         .when(failed, F.concat(F.lit("Cannot convert "), "file_name", F.lit(" from "), label))
     )
     judged = converted.withColumn("error_description", error)

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from encaudit import audit
 from encaudit.functions import charsets
 from encaudit.functions.kinds import file_kind
 from encaudit.operators.encoding import with_converted, with_label, with_plan, with_round_trip, with_text
@@ -193,3 +194,27 @@ def test_encodable_characters(spark):
     table = spark.createDataFrame([(t, f"single:{c}") for t, c in rows], "text string, family string")
     got = table.select(charsets.is_encodable(F.col("text"), F.col("family")).alias("e")).collect()
     assert [r["e"] for r in got] == [True, False, True, False, False]
+
+
+def test_multi_byte_charsets_convert_when_the_session_allows_them(spark, make_files):
+    texts = {"shift_jis": "\u65e5\u672c\u8a9e \u30c6\u30ad\u30b9\u30c8\n", "euc_jp": "\u65e5\u672c\u8a9e\n", "gb18030": "\u4e2d\u6587\U0001f600\n", "gb2312": "\u4e2d\u6587\n", "big5": "\u4e2d\u6587\n", "euc_kr": "\ud55c\uad6d\uc5b4\n"}
+    rows = [(f"/{codec}.txt", text.encode(codec), codec.upper()) for codec, text in texts.items()]
+    rows += [("/bad.txt", b"\x81", "EUC-KR"), ("/hit.txt", "\u65a4\u62f7".encode("gb2312") + b"\xef\xbf\xbd\xef\xbf\xbd", "gb2312")]
+    files = make_files(rows)
+    refused = {r["path"]: r["converted"] for r in with_converted(files).collect()}
+    assert set(refused.values()) == {None}
+    names = ["spark.sql.legacy.javaCharsets", "spark.sql.legacy.codingErrorAction"]
+    try:
+        for name in names:
+            spark.conf.set(name, "true")
+        got = {r["path"]: r["converted"] for r in with_converted(files).collect()}
+        for codec, text in texts.items():
+            assert bytes(got[f"/{codec}.txt"]) == text.encode("utf-8-sig"), codec
+        assert got["/bad.txt"] is None
+        overrides = files.selectExpr("path", "label AS encoding")
+        results = audit(files.drop("label"), [".txt"], overrides=overrides).results
+        errors = {r["path"]: r["error_description"] for r in results.where("error_skipped").collect()}
+        assert errors == {"/hit.txt": "Cannot check hit.txt in gb2312"}
+    finally:
+        for name in names:
+            spark.conf.unset(name)

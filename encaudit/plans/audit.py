@@ -99,8 +99,10 @@ def audit_tree(
     path: str,
     extensions: Iterable[str],
     skip_dirs: Iterable[str] = (),
+    overrides: DataFrame | None = None,
     **options,
 ) -> Audit:
     """``audit`` of a directory tree or of one file."""
     extensions = list(extensions)
-    return audit(files_to_audit(spark, path, extensions, skip_dirs), extensions, **options)
+    files = files_to_audit(spark, path, extensions, skip_dirs, overrides)
+    return audit(files, extensions, **options)

@@ -85,8 +85,10 @@ def repair_tree(
     path: str,
     extensions: Iterable[str],
     skip_dirs: Iterable[str] = (),
+    overrides: DataFrame | None = None,
     **options,
 ) -> Repair:
     """``repair`` of a directory tree or of one file."""
     extensions = list(extensions)
-    return repair(files_to_audit(spark, path, extensions, skip_dirs), extensions, **options)
+    files = files_to_audit(spark, path, extensions, skip_dirs, overrides)
+    return repair(files, extensions, **options)

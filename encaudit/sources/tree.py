@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from encaudit.functions.kinds import SAMPLE_BYTES
 from encaudit.functions.paths import is_pruned, skip_names
+from encaudit.operators.encoding import with_overrides
 from encaudit.operators.selection import has_extension
 from encaudit.session import settle
 
@@ -233,10 +234,20 @@ def _is_file(path: str) -> bool:
 
 
 def files_to_audit(
-    spark: SparkSession, path: str, extensions: Iterable[str], skip_dirs: Iterable[str] = ()
+    spark: SparkSession,
+    path: str,
+    extensions: Iterable[str],
+    skip_dirs: Iterable[str] = (),
+    overrides: DataFrame | None = None,
 ) -> DataFrame:
-    """Every file of a tree; only those with a wanted extension are opened."""
+    """Every file of a tree; only those with a wanted extension are opened.
+
+    ``overrides(path, encoding)`` join the listing, so no content is shuffled
+    for them, however many there are.
+    """
     listing = listing_of(spark, path, skip_dirs)
+    if overrides is not None:
+        listing = with_overrides(listing, overrides)
     wanted = has_extension(F.col("path"), extensions)
     opened = read_contents(balance(listing.where(wanted)))
     return opened.unionByName(

@@ -194,6 +194,8 @@ def test_auditing_and_repairing_one_file(spark, tmp_path):
     path.write_bytes("x � y".encode())
     assert audit_tree(spark, str(path), [".txt"]).findings.count() == 1
     assert audit_tree(spark, str(path), [".md"]).results.first()["action"] == "skip"
+    named = spark.createDataFrame([(str(path), "cp1252")], "path string, encoding string")
+    assert not audit_tree(spark, str(path), [".txt"], overrides=named).findings.first()["char_found"]
     table = "path string, absolute_char_index bigint, rank int, suggestion string"
     proposals = spark.createDataFrame([(str(path), 2, 1, "e")], table)
     done = repair_tree(spark, str(path), [".txt"], proposals=proposals)

@@ -31,7 +31,7 @@ _HIDDEN = "\xef\xbf\xbd"
 
 # Letters and marks make up a word; a damaged character may have been one.
 LETTER = r"[\p{L}\p{M}]"
-NOT_LETTER = r"[^\p{L}\p{M}]"
+UP_TO_LAST_NOT_LETTER = r"(?s)\A.*[^\p{L}\p{M}]"
 DAMAGED_WORD = rf"{LETTER}*+{REPLACEMENT}[\p{{L}}\p{{M}}{REPLACEMENT}]*+"
 
 FINDING_FIELDS = [
@@ -101,15 +101,20 @@ def _measure(
         .otherwise(F.length(F.substring_index(part, "\n", -1)))
         .alias("tail"),
     ]
-    if with_word:
-        closed = F.regexp_like(part, F.lit(NOT_LETTER))
-        fields += [
-            closed.alias("closed"),
-            F.when(closed, F.length(F.regexp_extract(part, rf"{LETTER}*+\z", 0)))
-            .otherwise(F.length(part) + F.when(follows, 1).otherwise(0))
-            .alias("run"),
-        ]
-    return F.struct(*fields)
+    if not with_word:
+        return F.struct(*fields)
+    # everything up to the last character that is no letter
+    closed_part = F.length(F.regexp_extract(part, UP_TO_LAST_NOT_LETTER, 0))
+    return bind(
+        closed_part,
+        lambda closed: F.struct(
+            *fields,
+            (closed > 0).alias("closed"),
+            (
+                F.length(part) - closed + F.when(follows & (closed == 0), 1).otherwise(0)
+            ).alias("run"),
+        ),
+    )
 
 
 def _combine(with_word: bool):

@@ -119,16 +119,19 @@ def walk(spark: SparkSession, root: str, skip_dirs: Iterable[str] = ()) -> DataF
     names = skip_names(skip_dirs)
     root = root if root == "/" else root.rstrip("/")
     level = spark.createDataFrame([(root, "", DIRECTORY, 0, None)], _ENTRY)
-    levels = []
+    levels, directories = [], 1
     while True:
         spreaded = level.select("path", "relative_path")
         if levels:
             nested = F.concat("relative_path", F.lit("/")).alias("relative_path")
-            spreaded = level.select("path", nested).repartition(_tasks(spark), "path")
+            spreaded = level.select("path", nested).repartition(
+                min(_tasks(spark), directories), "path"
+            )
         found = settle(spreaded.mapInArrow(_list_level(names), _ENTRY))
         levels.append(found.where(F.col("kind") != DIRECTORY))
         level = found.where(F.col("kind") == DIRECTORY)
-        if level.isEmpty():
+        directories = level.count()
+        if directories == 0:
             break
     entries = levels[0]
     for more in levels[1:]:
@@ -264,8 +267,9 @@ def balance(listing: DataFrame, partitions: int | None = None) -> DataFrame:
     spark = listing.sparkSession
     if partitions is None:
         split = F.lit(_bytes_of(spark.conf.get("spark.sql.files.maxPartitionBytes")))
-        total = listing.agg(F.ceil(F.coalesce(F.sum("length"), F.lit(0)) / split)).first()[0]
-        partitions = max(_tasks(spark), int(total))
+        splits = F.ceil(F.coalesce(F.sum("length"), F.lit(0)) / split)
+        needed, files = listing.agg(splits, F.count(F.lit(1))).first()
+        partitions = max(int(needed), min(_tasks(spark), files), 1)
     return listing.repartition(partitions, "path")
 
 

@@ -93,10 +93,12 @@ class Automaton:
                 alive[left + right] = w
         self.tokens = alive
         self.longest = max(map(len, alive))
+        self.packed = {n: n.to_bytes(4, "little") for n in self.labels}
         self.arcs: dict[int, bool] = {}
-        self.words: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.split = regex.compile(pieces_pattern(), regex.V1).findall
-        self.runs = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+").findall
+        self.split_runs = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+").findall
         self.border = re.compile(f"(?<=[^{SPACES}])(?=[{SPACES}])").search
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
 
@@ -133,28 +135,42 @@ class Automaton:
         return found
 
     def spell(self, word: bytes) -> list[int]:
-        """The tokens on the path that spells a word: the state after each byte, then back."""
-        after = [-1] * (len(word) + 1)
-        for end in range(1, len(word) + 1):
-            for start in range(max(0, end - self.longest), end):
-                token = self.tokens.get(word[start:end])
-                if token is not None and (start == 0 or self.arc(after[start], token)):
-                    after[end] = token
+        """The tokens on the one path that spells a word; long tokens are tried first."""
+        path: list[tuple[int, int, int]] = []
+        ended: set[tuple[int, int]] = set()
+        tokens, at, state = self.tokens, 0, -1
+        size = min(len(word), self.longest)
+        while at < len(word):
+            while size:
+                token = tokens.get(word[at : at + size])
+                if token is not None and (state < 0 or self.arc(state, token)) and (at + size, token) not in ended:
                     break
-        path, end = [], len(word)
-        while end:
-            path.append(after[end])
-            end -= len(self.labels[after[end]])
-        return path[::-1]
+                size -= 1
+            if size:
+                path.append((token, state, size))
+                at, state = at + size, token
+                size = min(len(word) - at, self.longest)
+            else:
+                ended.add((at, state))
+                _, state, size = path.pop()
+                at, size = at - size, size - 1
+        return [token for token, _, _ in path]
 
     def _run(self, run: str) -> bytes:
         """Packed ids of one run: white space and what follows it up to the next white space."""
-        ids = [n for piece in self.split(run) for n in self.spell(piece.encode())]
-        packed = np.array(ids, "<u4").tobytes()
-        if len(self.words) >= TABLE:
-            self.words.clear()
-        if len(run) <= 64:
-            self.words[run] = packed
+        known = self.pieces
+        packed = b"".join([known.get(piece) or self._piece(piece) for piece in self.split(run)])
+        return self._kept(self.runs, run, packed)
+
+    def _piece(self, piece: str) -> bytes:
+        return self._kept(self.pieces, piece, b"".join(map(self.packed.__getitem__, self.spell(piece.encode()))))
+
+    @staticmethod
+    def _kept(table: dict[str, bytes], key: str, packed: bytes) -> bytes:
+        if len(table) >= TABLE:
+            table.clear()
+        if len(key) <= 64:
+            table[key] = packed
         return packed
 
     def encode(self, text: str) -> bytes:
@@ -165,16 +181,16 @@ class Automaton:
         """
         packed, at = [], 0
         for found in self.specials.finditer(text):
-            packed += [*self._plain(text, at, found.start()), np.array([self.special[found[0]]], "<u4").tobytes()]
+            packed += [*self._plain(text, at, found.start()), self.packed[self.special[found[0]]]]
             at = found.end()
         return b"".join([*packed, *self._plain(text, at, len(text))])
 
     def _plain(self, text: str, start: int, end: int) -> Iterator[bytes]:
-        known = self.words
+        known = self.runs
         while start < end:
             found = self.border(text, start + SLICE, end) if end - start > SLICE else None
             cut = found.start() if found else end
-            yield b"".join([known.get(run) or self._run(run) for run in self.runs(text, start, cut)])
+            yield b"".join([known.get(run) or self._run(run) for run in self.split_runs(text, start, cut)])
             start = cut
 
     def decode(self, packed: bytes) -> str:

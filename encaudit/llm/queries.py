@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from encaudit.llm import bpe, decontamination, exact_dedup, simhash, url_filter
+from encaudit.llm import bpe, decontamination, exact_dedup, secrets, simhash, toxicity, url_filter
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -31,6 +31,14 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -46,6 +54,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op3_bpe": op3_bpe,
+    "op4_toxicity": op4_toxicity,
+    "op5_secrets": op5_secrets,
     "op6_decontamination": op6_decontamination,
     "op9_simhash": op9_simhash,
     "op10_exact_dedup": op10_exact_dedup,

@@ -4,8 +4,8 @@ Disguised words (``1d10t``, ``m o r o n``, ``looooser``) are read as the output
 channel that swaps, separates and repeats letters. Every character opens a few
 readings; the Viterbi path through this lattice under a character trigram model of
 the whole corpus is the restored word. Words are then scored by their beginnings:
-each beginning has a cautious estimate of the share of toxic documents among the
-labelled documents that contain it.
+each has bounds for the share of toxic documents among the labelled documents that
+contain it, and longer beginnings overrule shorter ones.
 """
 
 from __future__ import annotations
@@ -38,8 +38,8 @@ LONGEST = 7
 FIT_DOCUMENTS = 20_000
 #: At most so many beginnings are kept, the surest first.
 MAX_FEATURES = 100_000
-#: Standard deviations below the observed share.
-CAUTION = 4.0
+#: Standard deviations that a share of toxic documents is taken below, and above, the observed one.
+BELOW, ABOVE = 4.0, 1.0
 #: The highest so many words of a document are combined.
 TOP_WORDS = 3
 THRESHOLD = 0.3
@@ -173,8 +173,13 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def word_scores(docs: DataFrame, labels: DataFrame, counts: np.ndarray) -> tuple[dict[str, float], float]:
-    """Features with the cautious share of toxic documents among those that have them, and the overall share.
+def word_scores(
+    docs: DataFrame, labels: DataFrame, counts: np.ndarray
+) -> tuple[dict[str, tuple[float, float]], float]:
+    """Features with bounds of the share of toxic documents among those that have them, and the overall share.
+
+    Kept are beginnings that surely stand for more than the overall share, and
+    longer ones that deny it; their number is bounded by ``MAX_FEATURES`` of each.
 
     Fitted on a bounded sample: the first ``FIT_DOCUMENTS`` labelled documents
     outside the held-out fold, in the order of a hash of their ids, each text once.
@@ -221,16 +226,48 @@ def word_scores(docs: DataFrame, labels: DataFrame, counts: np.ndarray) -> tuple
         .groupBy("feature")
         .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     )
-    share, n = F.col("toxic") / (F.col("clean") + F.col("toxic")), F.col("clean") + F.col("toxic")
-    square = F.lit(CAUTION**2)
-    lower = (
-        share + square / (2 * n) - CAUTION * F.sqrt(share * (1 - share) / n + square / (4 * n * n))
-    ) / (1 + square / n)
-    best = counted.select("feature", share.alias("share"), lower.alias("score"))
-    overall = best.where("feature = ''").first()
+    share = F.col("toxic") / (F.col("clean") + F.col("toxic"))
+    shares = counted.select("feature", share.alias("share"), *_bounds(F.col("clean"), F.col("toxic")))
+    overall = shares.where("feature = ''").first()
     base = overall["share"] if overall else 0.0
-    kept = best.where((F.col("feature") != "") & (F.col("score") > base)).orderBy(F.desc("score"), "feature")
-    return {row["feature"]: row["score"] for row in kept.limit(MAX_FEATURES).collect()}, base
+    shares = shares.where("feature <> ''").select("feature", "low", "high")
+    sure = shares.where(F.col("low") > base).orderBy(F.desc("low"), "feature").limit(MAX_FEATURES)
+    shorter = F.transform(F.sequence(F.lit(3), F.lit(LONGEST)), lambda n: F.substring("feature", 1, n))
+    denied = (
+        shares.where(F.col("low") <= base)
+        .select("*", F.explode(shorter).alias("start"))
+        .join(sure.select(F.col("feature").alias("start")), "start", "left_semi")
+        .where(F.col("start") != F.col("feature"))
+        .groupBy("feature")
+        .agg(F.first("low").alias("low"), F.first("high").alias("high"))
+        .orderBy("high", "feature")
+        .limit(MAX_FEATURES)
+    )
+    kept = sure.unionByName(denied).collect()
+    return {row["feature"]: (row["low"], row["high"]) for row in kept}, base
+
+
+def _bounds(clean: Column, toxic: Column) -> tuple[Column, Column]:
+    """Lower and upper bound of the share behind two counts, by Wilson's score."""
+    n = clean + toxic
+    share = toxic / n
+
+    def bound(deviations: float) -> Column:
+        square = deviations**2
+        spread = F.sqrt(share * (1 - share) / n + square / (4 * n * n))
+        return (share + square / (2 * n) + deviations * spread) / (1 + square / n)
+
+    return bound(-BELOW).alias("low"), bound(ABOVE).alias("high")
+
+
+def word_risk(word: str, scores: dict[str, tuple[float, float]], base: float) -> float:
+    """The overall share, moved into the bounds of ever longer beginnings of the word."""
+    risk = base
+    for feature in _beginnings(word):
+        if feature in scores:
+            low, high = scores[feature]
+            risk = min(max(risk, low), high)
+    return max(risk, base)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -260,8 +297,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
         def risks(token: str) -> tuple[float, ...]:
             found = seen.get(token)
             if found is None:
-                each = (max((known.get(part, 0.0) for part in _beginnings(word)), default=0.0) for word in words(token))
-                found = tuple(risk for risk in each if risk)
+                found = tuple(risk for word in words(token) if (risk := word_risk(word, known, base)) > base)
                 if len(seen) >= TABLE:
                     seen.clear()
                 if len(token) <= 64:

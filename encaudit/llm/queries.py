@@ -6,7 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from encaudit.llm import bpe, decontamination, exact_dedup, secrets, simhash, toxicity, url_filter
+from encaudit.llm import (
+    bpe,
+    decontamination,
+    exact_dedup,
+    line_dedup,
+    secrets,
+    simhash,
+    toxicity,
+    url_filter,
+)
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -20,6 +29,11 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(pages, url_filter.rule_table(spark, url_filter.RULES))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.repeated_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", "removed", "kept_in")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bpe.read_vocabulary(public_tokenizers.path(VOCABULARY))
     decoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
@@ -53,6 +67,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_line_dedup": op2_line_dedup,
     "op3_bpe": op3_bpe,
     "op4_toxicity": op4_toxicity,
     "op5_secrets": op5_secrets,

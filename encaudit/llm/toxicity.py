@@ -318,3 +318,12 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
         .mapInArrow(run, f"doc_id {kind}, score double")
         .select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
     )
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are not predicted to be toxic.
+
+    All rows of a doc_id go when the highest score among them reaches the threshold.
+    """
+    toxic = toxicity(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("_toxic_id")).distinct()
+    return docs.join(toxic, docs["doc_id"].eqNullSafe(toxic["_toxic_id"]), "left_anti")

@@ -13,6 +13,7 @@ from encaudit.llm import (
     line_dedup,
     secrets,
     simhash,
+    suffix_dedup,
     toxicity,
     url_filter,
 )
@@ -57,6 +58,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -72,6 +77,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_secrets": op5_secrets,
     "op6_decontamination": op6_decontamination,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_simhash": op9_simhash,
     "op10_exact_dedup": op10_exact_dedup,
 }

@@ -41,8 +41,8 @@ LATER = (
 )
 #: Characters of a text that are split into words at a time.
 SLICE = 1 << 20
-#: Entries after which a table of arcs or words is started anew.
-TABLE = 1 << 20
+#: Entries after which a table of runs, words or arcs is started anew: what an executor holds.
+MAX_RUNS, MAX_PIECES, MAX_ARCS = 1 << 19, 1 << 19, 1 << 18
 #: A larger vocabulary file is refused instead of sent to every executor.
 MAX_VOCABULARY_BYTES = 64 << 20
 
@@ -92,7 +92,9 @@ class Automaton:
                 self.born[w], self.halves[w] = step, (u, v)
                 alive[left + right] = w
         self.tokens = alive
-        self.longest = max(map(len, alive))
+        self.reach: dict[bytes, int] = {}
+        for token in alive:
+            self.reach[token[:3]] = max(len(token), self.reach.get(token[:3], 0))
         self.packed = {n: n.to_bytes(4, "little") for n in self.labels}
         self.arcs: dict[int, bool] = {}
         self.runs: dict[str, bytes] = {}
@@ -129,7 +131,7 @@ class Automaton:
         key = x << 32 | y
         found = self.arcs.get(key)
         if found is None:
-            if len(self.arcs) >= TABLE:
+            if len(self.arcs) >= MAX_ARCS:
                 self.arcs.clear()
             found = self.arcs[key] = self._arc(x, y, len(self.merged))
         return found
@@ -138,8 +140,8 @@ class Automaton:
         """The tokens on the one path that spells a word; long tokens are tried first."""
         path: list[tuple[int, int, int]] = []
         ended: set[tuple[int, int]] = set()
-        tokens, at, state = self.tokens, 0, -1
-        size = min(len(word), self.longest)
+        tokens, reach, at, state = self.tokens, self.reach, 0, -1
+        size = min(len(word), reach.get(word[:3], 2))
         while at < len(word):
             while size:
                 token = tokens.get(word[at : at + size])
@@ -149,7 +151,7 @@ class Automaton:
             if size:
                 path.append((token, state, size))
                 at, state = at + size, token
-                size = min(len(word) - at, self.longest)
+                size = min(len(word) - at, reach.get(word[at : at + 3], 2))
             else:
                 ended.add((at, state))
                 _, state, size = path.pop()
@@ -160,14 +162,14 @@ class Automaton:
         """Packed ids of one run: white space and what follows it up to the next white space."""
         known = self.pieces
         packed = b"".join([known.get(piece) or self._piece(piece) for piece in self.split(run)])
-        return self._kept(self.runs, run, packed)
+        return self._kept(self.runs, MAX_RUNS, run, packed)
 
     def _piece(self, piece: str) -> bytes:
-        return self._kept(self.pieces, piece, b"".join(map(self.packed.__getitem__, self.spell(piece.encode()))))
+        return self._kept(self.pieces, MAX_PIECES, piece, b"".join(map(self.packed.__getitem__, self.spell(piece.encode()))))
 
     @staticmethod
-    def _kept(table: dict[str, bytes], key: str, packed: bytes) -> bytes:
-        if len(table) >= TABLE:
+    def _kept(table: dict[str, bytes], most: int, key: str, packed: bytes) -> bytes:
+        if len(table) >= most:
             table.clear()
         if len(key) <= 64:
             table[key] = packed

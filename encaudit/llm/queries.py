@@ -11,6 +11,7 @@ from encaudit.llm import (
     decontamination,
     exact_dedup,
     line_dedup,
+    pii,
     secrets,
     simhash,
     suffix_dedup,
@@ -19,6 +20,8 @@ from encaudit.llm import (
 )
 
 VOCABULARY = "byte_bpe_50k.json"
+#: Key of the registered query; a user keeps their own key secret.
+SURROGATE_KEY = b"key of the registered query"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +61,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"), SURROGATE_KEY)
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
 
@@ -77,6 +84,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_secrets": op5_secrets,
     "op6_decontamination": op6_decontamination,
+    "op7_pii": op7_pii,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_simhash": op9_simhash,
     "op10_exact_dedup": op10_exact_dedup,

@@ -12,6 +12,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from encaudit.session import settle
+
 WINDOW = 13
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Beyond so many different benchmark windows the set is not broadcast.
@@ -67,15 +69,15 @@ def contamination(
     different texts gives a row each. Extra columns are not read. Empty tables:
     no documents give no rows, no benchmark gives no hits.
 
-    The set is broadcast only up to ``max_broadcast_windows``, which are counted
-    first; a larger one is joined by a shuffle of the window hashes.
+    The windows are counted first. Only ``max_broadcast_windows`` of them are
+    broadcast at a time; a larger set is cut by hash, and each part probed in a pass
+    of its own over the documents.
     """
     windows = benchmark_windows(benchmark, n)
     # One row: how many windows there are, and their at most n different lengths.
     facts = windows.agg(F.count(F.lit(1)).alias("windows"), F.collect_set("n").alias("lengths")).first()
     lengths = sorted(facts["lengths"]) or [n]
-    if facts["windows"] <= max_broadcast_windows:
-        windows = F.broadcast(windows)
+    passes = max(1, -(-facts["windows"] // max_broadcast_windows))
     words = docs.select(
         "doc_id",
         F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_hash"),
@@ -96,11 +98,17 @@ def contamination(
     probes = probes.withColumn(
         "probe", F.when(F.col("start") + F.col("length") <= F.col("n_words"), F.xxhash64(window))
     )
-    found = probes.join(
-        windows,
-        (F.col("probe") == F.col("gram_hash")) & (F.array_join(window, " ") == F.col("gram")),
-        "left",
-    ).where((F.col("start") == 0) | F.col("gram").isNotNull())
+    same = (F.col("probe") == F.col("gram_hash")) & (F.array_join(window, " ") == F.col("gram"))
+    columns = ["doc_id", "text_hash", "n_words", "start", "length", "gram", "items"]
+
+    def probed(part: int, how: str) -> DataFrame:
+        held = windows.where(F.pmod("gram_hash", F.lit(passes)) == part) if passes > 1 else windows
+        return probes.join(F.broadcast(held), same, how)
+
+    # The first pass also brings one row of every document, whether it is hit or not.
+    found = probed(0, "left").where((F.col("start") == 0) | F.col("gram").isNotNull()).select(columns)
+    for part in range(1, passes):
+        found = found.unionByName(settle(probed(part, "inner").select(columns)))
     span = F.when(F.col("gram").isNotNull(), F.struct("start", (F.col("start") + F.col("length")).alias("end")))
     return (
         found.groupBy("doc_id", "text_hash", "n_words")

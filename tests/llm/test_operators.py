@@ -1,0 +1,409 @@
+"""The operators on small tables with planted cases, against plain Python and defined results."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from encaudit.llm import (
+    bpe,
+    components,
+    decontamination,
+    exact_dedup,
+    line_dedup,
+    pii,
+    secrets,
+    simhash,
+    suffix_dedup,
+    toxicity,
+    url_filter,
+)
+from tests.llm import plain
+
+WORDS = "amber birch cedar dune ember fjord grove heath inlet juniper kelp lagoon moss nectar oasis prairie".split()
+CLASHING = ["digest", "salt", "key", "n", "line_no", "line_id", "text_hash", "words", "score", "place", "a", "b"]
+
+
+def sentence(rnd: random.Random, n: int) -> str:
+    return " ".join(rnd.choice(WORDS) + rnd.choice(["", "s", "y"]) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    """Copies, near copies, shared passages, empty, null, long and odd texts."""
+    rnd = random.Random(5)
+    passage = sentence(rnd, 60)
+    texts = [None, "", " \n\t ", "\n\n", "é\x00ß", "a", "same text", "same text", "Same text", passage]
+    texts += ["\n".join(sentence(rnd, rnd.randrange(1, 40)) for _ in range(rnd.randrange(1, 6))) for _ in range(40)]
+    texts += [texts[10], texts[10] + " kelp", texts[11].upper(), texts[12].replace("s ", " ", 1)]
+    texts += [sentence(rnd, 5) + "\n" + passage + " " + sentence(rnd, 5) for _ in range(6)]
+    texts += ["x" * 5000, "ab " * 3000, "\n".join([passage] * 30), sentence(rnd, 30_000)]
+    return list(enumerate(texts, start=3))
+
+
+@pytest.fixture(scope="module")
+def docs(spark, corpus):
+    """The corpus with extra columns whose names the operators use themselves."""
+    table = spark.createDataFrame(corpus, "doc_id long, text string").repartition(5)
+    return table.select("*", *(F.lit(name).alias(name) for name in CLASHING))
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null ids, null texts and repeated rows."""
+    rows = [(None, None), (None, "x y"), (None, "x y"), (1, None), (2, "x y"), (2, "x y"), (2, "z"), (3, "")]
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], "doc_id long, text string")
+
+
+def rows_of(table, *columns):
+    return sorted((tuple(row) for row in table.select(*columns or table.columns).collect()), key=str)
+
+
+def test_exact(docs, corpus, odd, empty):
+    groups = defaultdict(list)
+    for doc, text in corpus:
+        groups[text or ""].append(doc)
+    expected = [
+        (doc, max(groups[text or ""]), len(groups[text or ""]), doc == max(groups[text or ""]), plain.sha(text or ""))
+        for doc, text in corpus
+    ]
+    for salts in (1, 3):
+        assert rows_of(exact_dedup.exact_duplicates(docs, salts)) == sorted(expected, key=str)
+    found = rows_of(exact_dedup.exact_duplicates(odd, 4), "doc_id", "keep_id", "group_size", "kept")
+    assert found == sorted(
+        [
+            (None, 3, 3, False), (1, 3, 3, False), (3, 3, 3, True),
+            (None, 2, 4, False), (None, 2, 4, False), (2, 2, 4, False), (2, 2, 4, True),
+            (2, 2, 1, True),
+        ],
+        key=str,
+    )
+    assert exact_dedup.exact_duplicates(empty).count() == 0
+    assert exact_dedup.without_duplicates(docs).columns == docs.columns
+    assert exact_dedup.without_duplicates(docs).count() == len(groups)
+
+
+URLS = [
+    None, "", "no scheme", "http://", "://", "HTTP://Example.ORG/es/x", "http://example.org/en/12?q", "http://a.org",
+    "http://org/", "http://notexample.org/es/", "ftp://WWW.a.example.org/es/", "http://x.com/fr/a#b", "http://x.com/de/",
+    "http://com.net/fr/", "http://x.com:80/de/", "http://example.org./es/", "http://a.com?x=/de/", "a://b://c.org/",
+    "http://é.org/", "http://x.com/de/" + "p" * 20_000,
+]
+
+
+def judged(url, rules):
+    rest = url.split("://", 1)[1] if url and "://" in url else ""
+    ends = [rest.index(c) if c in rest else len(rest) for c in "/?#"]
+    host, rest = rest[: min(ends)].translate(plain.UPPER), rest[min(ends) :]
+    path = rest[: min(rest.index(c) if c in rest else len(rest) for c in "?#")]
+    fits = [
+        (len(h) + len(p), len(h), h + p, v) for h, p, v in rules if f".{host}".endswith(f".{h}") and path.startswith(p)
+    ]
+    return (host, path, *(max(fits)[2:] if fits else (None, "allow")))
+
+
+def test_urls(spark):
+    rnd = random.Random(3)
+    urls = URLS + [
+        f"http://{'.'.join(rnd.choices(['a', 'b', 'example', 'org', 'com'], k=rnd.randrange(1, 5)))}/"
+        f"{rnd.choice(['', 'es/', 'en/1', 'en/', 'fr/', 'de/', 'es/x'])}"
+        for _ in range(300)
+    ]
+    pages = spark.createDataFrame([(k, u, "h") for k, u in enumerate(urls)], "page_id long, url string, key string")
+    nested = [("org", "/", "allow"), ("a.org", "/", "block"), ("b.a.org", "/es", "allow"), ("b.a.org", "/es/", "block"),
+              ("com", "/", "block"), ("example.com", "/en/", "allow"), ("a-b.org", "/", "block")]
+    for rules in (url_filter.RULES, nested):
+        for per_block in (200_000, 2):
+            table = url_filter.rule_table(spark, rules)
+            found = url_filter.judge_urls(pages, table, buckets=4, rules_per_block=per_block)
+            assert rows_of(found) == sorted(((k, *judged(u, rules)) for k, u in enumerate(urls)), key=str)
+
+
+def test_urls_odd(spark):
+    pages = spark.createDataFrame([(None, None), (None, None), (1, "http://a.org/"), (1, "http://a.org/")], "page_id long, url string")
+    rules = spark.createDataFrame(
+        [(None, "/", "block"), ("", "/", "block"), ("org", None, "block"), ("ORG", "/", "allow"), ("org", "/", "block")],
+        "host string, path string, verdict string",
+    )
+    found = rows_of(url_filter.judge_urls(pages, rules))
+    assert found == [(1, "a.org", "/", "org/", "block")] * 2 + [(None, "", "", None, "allow")] * 2
+    assert rows_of(url_filter.judge_urls(pages, rules.limit(0)), "verdict") == [("allow",)] * 4
+    assert url_filter.judge_urls(pages.limit(0), rules).count() == 0
+
+
+def test_contamination(spark, docs, corpus, odd, empty):
+    passage = dict(corpus)[12]
+    items = [(1, passage), (2, passage[40:]), (3, "Amber, birch!"), (4, ""), (5, None), (2, "kelps kelpy"), (30, passage)]
+    benchmark = spark.createDataFrame([(*item, "w") for item in items], "item_id long, text string, words string")
+    expected = sorted(plain.contamination_rows(corpus, items), key=str)
+    assert rows_of(decontamination.report(docs, benchmark)) == expected
+    passes = decontamination.contamination(docs, benchmark, max_broadcast_windows=15)
+    assert rows_of(passes, "doc_id", "n_words", "n_hit") == sorted((row[:3] for row in expected), key=str)
+    clean = {row[0] for row in expected if not row[5]}
+    kept = decontamination.without_contaminated(docs, benchmark)
+    assert kept.columns == docs.columns
+    assert {row["doc_id"] for row in kept.collect()} == clean
+    assert decontamination.report(empty, benchmark).count() == 0
+    assert rows_of(decontamination.report(odd, benchmark.limit(0)), "doc_id", "n_words", "n_hit") == sorted(
+        [(None, 0, 0), (None, 2, 0), (1, 0, 0), (2, 2, 0), (2, 1, 0), (3, 0, 0)], key=str
+    )
+    assert decontamination.without_contaminated(odd, benchmark).count() == odd.count()
+
+
+def test_lines(docs, corpus, odd, empty):
+    for largest in (256, 3):
+        found = {row["doc_id"]: row for row in line_dedup.repeated_lines(docs, max_bucket=largest).collect()}
+        got = {doc: (row["n_lines"], list(zip(row["removed"], row["kept_in"]))) for doc, row in found.items()}
+        assert got == plain.line_rows(corpus)
+    kept = line_dedup.without_repeated_lines(docs)
+    assert kept.columns == docs.columns
+    texts = {row["doc_id"]: row["text"] for row in kept.collect()}
+    for doc, (n, gone) in plain.line_rows(corpus).items():
+        if n and len(gone) == n:
+            assert doc not in texts
+        elif gone:
+            dropped = {k for k, _ in gone}
+            lines = dict(corpus)[doc].split("\n")
+            assert texts[doc] == "\n".join(line for k, line in enumerate(lines) if k not in dropped)
+        else:
+            assert texts[doc] == dict(corpus)[doc]
+    assert line_dedup.repeated_lines(empty).count() == 0
+    assert rows_of(line_dedup.repeated_lines(odd), "doc_id", "n_lines", "n_removed") == sorted(
+        [(None, 0, 0), (None, 1, 0), (1, 0, 0), (2, 1, 1), (2, 1, 0), (3, 0, 0)], key=str
+    )
+
+
+def test_long_lines_have_the_signature_of_their_parts(monkeypatch):
+    line = sentence(random.Random(1), 400)
+    whole = line_dedup.signatures([line, "short", line[:50]])
+    monkeypatch.setattr(line_dedup, "SLICE", 64)
+    assert (line_dedup.signatures([line, "short", line[:50]]) == whole).all()
+
+
+def test_similar_lines_meet_in_a_band():
+    rnd = random.Random(2)
+    missed = 0
+    for _ in range(300):
+        line = sentence(rnd, 30)
+        at = rnd.randrange(20, len(line) - 20)
+        other = line[:at] + "#" * 6 + line[at + 6 :]
+        keys = line_dedup.band_keys(line_dedup.signatures([line, other]))
+        missed += not (keys[0] == keys[1]).any()
+    assert missed <= 6
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return bpe.read_vocabulary(path), Tokenizer.from_file(path)
+
+
+def test_encoding(docs, corpus, odd, empty, vocabulary):
+    source, library = vocabulary
+    rows = bpe.decode(bpe.encode(docs, source), source).collect()
+    assert len(rows) == len(corpus)
+    for row in rows:
+        text = dict(corpus)[row["doc_id"]] or ""
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(row["ids"], "<u4").tolist() == ids and row["n_tokens"] == len(ids)
+        assert row["text"] == text == library.decode(ids, skip_special_tokens=False)
+    assert bpe.decode(bpe.encode(empty, source), source).count() == 0
+    assert rows_of(bpe.encode(odd, source), "doc_id") == rows_of(odd, "doc_id")
+
+
+def test_automaton_agrees_with_the_library(vocabulary, monkeypatch):
+    source, library = vocabulary
+    automaton, rnd = bpe.Automaton(source), random.Random(4)
+    signs = "abcdeinorst 'sStT\n\t\r  \x1c\x85\xa0\u200b0123é日本語абв!?.,<|endoftext|>😀\x00́٣Ⅷ\U00012556"
+    parts = [*signs, "<|endoftext|>", "  ", "'ll", "aaaa", "\n\n", "hello", " world"]
+    monkeypatch.setattr(bpe, "SLICE", 16)
+    for _ in range(1500):
+        text = "".join(rnd.choices(parts, k=rnd.randrange(60)))
+        ids = library.encode(text, add_special_tokens=False).ids
+        packed = automaton.encode(text)
+        assert np.frombuffer(packed, "<u4").tolist() == ids
+        assert automaton.decode(packed) == text
+    ids = [rnd.randrange(50257) for _ in range(2000)]
+    assert automaton.decode(np.array(ids, "<u4").tobytes()) == library.decode(ids, skip_special_tokens=False)
+
+
+def test_small_tables_of_the_automaton_are_renewed(vocabulary, monkeypatch):
+    monkeypatch.setattr(bpe, "MAX_RUNS", 3)
+    monkeypatch.setattr(bpe, "MAX_PIECES", 3)
+    monkeypatch.setattr(bpe, "MAX_ARCS", 3)
+    source, library = vocabulary
+    text = sentence(random.Random(9), 200)
+    packed = bpe.Automaton(source).encode(text)
+    assert np.frombuffer(packed, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_toxicity(spark, docs, corpus, odd, empty):
+    rnd = random.Random(8)
+    texts = [(1000 + k, sentence(rnd, 30)) for k in range(160)]
+    marked = [(doc, f"{text} grumbler {text[:20]}" if doc % 3 == 0 else text) for doc, text in texts]
+    hidden = [(2000, "amber gr0mbler moss"), (2001, "amber g r u m b l e r moss"), (2002, "gruuuuumbler")]
+    every = corpus + marked + hidden
+    table = spark.createDataFrame(every, "doc_id long, text string")
+    labels = spark.createDataFrame(
+        [(doc, int(doc % 3 == 0), "s") for doc, _ in texts] + [(None, 1, "s"), (2000, None, "s")],
+        "doc_id long, toxic int, score string",
+    )
+    found = {row["doc_id"]: row for row in toxicity.toxicity(table, labels).collect()}
+    expected = plain.toxic_scores(every, [(doc, int(doc % 3 == 0)) for doc, _ in texts])
+    assert {doc: round(row["score"], 9) for doc, row in found.items()} == {
+        doc: round(score, 9) for doc, score in expected.items()
+    }
+    assert all(row["predicted"] == int(row["score"] >= 0.3) for row in found.values())
+    assert all(found[doc]["score"] > 0.5 for doc in (2001, 2002))
+    held = [row for doc, row in found.items() if row["held_out"] and 1000 <= doc < 2000]
+    right = sum((row["score"] > 0.5) == (row["doc_id"] % 3 == 0) for row in held)
+    assert len(held) > 20 and right == len(held)
+    assert {row["score"] for row in toxicity.toxicity(odd, labels.limit(0)).collect()} == {0.0}
+    assert toxicity.toxicity(odd, labels).count() == odd.count()
+    assert toxicity.toxicity(empty, labels).count() == 0
+    kept = toxicity.without_toxic(docs, labels)
+    assert kept.columns == docs.columns
+
+
+@pytest.mark.parametrize(
+    ("shown", "meant"), [("gr3nd3l", "grendel"), ("m.o.s.s.y", "mossy"), ("cedaaaar", "cedar"), ("***birch***", "birch")]
+)
+def test_disguised_words_are_restored(spark, shown, meant):
+    texts = spark.createDataFrame([(1, "grendel mossy cedar birch " * 20)], "doc_id long, text string")
+    assert meant in toxicity.Restorer(toxicity.letter_counts(texts)).words(shown)
+
+
+def test_secrets(spark, corpus, odd, empty):
+    rnd = random.Random(6)
+    parts = ["password", "TOKEN", "Api_Key", '"', "'", " ", ":", "=", "abc", "deadbeef", "0123456789abcdef", "AKIA",
+             "ABCDEFGH12345678", "é", "\n", "x-/+_.", "token: ", "secret=", "ghp_" + "a1" * 20]
+    texts = corpus + [(1000 + k, "".join(rnd.choices(parts, k=rnd.randrange(16)))) for k in range(800)]
+    table = spark.createDataFrame([(*row, "k") for row in texts], "doc_id long, text string, spans string")
+    found = secrets.report(table)
+    assert rows_of(found, *found.columns[:5]) == sorted(plain.secret_rows(texts), key=str)
+    assert secrets.report(empty).count() == 0
+    assert rows_of(secrets.report(odd), "doc_id", "spans") == sorted(((r[0], "") for r in odd.collect()), key=str)
+
+
+def test_added_rules_add_spans(spark):
+    text = "é ghp_" + "a1" * 20 + "\n-----BEGIN RSA PRIVATE KEY----- token=abcdef"
+    spans = secrets.report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["spans"]
+    assert spans == "git:2:46,hex:6:46,private_key:47:78,assign:79:91"
+
+
+def test_minimised_automaton_accepts_what_its_patterns_mean():
+    one = secrets.compiled(["(a|bc){2,3}d?", "[^a-y]z+"], anywhere=False)
+
+    def accepted(data: bytes) -> tuple:
+        state = 0
+        for byte in data:
+            state = one.table[state + byte]
+        return one.accepts.get(state, ())
+
+    assert accepted(b"abc") == accepted(b"bcbcad") == (0,)
+    assert accepted(b"zzz") == (1,)
+    assert accepted(b"a") == accepted(b"aaaa") == accepted(b"az") == ()
+    assert len(one.table) // 256 < 20
+
+
+def test_surrogates(spark, docs, odd, empty):
+    texts = [
+        "Mr. John Smith met Mrs Anna Smith. Smith called +1 (017) 555-7713, then +1-017-555-7713.",
+        "JOHN wrote to The.23@MAIL3.example.com and the.23@mail3.example.com from 97.51.17.173",
+        "card 4539578763621486, again 4539 5787 6362 1486, no luhn 4539578763621487; 999.1.1.1 is no address",
+        "господин Иван Петров, Frau Müller, 123-45-6789",
+        None, "", "nothing here",
+    ]
+    table = spark.createDataFrame([(k, t, "z") for k, t in enumerate(texts)], "doc_id long, text string, kind string")
+    new = {row["doc_id"]: row["text"] for row in pii.with_surrogates(table, b"key").collect()}
+    again = {row["doc_id"]: row["text"] for row in pii.with_surrogates(table.repartition(3), b"key").collect()}
+    other = {row["doc_id"]: row["text"] for row in pii.with_surrogates(table, b"other").collect()}
+    assert new == again and new[0] != other[0]
+    assert [new[k] for k in (4, 5, 6)] == [None, "", "nothing here"]
+    for real in ("John", "Smith", "Anna", "555-7713", "97.51.17.173", "4539578763621486", "Петров", "123-45"):
+        assert not any(real in (text or "") for text in new.values())
+    words = new[0].replace(".", "").replace(",", "").split()
+    assert words[1] in pii.NAMES["male", "LATIN"].split() and words[5] in pii.NAMES["female", "LATIN"].split()
+    assert words[2] == words[6] == words[7] and words[2] in pii.NAMES["family", "LATIN"].split()
+    phones = [m["entity"] for m in pii.mentions(new[0]) if m["kind"] == "phone"]
+    assert len(phones) == 2 and len(set(phones)) == 1 and phones[0][0] == "1"
+    cards = [m["entity"] for m in pii.mentions(new[2]) if m["kind"] == "card"]
+    assert cards[0] == cards[1] != cards[2]
+    assert [pii._luhn(card) for card in cards] == [True, True, False]
+    assert "999.1.1.1" in new[2] and pii.script(new[3].split()[1]) == "CYRILLIC"
+    assert pii.with_surrogates(empty, b"key").count() == 0
+    assert rows_of(pii.with_surrogates(odd, b"key")) == rows_of(odd)
+    assert pii.with_surrogates(docs, b"key").columns == docs.columns
+
+
+def test_surrogates_stay_distinct_when_draws_collide(spark):
+    rows = [("family", f"name{chr(97 + k // 26)}{chr(97 + k % 26)}") for k in range(300)] + [("ip", f"{k}.1.1.1") for k in range(10)]
+    entities = spark.createDataFrame(rows, "kind string, entity string")
+    found = pii.assign_surrogates(entities, b"key").collect()
+    assert len(found) == len(rows) == len({(row["kind"], row["surrogate"]) for row in found})
+    assert not {(row["kind"], row["surrogate"]) for row in found} & set(rows)
+
+
+def test_repeated_bytes(docs, corpus, odd, empty):
+    expected = plain.repeat_rows(corpus)
+    assert rows_of(suffix_dedup.report(docs)) == sorted(expected, key=str)
+    for largest in (2, 20):  # salted groups, and keys that hold more and more of the strings
+        found = suffix_dedup.without_repeats(docs, max_group=largest).collect()
+        got = {row["doc_id"]: hashlib.sha256(row["kept"]).hexdigest() for row in found}
+        assert got == {row[0]: row[4] for row in expected}
+    assert suffix_dedup.report(empty).count() == 0
+    assert rows_of(suffix_dedup.report(odd), "doc_id", "n_bytes") == sorted(
+        [(None, 0), (None, 3), (1, 0), (2, 3), (2, 1), (3, 0)], key=str
+    )
+
+
+def test_fingerprints(docs, corpus, odd, empty):
+    expected = sorted(plain.simhash_rows(corpus), key=str)
+    for largest in (8192, 2):
+        assert rows_of(simhash.near_duplicates(docs, max_bucket=largest)) == expected
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert {row["doc_id"] for row in kept.collect()} == {row[2] for row in expected}
+    assert simhash.near_duplicates(empty).count() == 0
+    assert rows_of(simhash.near_duplicates(odd), "doc_id", "component_id") == sorted(
+        [(None, 1), (None, 2), (None, 2), (1, 1), (2, 2), (2, 2), (2, 2), (3, 1)], key=str
+    )
+
+
+@pytest.mark.parametrize(("n", "bits"), [(40, 64), (900, 12), (500, 10), (3000, 18)])
+def test_tree_finds_all_links(n, bits):
+    rnd = np.random.default_rng(n)
+    codes = np.unique(rnd.integers(0, 1 << min(bits, 62), n, dtype=np.uint64))
+    near = np.bitwise_count(codes[:, None] ^ codes[None, :]) <= 2
+    labels = np.arange(len(codes))
+    while (labels != (least := np.where(near, labels, n).min(axis=1))).any():
+        labels = least
+    found = dict(zip(*simhash.linked(codes, np.array([len(codes)]), 2)))
+    assert [found.get(code, code) for code in codes] == codes[labels].tolist()
+
+
+def test_components(spark):
+    rnd = random.Random(7)
+    edges = [(k, k + 1) for k in range(0, 200)] + [(1000, k) for k in range(1001, 1100)]
+    edges += [(rnd.randrange(2000, 2400), rnd.randrange(2000, 2400)) for _ in range(220)] + [(5, 5), (None, 7)]
+    table = spark.createDataFrame(edges, "a long, b long")
+    found = {row["node"]: row["root"] for row in components.components(table).collect()}
+    real = {tuple(sorted(edge)) for edge in edges if None not in edge and edge[0] != edge[1]}
+    nodes = {node for edge in real for node in edge}
+    assert found == plain.components(nodes, lambda a, b: (a, b) in real)
+    assert components.components(table.limit(0)).collect() == []
+
+

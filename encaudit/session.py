@@ -1,9 +1,11 @@
-"""Session helpers: where to cut lineage, and spreading a small input."""
+"""Session helpers: where to cut lineage, and code for the executors."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,14 +41,22 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(table)
 
 
-def spread(df: DataFrame, max_bytes: int = 256 * 1024 * 1024) -> DataFrame:
-    """Spread a small input over all cores; leave a large one as it is.
+_SHIPPED: set[str] = set()
 
-    A Parquet file with one row group is one task, however heavy the work on its
-    rows. Only an input whose size is known and below ``max_bytes`` is shuffled;
-    a large one already has more splits than cores.
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors with their tasks, once per application.
+
+    Functions that run in Python there need it where it is not installed. Spark
+    serves the archive; executors read nothing from the driver's folder.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size > max_bytes:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    archive = f"{tempfile.mkdtemp(prefix='encaudit-code-')}/{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as held:
+        for file in sorted(package.rglob("*.py")):
+            held.write(file, file.relative_to(package.parent))
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)

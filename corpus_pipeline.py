@@ -16,18 +16,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from encaudit.llm import bpe, decontamination, line_dedup, simhash, toxicity
-from encaudit.session import shared_dir
+from encaudit.session import shared_dir, ship_package
 
 VOCABULARY = "byte_bpe_50k.json"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are predicted not to be toxic."""
+    ship_package(spark)
     return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that repeat an earlier one; those with none left go."""
+    ship_package(spark)
     shorter = line_dedup.without_repeated_lines(docs)
     if "n_chars" not in docs.columns:
         return shorter
@@ -37,6 +39,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
+    ship_package(spark)
     return simhash.one_of_each(docs)
 
 
@@ -47,6 +50,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and digests of them and of what they decode to."""
+    ship_package(spark)
     vocabulary = bpe.read_vocabulary(public_tokenizers.path(VOCABULARY))
     return bpe.decode(bpe.encode(docs, vocabulary), vocabulary).select(
         "doc_id",

@@ -18,6 +18,7 @@ from encaudit.llm import (
     toxicity,
     url_filter,
 )
+from encaudit.session import ship_package
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Key of the registered query; a user keeps their own key secret.
@@ -25,6 +26,7 @@ SURROGATE_KEY = b"key of the registered query"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

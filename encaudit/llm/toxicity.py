@@ -21,6 +21,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from encaudit.functions.arrays import bind
+from encaudit.session import settle
+
 #: Letters that look like another character.
 LOOKALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
@@ -40,11 +43,12 @@ FIT_DOCUMENTS = 20_000
 MAX_FEATURES = 100_000
 #: Standard deviations that a share of toxic documents is taken below, and above, the observed one.
 BELOW, ABOVE = 4.0, 1.0
-#: The highest so many words of a document are combined.
-TOP_WORDS = 3
+#: Near copies among the labelled documents count once: those that share one of so many minimum hashes.
+COPY_HASHES = 4
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
-TABLE = 1 << 20
+#: Entries after which a table of a task is emptied.
+TABLE = 1 << 18
 SLICE = 1 << 20
 
 SPACED = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)").findall
@@ -182,7 +186,8 @@ def word_scores(
     longer ones that deny it; their number is bounded by ``MAX_FEATURES`` of each.
 
     Fitted on a bounded sample: the first ``FIT_DOCUMENTS`` labelled documents
-    outside the held-out fold, in the order of a hash of their ids, each text once.
+    outside the held-out fold, in the order of a hash of their ids. Of texts that
+    are copies or near copies one counts, or their words would seem to be toxic.
     """
     sample = (
         labels.where(~held_out() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
@@ -197,6 +202,11 @@ def word_scores(
         .groupBy(F.coalesce("text", F.lit("")).alias("text"))
         .agg(F.max("toxic").alias("toxic"))
     )
+    for number in range(COPY_HASHES):
+        rows = rows.groupBy(_least_shingle(number).alias("least")).agg(
+            F.min("text").alias("text"), F.max("toxic").alias("toxic")
+        )
+    rows = rows.select("text", "toxic")
     sent = docs.sparkSession.sparkContext.broadcast(counts)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +231,7 @@ def word_scores(
                     yield table()
         yield table()
 
-    counted = (
+    counted = settle(
         rows.mapInArrow(count, "feature string, clean long, toxic long")
         .groupBy("feature")
         .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
@@ -247,6 +257,15 @@ def word_scores(
     return {row["feature"]: (row["low"], row["high"]) for row in kept}, base
 
 
+def _least_shingle(seed: int) -> Column:
+    """The smallest hash of the five-word shingles of a text."""
+    def least(words: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - 4, F.lit(1)))
+        return F.array_min(F.transform(starts, lambda at: F.xxhash64(F.slice(words, at, F.lit(5)), F.lit(seed))))
+
+    return bind(F.split(F.lower("text"), r"\s+"), least)
+
+
 def _bounds(clean: Column, toxic: Column) -> tuple[Column, Column]:
     """Lower and upper bound of the share behind two counts, by Wilson's score."""
     n = clean + toxic
@@ -275,20 +294,40 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     ``labels`` (doc_id, toxic) teaches the word scores, without the rows whose
     crc32(doc_id) leaves 2 modulo 4 (``held_out``). The character model counts all
-    texts. Only the text of a document is scored: one minus the chance that
-    neither the overall share of toxic documents nor any of its three highest
-    (different) word scores applies. ``predicted`` is 1 from 0.3 on.
+    texts. Only the text of a document is scored: by the highest of its word scores,
+    at least the overall share of toxic documents. ``predicted`` is 1 from 0.3 on.
 
     A null or empty text has the overall share as its score. A null doc_id is not
     held out; labels with a null id or a null label teach nothing, of repeated
     labels the highest counts. Repeated rows give a row each, extra columns are
     not read. Without any labels all scores are 0; no documents give no rows.
     """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def scored(batch: pa.RecordBatch, scores: list[float]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
+
+    rows = docs.select("doc_id", "text")
+    return rows.mapInArrow(_scorer(docs, labels, 1, scored), f"doc_id {kind}, score double").select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
+    )
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are not predicted to be toxic."""
+
+    def kept(batch: pa.RecordBatch, scores: list[float]) -> pa.RecordBatch:
+        return batch.filter(pa.array([score < THRESHOLD for score in scores], pa.bool_()))
+
+    return docs.mapInArrow(_scorer(docs, labels, docs.columns.index("text"), kept), docs.schema)
+
+
+def _scorer(docs: DataFrame, labels: DataFrame, column: int, made: Callable) -> Callable:
+    """Learns from ``docs`` and ``labels``; gives a function that scores the texts of batches."""
     counts = letter_counts(docs)
     scores, base = word_scores(docs, labels, counts)
     context = docs.sparkSession.sparkContext
     sent_counts, sent_scores = context.broadcast(counts), context.broadcast(scores)
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, known = Restorer(sent_counts.value).words, sent_scores.value
@@ -306,24 +345,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
         for batch in batches:
             scored = []
-            for text in batch.column(1):
-                clean = 1 - base
-                for risk in sorted(document_words(text.as_py() or "", risks))[-TOP_WORDS:]:
-                    clean *= (1 - risk) / (1 - base)
-                scored.append(1 - clean)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scored, pa.float64())], ["doc_id", "score"])
-
-    return (
-        docs.select("doc_id", "text")
-        .mapInArrow(run, f"doc_id {kind}, score double")
-        .select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
-    )
-
+            for text in batch.column(column):
+                scored.append(max(document_words(text.as_py() or "", risks), default=base))
+            yield made(batch, scored)
 
-def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that are not predicted to be toxic.
-
-    All rows of a doc_id go when the highest score among them reaches the threshold.
-    """
-    toxic = toxicity(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("_toxic_id")).distinct()
-    return docs.join(toxic, docs["doc_id"].eqNullSafe(toxic["_toxic_id"]), "left_anti")
+    return run

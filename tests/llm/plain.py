@@ -184,8 +184,5 @@ def toxic_scores(docs, labels) -> dict:
                     if low > base or sure:
                         risk = min(max(risk, low), high)
             risks.add(max(risk, base))
-        left = 1 - base
-        for risk in sorted(r for r in risks if r > base)[-3:]:
-            left *= (1 - risk) / (1 - base)
-        scores[doc] = 1 - left
+        scores[doc] = max(risks, default=base)
     return scores

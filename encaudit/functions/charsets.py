@@ -11,6 +11,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from encaudit.functions.arrays import bind
+from encaudit.functions.legacy import escape_coded, legacy_label
 
 REPLACEMENT = "\ufffd"
 
@@ -168,15 +169,33 @@ def _label_of(content: Column) -> Column:
     text = utf8_view(content)
     view = latin1_view(content)
     nul = "\x00"
-    pairs = F.octet_length(content) / 2
     even = F.octet_length(content) % 2 == 0
-    low = F.length(F.translate(F.regexp_replace(view, "(?s)(.)(.)", "$1"), nul, ""))
-    high = F.length(F.translate(F.regexp_replace(view, "(?s)(.)(.)", "$2"), nul, ""))
-    first_nul = (pairs - low) / pairs >= 0.30
-    second_nul = (pairs - high) / pairs >= 0.30
-    # a pair with NUL on that side has to be a character a text may hold
-    big = view.rlike(rf"(?s)^(?:[^\x00].|\x00[^{_CONTROLS}])*+\z")
-    little = view.rlike(rf"(?s)^(?:.[^\x00]|[^{_CONTROLS}]\x00)*+\z")
+    # a pair with NUL on one side has to be a character a text may hold; the test
+    # ends at the first pair that is none, so most binary files cost no more than that
+    big = rf"(?s)^(?:[^\x00].|\x00[^{_CONTROLS}])*+\z"
+    little = rf"(?s)^(?:.[^\x00]|[^{_CONTROLS}]\x00)*+\z"
+
+    def utf16(shown: Column) -> Column:
+        pairs = F.length(shown) / 2
+        low = F.length(F.translate(F.regexp_replace(shown, "(?s)(.)(.)", "$1"), nul, ""))
+        high = F.length(F.translate(F.regexp_replace(shown, "(?s)(.)(.)", "$2"), nul, ""))
+        shares = F.struct(
+            ((pairs - low) / pairs >= 0.30).alias("first"), ((pairs - high) / pairs >= 0.30).alias("second")
+        )
+        fits = F.struct(shown.rlike(big).alias("big"), shown.rlike(little).alias("little"))
+        return bind(
+            fits,
+            lambda fit: F.when(
+                fit["big"] | fit["little"],
+                bind(
+                    shares,
+                    lambda nuls: F.when(nuls["second"] & ~nuls["first"] & fit["little"], "utf-16le").when(
+                        nuls["first"] & ~nuls["second"] & fit["big"], "utf-16be"
+                    ),
+                ),
+            ),
+        )
+
     return (
         F.when(content.isNull(), None)
         .when(bom.isin("utf-32-le", "utf-32-be"), "utf-32")
@@ -185,19 +204,15 @@ def _label_of(content: Column) -> Column:
         .when(F.octet_length(content) == 0, None)
         .when(
             F.contains(content, raw("00")),
-            F.when(even & second_nul & ~first_nul & little, "utf-16le").when(
-                even & first_nul & ~second_nul & big, "utf-16be"
-            ),
+            F.when(even, bind(view, utf16)),
         )
         .when(
             F.is_valid_utf8(text),
-            F.when(F.length(text) == F.octet_length(content), "ascii").otherwise("utf-8"),
-        )
-        .when(
-            view.rlike("[\x80-\x9f]"),
-            F.when(~view.rlike(f"[{_CP1252_UNDEFINED}]"), "windows-1252"),
+            F.when(F.length(text) != F.octet_length(content), "utf-8")
+            .when(escape_coded(text), "iso-2022-jp")
+            .otherwise("ascii"),
         )
-        .otherwise("iso-8859-1")
+        .otherwise(bind(view, lambda shown: legacy_label(shown, _CP1252_UNDEFINED)))
     )
 
 

@@ -21,13 +21,14 @@ from encaudit.functions.charsets import (
     family_of,
     is_decodable,
     is_encodable,
+    latin1_view,
     scan_pattern,
     with_bom,
 )
 from encaudit.functions.paths import extension
 from encaudit.functions.suggestions import sanitize_suggestion
 from encaudit.operators.findings import damaged_files, findings
-from encaudit.operators.skew import ROWS_PER_SALT, lookup_join
+from encaudit.operators.skew import PARTS, lookup_join
 from encaudit.session import settle
 
 APPLY, RETRY, SKIP = "apply", "retry", "skip"
@@ -213,7 +214,7 @@ def repairs_from_corpus(
     decisions: DataFrame | None = None,
     automatic: bool = True,
     min_support: int = 1,
-    rows_per_salt: int = ROWS_PER_SALT,
+    parts: int = PARTS,
 ) -> DataFrame:
     """Repairs by the characters the clean corpus has in the same word.
 
@@ -231,7 +232,7 @@ def repairs_from_corpus(
         # the lookup reads its rows twice; the join with the decisions runs once
         places = settle(places)
     keys = ["pattern", "word_offset", "rank"]
-    proposed = lookup_join(places, ranked, keys, PLACE, rows_per_salt)
+    proposed = lookup_join(places, ranked, keys, PLACE, parts)
     return _outcome(proposed, automatic, min_support)
 
 
@@ -291,13 +292,14 @@ def _rewritten() -> Column:
             start = F.coalesce(end, plan["skip"].cast("long")).cast("int")
             length = fix["byte_sequence_file_pos"].cast("int") - start
             kept = F.substring(bound["content"], start + 1, length)
-            return F.concat(F.hex(kept), F.hex(encode_text(fix["suggestion"], plan["family"])))
+            new = encode_text(fix["suggestion"], plan["family"])
+            return F.concat(latin1_view(kept), latin1_view(new))
 
         after = (F.element_at(fixes, -1)["byte_sequence_file_pos"] + width).cast("int")
         rest = F.substring(bound["content"], after + 1, F.octet_length(bound["content"]))
-        digits = F.concat(F.array_join(F.transform(fixes, slice_before), ""), F.hex(rest))
+        view = F.concat(F.array_join(F.transform(fixes, slice_before), ""), latin1_view(rest))
         return bind(
-            F.struct(F.unhex(digits).alias("body"), plan.alias("plan")),
+            F.struct(F.encode(view, "ISO-8859-1").alias("body"), plan.alias("plan")),
             lambda done: with_bom(_sound(done["body"], done["plan"]["family"]), done["plan"]),
         )
 

@@ -12,6 +12,9 @@ from encaudit.functions.findings import finding_array, has_damage
 from encaudit.operators.encoding import to_utf8_bom
 from encaudit.operators.selection import with_selection
 
+#: Longer contents do not fit into a binary value of Spark.
+_ROW_BYTES = (1 << 31) - 64
+
 SKIP, CONVERT, CHECK, REPAIR, ERROR = "skip", "convert", "check", "repair", "error"
 
 # Fixed value: how a converted file is labelled.
@@ -57,6 +60,9 @@ def with_action(
     A file whose extension is not wanted gets no label; its content is not looked at.
     """
     chosen = with_selection(files, extensions)
+    if "unreadable" in files.columns:
+        # a directory that could not be listed is an error whatever its name looks like
+        chosen = chosen.withColumn("selected", F.col("selected") | F.col("unreadable"))
     detected = detect_label(F.col("content"))
     if "encoding_override" in files.columns:
         detected = F.coalesce("encoding_override", detected)
@@ -96,11 +102,13 @@ def audit_files(
     )
     new = F.col("new_content")
     unreadable = content.isNull() & F.col("selected")
+    too_large = unreadable & (F.col("length") > F.lit(_ROW_BYTES)) if "length" in files.columns else F.lit(False)
     unsupported = action.isin(CHECK, REPAIR) & F.col("family").isNull()
     failed = (action == CONVERT) & new.isNull()
     unsearched = action.isin(CHECK, REPAIR) & is_jvm(F.col("family")) & has_damage(content, plan)
     error = (
-        F.when(unreadable, F.concat(F.lit("Cannot read "), "file_name"))
+        F.when(too_large, F.concat(F.lit("Too large for a row: "), "file_name"))
+        .when(unreadable, F.concat(F.lit("Cannot read "), "file_name"))
         .when(action == ERROR, F.concat(F.lit("Cannot detect encoding of "), "file_name"))
         .when(
             unsupported,

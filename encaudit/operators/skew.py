@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ROWS_PER_SALT = 1_000_000
+#: A key with more than one row in so many is split; there are fewer such keys than this.
+PARTS = 1_000
 
 
 def lookup_join(
@@ -13,18 +14,19 @@ def lookup_join(
     lookup: DataFrame,
     keys: list[str],
     spread_by: list[str],
-    rows_per_salt: int = ROWS_PER_SALT,
+    parts: int = PARTS,
 ) -> DataFrame:
     """Left join of many rows to a lookup with at most one row per key.
 
     The rows are counted per key first, with partial counts before the shuffle.
-    A key with more than ``rows_per_salt`` rows is split into that many salts:
-    its rows spread by a hash of ``spread_by`` and its one lookup row is repeated
-    per salt. There are at most ``count(rows) / rows_per_salt`` such keys, so the
-    table of them is small enough to send to every task. ``rows`` is read twice:
+    A key with more than one ``parts``-th of all rows is split into salts of about
+    that size: its rows spread by a hash of ``spread_by`` and its one lookup row is
+    repeated per salt. There are fewer than ``parts`` such keys, however many rows,
+    so the table of them can be sent to every task. ``rows`` is read three times:
     pass a settled or written DataFrame.
     """
-    salts = F.ceil(F.col("n_rows") / F.lit(rows_per_salt)).cast("int")
+    size = max(1, rows.count() // parts)
+    salts = F.ceil(F.col("n_rows") / F.lit(size)).cast("int")
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
     wanted = counts.select(*keys, salts.alias("salts"))
     hot = F.broadcast(wanted.where(F.col("salts") > 1))

@@ -7,11 +7,9 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 
 from encaudit.operators.census import extension_census
-from encaudit.sources.tree import balance, listing_of, read_heads
+from encaudit.sources.tree import balance_files, listing_of, read_heads
 
 
 def census(spark: SparkSession, root: str, skip_dirs: Iterable[str] = ()) -> DataFrame:
     """Census of one file or of all files below a root, whatever their extension."""
-    listing = listing_of(spark, root, skip_dirs)
-    tasks = spark.sparkContext.defaultParallelism * 4
-    return extension_census(read_heads(balance(listing, tasks)))
+    return extension_census(read_heads(balance_files(listing_of(spark, root, skip_dirs))))

@@ -4,13 +4,20 @@ Spark's own ``binaryFile`` reader leaves out names that start with a dot or an
 underscore, also when they are asked for. The walk sees every file. It lists one
 level of directories per round, each directory in some task, so neither the
 driver nor one task ever holds the whole listing.
+
+A path is a plain absolute path, or ``scheme://authority/path`` for a store that
+Arrow reaches. Paths are literal: blanks and ``%`` mean themselves. What cannot be
+listed is a row of kind ``unreadable``; a root that does not exist, or whose scheme
+nobody knows, raises an error at once.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import sys
 from collections.abc import Iterable, Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -37,7 +44,48 @@ _ENTRY = T.StructType(
     ]
 )
 _BATCH_ENTRIES = 10_000
-FILE, DIRECTORY, PRUNED = "file", "directory", "pruned"
+FILE, DIRECTORY, PRUNED, UNREADABLE = "file", "directory", "pruned", "unreadable"
+#: Spark holds no longer binary value in a row.
+_ROW_BYTES = (1 << 31) - 64
+
+
+def located(path: str) -> str:
+    """The one form of a path: absolute, ``file:`` and closing slashes taken off."""
+    local = re.match(r"file:(?://(?:localhost)?(?=/))?(.*)", path, re.S)
+    if local:
+        path = local[1]
+    elif "://" in path:
+        return path.rstrip("/")
+    return os.path.abspath(path)
+
+
+def _system(path: str):
+    """Arrow's file system of a URI, and the path in it."""
+    from pyarrow import fs
+
+    scheme, _, rest = path.partition("://")
+    authority, slash, inner = rest.partition("/")
+    return fs.FileSystem.from_uri(f"{scheme}://{authority}{slash}{quote(inner)}")
+
+
+def _kind_of_root(path: str) -> str:
+    """``file`` or ``directory``; raises if there is no such path or no way to it."""
+    if "://" in path:
+        from pyarrow import fs
+
+        try:
+            system, inner = _system(path)
+        except (ValueError, NotImplementedError) as error:
+            scheme = path.partition("://")[0]
+            raise ValueError(
+                f"No file system for {scheme}:// here; scan_visible_files reads what Spark reaches"
+            ) from error
+        found = system.get_file_info(inner).type
+        if found == fs.FileType.NotFound:
+            raise FileNotFoundError(path)
+        return FILE if found == fs.FileType.File else DIRECTORY
+    os.stat(path)
+    return DIRECTORY if os.path.isdir(path) else FILE
 
 
 def _entries(path: str) -> Iterator[tuple[str, str, int, float]]:
@@ -45,7 +93,7 @@ def _entries(path: str) -> Iterator[tuple[str, str, int, float]]:
     if "://" in path:
         from pyarrow import fs
 
-        system, inner = fs.FileSystem.from_uri(path)
+        system, inner = _system(path)
         for info in system.get_file_info(fs.FileSelector(inner)):
             kind = DIRECTORY if info.type == fs.FileType.Directory else FILE
             modified = info.mtime.timestamp() if info.mtime else 0.0
@@ -99,8 +147,14 @@ def _list_level(skip: list[str]):
                             yield pa.RecordBatch.from_pylist(rows, schema=schema)
                             rows = []
                 except OSError:
-                    # like an unreadable directory in an ordinary walk: passed over
-                    pass
+                    rows.append(
+                        {
+                            "path": row["path"],
+                            "relative_path": row["relative_path"].rstrip("/"),
+                            "kind": UNREADABLE,
+                            "length": 0,
+                        }
+                    )
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
@@ -110,14 +164,17 @@ def _list_level(skip: list[str]):
 def walk(spark: SparkSession, root: str, skip_dirs: Iterable[str] = ()) -> DataFrame:
     """Every file below ``root``, and every directory that was skipped.
 
-    Columns ``path``, ``relative_path``, ``kind`` (``file`` or ``pruned``),
-    ``length``, ``modificationTime``. Directories to skip are not descended into,
-    so nothing below them is listed; the root itself is never skipped. Links to
-    directories are not followed. One round per level of the tree; each level is
+    Columns ``path``, ``relative_path``, ``kind`` (``file``, ``pruned`` or
+    ``unreadable``), ``length``, ``modificationTime``. Directories to skip are not
+    descended into, so nothing below them is listed; the root itself is never
+    skipped. A directory that cannot be listed, or not to its end, is a row of kind
+    ``unreadable``. Links to directories are not followed. One round per level of the tree; each level is
     settled, so a lost executor costs one level, not the whole walk.
     """
     names = skip_names(skip_dirs)
-    root = root if root == "/" else root.rstrip("/")
+    root = located(root)
+    if _kind_of_root(root) != DIRECTORY:
+        raise NotADirectoryError(root)
     level = spark.createDataFrame([(root, "", DIRECTORY, 0, None)], _ENTRY)
     levels, directories = [], 1
     while True:
@@ -146,10 +203,20 @@ def list_files(spark: SparkSession, root: str, skip_dirs: Iterable[str] = ()) ->
 
 def single_file(spark: SparkSession, path: str) -> DataFrame:
     """Listing of one file. Directories above it are never skipped."""
-    folder, _, name = path.rpartition("/")
-    parent = spark.createDataFrame([(folder or "/", "", DIRECTORY, 0, None)], _ENTRY)
-    found = parent.select("path", "relative_path").mapInArrow(_list_level([]), _ENTRY)
-    return found.where((F.col("kind") == FILE) & (F.col("relative_path") == name)).drop("kind")
+    path = located(path)
+    if _kind_of_root(path) != FILE:
+        raise IsADirectoryError(path)
+    if "://" in path:
+        system, inner = _system(path)
+        info = system.get_file_info(inner)
+        size, modified = info.size or 0, info.mtime
+    else:
+        from datetime import UTC, datetime
+
+        status = os.stat(path)
+        size, modified = status.st_size, datetime.fromtimestamp(status.st_mtime, UTC)
+    row = (path, path.rpartition("/")[2], FILE, size, modified)
+    return spark.createDataFrame([row], _ENTRY).drop("kind")
 
 
 def skipped_directories(entries: DataFrame) -> DataFrame:
@@ -162,9 +229,7 @@ def skipped_directories(entries: DataFrame) -> DataFrame:
 def _read(path: str, size: int | None) -> bytes | None:
     try:
         if "://" in path:
-            from pyarrow import fs
-
-            system, inner = fs.FileSystem.from_uri(path)
+            system, inner = _system(path)
             with system.open_input_stream(inner) as stream:
                 return stream.read(size) if size else stream.read()
         with open(path, "rb") as stream:
@@ -173,14 +238,14 @@ def _read(path: str, size: int | None) -> bytes | None:
         return None
 
 
-def _reader(size: int | None, max_length: int | None):
+def _reader(size: int | None):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number in range(batch.num_rows):
                 row = batch.slice(number, 1)
                 length = row.column("length")[0].as_py()
-                large = size is None and max_length is not None and length > max_length
-                content = None if large else _read(row.column("path")[0].as_py(), size)
+                fits = size is not None or length <= _ROW_BYTES
+                content = _read(row.column("path")[0].as_py(), size) if fits else None
                 # one file per batch: a task holds one content at a time
                 columns = [*row.columns, pa.array([content], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, [*row.schema.names, "content"])
@@ -188,25 +253,22 @@ def _reader(size: int | None, max_length: int | None):
     return task
 
 
-def _with_content(listing: DataFrame, size: int | None, max_length: int | None) -> DataFrame:
+def _with_content(listing: DataFrame, size: int | None) -> DataFrame:
     schema = T.StructType([*listing.schema.fields, T.StructField("content", T.BinaryType())])
-    return listing.mapInArrow(_reader(size, max_length), schema)
+    return listing.mapInArrow(_reader(size), schema)
 
 
-def read_contents(listing: DataFrame, max_length: int | None = None) -> DataFrame:
-    """Adds ``content``. Null for a file that cannot be read or is over ``max_length``.
+def read_contents(listing: DataFrame) -> DataFrame:
+    """Adds ``content``. Null for a file that cannot be read, or that no row can hold (2 GiB).
 
     Filter the listing first: what is filtered out is never opened.
     """
-    if max_length is None:
-        named = listing.sparkSession.conf.get("spark.sql.sources.binaryFile.maxLength")
-        max_length = int(named)
-    return _with_content(listing, None, max_length)
+    return _with_content(listing, None)
 
 
 def read_heads(listing: DataFrame, size: int = SAMPLE_BYTES) -> DataFrame:
     """Adds ``content`` with the first bytes only: all a census needs."""
-    return _with_content(listing, size, None)
+    return _with_content(listing, size)
 
 
 def scan_files(
@@ -220,20 +282,22 @@ def scan_files(
     return read_contents(balance(listing, partitions))
 
 
-def listing_of(spark: SparkSession, path: str, skip_dirs: Iterable[str] = ()) -> DataFrame:
-    """Listing of a directory tree, or of the one file the path names."""
-    if _is_file(path):
-        return single_file(spark, path)
-    return list_files(spark, path, skip_dirs)
-
-
-def _is_file(path: str) -> bool:
-    if "://" in path:
-        from pyarrow import fs
+def listing_of(
+    spark: SparkSession, path: str, skip_dirs: Iterable[str] = (), with_unreadable: bool = False
+) -> DataFrame:
+    """Listing of a directory tree, or of the one file the path names.
 
-        system, inner = fs.FileSystem.from_uri(path)
-        return system.get_file_info(inner).type == fs.FileType.File
-    return os.path.isfile(path)
+    ``with_unreadable`` adds the directories that could not be listed, and a column
+    ``unreadable`` that tells them from files.
+    """
+    path = located(path)
+    if _kind_of_root(path) == FILE:
+        listing = single_file(spark, path).withColumn("kind", F.lit(FILE))
+    else:
+        listing = walk(spark, path, skip_dirs).where(F.col("kind") != PRUNED)
+    if with_unreadable:
+        return listing.withColumn("unreadable", F.col("kind") == UNREADABLE).drop("kind")
+    return listing.where(F.col("kind") == FILE).drop("kind")
 
 
 def files_to_audit(
@@ -245,13 +309,14 @@ def files_to_audit(
 ) -> DataFrame:
     """Every file of a tree; only those with a wanted extension are opened.
 
-    ``overrides(path, encoding)`` join the listing, so no content is shuffled
-    for them, however many there are.
+    Directories that cannot be listed come along with ``unreadable`` set, and end as
+    error rows. ``overrides(path, encoding)`` join the listing, so no content is
+    shuffled for them, however many there are.
     """
-    listing = listing_of(spark, path, skip_dirs)
+    listing = listing_of(spark, path, skip_dirs, with_unreadable=True)
     if overrides is not None:
         listing = with_overrides(listing, overrides)
-    wanted = has_extension(F.col("path"), extensions)
+    wanted = has_extension(F.col("path"), extensions) & ~F.col("unreadable")
     opened = read_contents(balance(listing.where(wanted)))
     return opened.unionByName(
         listing.where(~wanted).withColumn("content", F.lit(None).cast("binary"))
@@ -273,6 +338,13 @@ def balance(listing: DataFrame, partitions: int | None = None) -> DataFrame:
     return listing.repartition(partitions, "path")
 
 
+def balance_files(listing: DataFrame, files_per_task: int = 20_000) -> DataFrame:
+    """A listing spread by path so that each task opens about so many files."""
+    files = listing.count()
+    needed = -(-files // files_per_task)
+    return listing.repartition(max(needed, min(_tasks(listing.sparkSession), files), 1), "path")
+
+
 def _bytes_of(setting: str) -> int:
     units = {"b": 1, "k": 2**10, "m": 2**20, "g": 2**30}
     digits = setting.strip().lower().rstrip("b") or "0"

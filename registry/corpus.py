@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from encaudit.functions.charsets import CP1252, LATIN1, encode_text
-from encaudit.session import settle, spread
+from encaudit.session import settle
 from encaudit.sources.tables import files_from_table
 
 FOLDERS = ["src", "lib", ".git", "node_modules", "docs"]
@@ -46,8 +46,13 @@ def _pick(names: list[str], number: Column) -> Column:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """Columns of a test table; a small table is spread over all cores."""
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns))
+    """Columns of a test table, dealt over the shuffle partitions by a hash of the row.
+
+    The tables come as single files of few row groups, whatever work their rows are.
+    """
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return table.repartition(tasks, F.xxhash64(*columns))
 
 
 def c_code(text: Column) -> Column:

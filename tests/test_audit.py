@@ -7,37 +7,36 @@ from encaudit import audit
 from encaudit.operators import reports
 from encaudit.operators.routing import originals_to_back_up, with_action
 
-LANGUAGES = {"python": ".py", "cpp": ".cpp", "csharp": ".cs"}
-CHARSETS = {
-    "ascii": ("ascii", "plain words", True),
-    "windows_1252": ("cp1252", "“città” … 10 €", True),
-    "iso_8859_1": ("iso-8859-1", "città là è perché", True),
-    "utf8": ("utf-8", "città là è perché", False),
-    "utf8_sig": ("utf-8-sig", "città là è perché", False),
-    "utf16": ("utf-16", "città là è perché", False),
-}
-TEMPLATES = ["{0}\nvalue = 1\n", 'text = "{0}"\n\n\nlast {0}\n']
-
-
-def corpus_rows():
-    for language, extension in LANGUAGES.items():
-        for key, (codec, words, converts) in CHARSETS.items():
-            for number, template in enumerate(TEMPLATES, 1):
-                path = f"/{language}/{key}/{key}_{language}_case_{number:02}{extension}"
-                yield path, template.format(words), codec, converts
-
-
-def test_all_languages_and_charsets_end_to_end(make_files):
-    cases = list(corpus_rows())
-    assert len(cases) == 36
-    files = make_files([(path, text.encode(codec), None) for path, text, codec, _ in cases]).drop("label")
-    done = audit(files, [".py", ".cpp", ".cs"], checks=True, convert=True)
+SUFFIXES = [".cs", ".py", ".cpp"]
+# Words, the codec they are stored in, its label, and whether a conversion changes the file.
+STORED = [
+    ("żółta gęś, jaźń i świt", "iso8859-2", "iso-8859-2", True),
+    ("tide pool", "ascii", "ascii", True),
+    ("señal débil", "latin-1", "iso-8859-1", True),
+    ("„Ærø“ – 7 €", "cp1252", "windows-1252", True),
+    ("řeka \u2192 moře", "utf-8", "utf-8", False),
+    ("река и море", "utf-8-sig", "utf-8-sig", False),
+    ("θάλασσα", "utf-16", "utf-16", False),
+]
+FORMS = ["{0}\r\nreef = 3\r\n", "tide('{0}')\n\t{0}"]
+
+
+def stored_files():
+    for suffix in SUFFIXES:
+        for number, (words, codec, label, changes) in enumerate(STORED):
+            for form, template in enumerate(FORMS):
+                yield f"/shore{number}/{codec}/f{form}{suffix}", template.format(words), codec, label, changes
+
+
+def test_every_charset_and_suffix_end_to_end(make_files):
+    cases = list(stored_files())
+    files = make_files([(path, text.encode(codec), None) for path, text, codec, _, _ in cases]).drop("label")
+    done = audit(files, SUFFIXES, checks=True, convert=True)
     converted = {r["path"]: bytes(r["content"]) for r in done.converted.collect()}
-    assert converted == {path: text.encode("utf-8-sig") for path, text, _, converts in cases if converts}
+    assert converted == {path: text.encode("utf-8-sig") for path, text, _, _, changes in cases if changes}
     assert done.findings.count() == 0
     labels = {r["path"]: r["encoding_before"] for r in done.results.collect()}
-    names = {"cp1252": "windows-1252"}
-    assert labels == {path: names.get(codec, codec) for path, _, codec, _ in cases}
+    assert labels == {path: label for path, _, _, label, _ in cases}
 
 
 def actions(make_files, content, label_path="/a.py", **options):

@@ -20,14 +20,14 @@ def contexts_of(spark, texts, function):
 @pytest.mark.parametrize(
     ("extension", "text", "expected"),
     [
-        (".cpp", f"if (isOk) {{ // param {M} is odd\n", ["comment"]),
-        (".cpp", f'printf("// no {M}");\nprintf("/* no {M} */");\n', ["code", "code"]),
-        (".c", f"// bad {M}\nvalue = 1; {M}\n", ["comment", "code"]),
-        (".h", f"/* a {M}\n{M} */ {M} /* open {M}", ["comment", "comment", "code", "comment"]),
-        (".py", f'value = 1  # note {M}\nprint("# no {M}")\n', ["comment", "code"]),
-        (".py", f'"""doc # {M}""" # {M}', ["code", "comment"]),
-        (".py", f"'it\\'s {M}' # {M}", ["code", "comment"]),
-        (".txt", f"plain {M}\n", ["unsupported"]),
+        (".h", f"a = b / {M}; // {M} / {M}\n{M}", ["code", "comment", "comment", "code"]),
+        (".cs", f"s = \"\\\"{M}\"; /* \"{M} */ c = '\"'; {M} // {M}", ["code", "comment", "code", "comment"]),
+        (".c", f"/*/ {M} */ {M} /**/ {M} //", ["comment", "code", "code"]),
+        (".cpp", f"x = 1; // tail \\\n{M}", ["code"]),
+        (".py", f"s = '#{M}' + \"\\\"#{M}\" #{M}\n{M}", ["code", "code", "comment", "code"]),
+        (".py", f"'''# {M}\n\"\"\" {M}''' # {M}", ["code", "code", "comment"]),
+        (".py", f"x = \"open {M}\n# {M}", ["code", "code"]),
+        (".rst", f".. // {M} #{M}", ["unsupported", "unsupported"]),
         ("", f"{M}{M}", ["unsupported", "unsupported"]),
         (".cs", "", []),
     ],

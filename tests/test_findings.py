@@ -17,29 +17,27 @@ def collected(found):
 def test_known_files(make_files):
     files = make_files(
         [
-            ("/a/sample.c", b"\xef\xbb\xbf// bad \xef\xbf\xbd\nvalue = 1; \xef\xbf\xbd\n", "utf-8"),
-            ("/b/inline.cpp", f"if (x) {{ // Se param {M} un id\n".encode(), "utf-8"),
-            ("/c/hidden.cpp", b"// hidden \xef\xbf\xbd sequence\n", "cp1252"),
-            ("/d/plain.txt", f"plain {M}\n".encode(), "utf-8"),
-            ("/e/seven.cpp", b"value = left + right;\nmore = one + two;\n", "utf-7"),
-            ("/f/clean.cpp", b"// nothing\n", "utf-8"),
-            ("/g/lossy.txt", b"only after decoding \xff\n", "utf-8"),
+            ("/p/volume.h", f"#define RHO 7\n/* ma{M}ch */ int d{M}r;\n".encode("utf-8-sig"), "utf-8"),
+            ("/q/route.cs", f"go(); // \u03b1{M}\n".encode("utf-16-be"), "utf-16be"),
+            ("/r/narrow.c", b"n = 0; /* la\xef\xbf\xbdt */", "iso-8859-2"),
+            ("/s/notes.rst", f"{M}".encode(), "utf-8"),
+            ("/t/shift.cpp", b"char k = 'x'; // +-\n", "utf-7"),
+            ("/u/sound.py", b"# all well\n", "utf-8"),
+            ("/v/cut.md", b"half a character \xe2\x82", "utf-8"),
         ]
     )
     rows = collected(findings(files, with_text=True))
-    assert [row["file_name"] for row in rows] == [
-        "sample.c", "sample.c", "inline.cpp", "hidden.cpp", "plain.txt",
+    got = [(row["file_name"], row["comment_context"], row["byte_sequence_file_pos"]) for row in rows]
+    assert got == [
+        ("volume.h", "comment", 22), ("volume.h", "code", 36), ("route.cs", "comment", 20),
+        ("narrow.c", "comment", 12), ("notes.rst", "unsupported", 0),
     ]
-    assert [row["comment_context"] for row in rows] == [
-        "comment", "code", "comment", "comment", "unsupported",
-    ]
-    assert [row["is_commented"] for row in rows] == [True, False, True, True, False]
-    first, second, _, hidden, _ = rows
-    assert (first["byte_sequence_file_pos"], first["absolute_char_index"]) == (10, 7)
-    assert (second["line"], second["char_position"], second["string"]) == (2, 11, f"value = 1; {M}")
-    assert (hidden["char_found"], hidden["char_position"]) == (False, -1)
-    assert hidden["absolute_char_index"] is None
-    assert hidden["byte_sequence_file_pos"] == 10
+    first, second, wide, narrow, alone = rows
+    assert (first["line"], first["char_position"], first["absolute_char_index"]) == (2, 5, 19)
+    assert (second["char_position"], second["string"]) == (17, f"/* ma{M}ch */ int d{M}r;")
+    assert (wide["char_position"], wide["is_commented"]) == (10, True)
+    assert (narrow["char_found"], narrow["char_position"], narrow["absolute_char_index"]) == (False, -1, None)
+    assert (alone["line"], alone["char_position"], alone["is_commented"]) == (1, 0, False)
 
 
 def test_line_text_keeps_its_indent_and_string_does_not(make_files):
@@ -125,13 +123,13 @@ def test_findings_need_no_shuffle(make_files):
 def test_commented_lines(spark, make_files):
     files = make_files(
         [
-            ("/file.c", b"int a = 1;\r\n// comment\r\nint b = 2;\r\n", "utf-8"),
-            ("/block.c", b"/*\ninside\n*/\nint x = 0;\n", "utf-8"),
+            ("/gear.cs", b"run();\r// stop\r\n  // wait\nrun(); // go\n", "utf-8"),
+            ("/tube.h", b"/* one */\n/*\n\ntwo\n*/ f();\n", "utf-8"),
         ]
     )
     lines = {(r["path"], r["line"]): r["is_commented"] for r in commented_lines(files).collect()}
-    assert lines[("/file.c", 2)] and not lines[("/file.c", 1)]
-    assert lines[("/block.c", 2)] and not lines[("/block.c", 4)]
-    asked = spark.createDataFrame([("/file.c", 0), ("/file.c", 2), ("/file.c", 99)], "path string, line int")
+    assert [lines["/gear.cs", n] for n in range(1, 5)] == [False, True, True, False]
+    assert lines["/tube.h", 2] and lines["/tube.h", 4] and not lines["/tube.h", 6]
+    asked = spark.createDataFrame([("/gear.cs", -1), ("/gear.cs", 3), ("/gear.cs", 50)], "path string, line int")
     answers = {r["line"]: r["is_commented"] for r in are_lines_commented(files, asked).collect()}
-    assert answers == {0: False, 2: True, 99: False}
+    assert answers == {-1: False, 3: True, 50: False}

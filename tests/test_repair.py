@@ -11,7 +11,7 @@ from encaudit.operators.skew import lookup_join
 from encaudit.plans.repair import repair
 from tests.models import MARK
 
-LINE = f"// questo {MARK} un esempio\n"
+LINE = f"the na{MARK}ve reading\n"
 
 
 @pytest.mark.parametrize(
@@ -122,10 +122,10 @@ def test_accepted_retried_skipped_and_failed(spark, make_files):
 
 
 def test_hidden_damage_is_counted_and_left_alone(spark, make_files):
-    content = b"// questo \xef\xbf\xbd esempio\n"
+    content = b"old caf\xef\xbf\xbd menu\n"
     files = make_files([("/a.txt", content, None)]).drop("label")
     overrides = spark.createDataFrame([("/a.txt", "cp1252")], "path string, encoding string")
-    offered = proposals(spark, [("/a.txt", 10, 1, "e")])
+    offered = proposals(spark, [("/a.txt", 7, 1, "e")])
     done = repair(files, [".txt"], proposals=offered, automatic=True, overrides=overrides)
     summary, contents = outcome(done)
     row = summary["/a.txt"]
@@ -134,9 +134,9 @@ def test_hidden_damage_is_counted_and_left_alone(spark, make_files):
 
 
 def test_unencodable_repair_fails_and_leaves_the_file(spark, make_files):
-    files = make_files([("/a.txt", b"questo \xef\xbf\xbd esempio\n", None)]).drop("label")
+    files = make_files([("/a.txt", b"z\xef\xbf\xbdro\n", None)]).drop("label")
     overrides = spark.createDataFrame([("/a.txt", "ascii")], "path string, encoding string")
-    offered = proposals(spark, [("/a.txt", 7, 1, "è")])
+    offered = proposals(spark, [("/a.txt", 1, 1, "é")])
     done = repair(files, [".txt"], proposals=offered, automatic=True, overrides=overrides)
     summary, contents = outcome(done)
     assert (summary["/a.txt"]["failed"], summary["/a.txt"]["applied"]) == (1, 0)
@@ -204,7 +204,7 @@ def test_repair_context_and_external_scorer(spark, make_files):
 def test_lookup_join_splits_a_hot_key(spark):
     rows = spark.range(3000).selectExpr("id", "IF(id % 3 = 0, 'hot', concat('k', id % 50)) AS key")
     lookup = spark.createDataFrame([("hot", 1), ("k1", 2), ("unused", 3)], "key string, value int")
-    joined = lookup_join(rows, lookup, ["key"], ["id"], rows_per_salt=100)
+    joined = lookup_join(rows, lookup, ["key"], ["id"], parts=30)
     plain = rows.join(lookup, "key", "left")
     assert joined.count() == 3000
     assert joined.select("id", "key", "value").exceptAll(plain.select("id", "key", "value")).count() == 0

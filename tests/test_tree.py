@@ -4,7 +4,9 @@ import os
 
 import pytest
 
-from encaudit import audit_tree, census, repair_tree
+from pyspark.sql import functions as F
+
+from encaudit import audit, audit_tree, census, repair_tree
 from encaudit.functions import paths
 from encaudit.operators.census import census_totals, extension_census, text_extensions
 from encaudit.operators.selection import pruned_directories
@@ -17,85 +19,130 @@ from encaudit.streaming.arrivals import arriving_files, arriving_findings
 @pytest.fixture
 def folder(tmp_path):
     files = {
-        "a.py": b"print('x')\n",
-        "README": b"read me\n",
-        "b.cpp": "int x;\n".encode("utf-16"),
-        "payload.bin": b"\x00\x01",
-        ".hidden.py": b"# hidden\n",
-        "_private.py": b"# private\n",
-        ".git/ignored.py": b"x",
-        "src/.git/node_modules/deep.py": b"x",
-        "src/a b+c%20.py": b"# odd name\n",
-        "src/node_modules/x/.git/y.js": b"y",
-        "src/in/è.h": b"int e;\n",
+        "kelp.py": b"depth = 4\n",
+        "LICENCE": b"free\n",
+        "wave.cpp": "int crest;\n".encode("utf-16"),
+        "shell.dat": b"\x07\x00\x08",
+        ".tide.py": b"# low\n",
+        "_foam.py": b"# high\n",
+        ".jj/store.py": b"s",
+        "bay/.jj/vendor/pier.py": b"p",
+        "bay/a b+c%20.py": b"# odd name\n",
+        "bay/vendor/x/.jj/y.js": b"y",
+        "bay/cove/\u00e8.h": b"int e;\n",
     }
     for name, content in files.items():
         path = tmp_path / name
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_bytes(content)
-    (tmp_path / "src/in/node_modules").mkdir()
-    os.symlink(tmp_path / "src", tmp_path / "linked")
+    (tmp_path / "bay/cove/vendor").mkdir()
+    os.symlink(tmp_path / "bay", tmp_path / "linked")
     os.symlink(tmp_path / "gone", tmp_path / "broken.txt")
     return tmp_path, files
 
 
-def test_walk_sees_hidden_files_and_prunes_before_descent(spark, folder):
-    root, _ = folder
-    entries = settle(tree.walk(spark, str(root), [" .git", "node_modules", ""]))
-    files = {r["relative_path"] for r in entries.where("kind = 'file'").collect()}
-    assert files == {
-        "a.py", "README", "b.cpp", "payload.bin", ".hidden.py", "_private.py", "broken.txt",
-        "src/a b+c%20.py", "src/in/è.h",
-    }
+SEEN = {
+    "kelp.py", "LICENCE", "wave.cpp", "shell.dat", ".tide.py", "_foam.py", "broken.txt",
+    "bay/a b+c%20.py", "bay/cove/\u00e8.h",
+}
+
+
+@pytest.mark.parametrize("form", ["{0}", "{0}/", "file:{0}", "file://{0}", "file://localhost{0}/"])
+def test_walk_sees_hidden_files_and_prunes_before_descent(spark, folder, form):
+    root, contents = folder
+    entries = settle(tree.walk(spark, form.format(root), [" .jj", "vendor", ""]))
+    assert {r["relative_path"] for r in entries.where("kind = 'file'").collect()} == SEEN
     skipped = {r["directory"] for r in tree.skipped_directories(entries).collect()}
-    assert skipped == {".git", "src/.git", "src/node_modules", "src/in/node_modules"}
+    assert skipped == {".jj", "bay/.jj", "bay/vendor", "bay/cove/vendor"}
+    read = tree.read_contents(entries.where("kind = 'file'")).collect()
+    got = {r["relative_path"]: r["content"] for r in read}
+    assert got.pop("broken.txt") is None
+    assert {name: bytes(content) for name, content in got.items()} == {n: contents[n] for n in got}
+
+
+def test_stores_of_arrow_take_paths_literally(spark, folder, monkeypatch):
+    """A store other than the local one, through Arrow's own handling of URIs."""
+    root, contents = folder
+    from pyarrow import fs
+
+    def opened(path):
+        return fs.SubTreeFileSystem(str(root), fs.LocalFileSystem()), path.partition("://")[2].partition("/")[2]
+
+    monkeypatch.setattr(tree, "_system", opened)
+    names = {name for name, *_ in tree._entries("mem://store/bay")}
+    assert names == {".jj", "a b+c%20.py", "vendor", "cove"}
+    assert tree._read("mem://store/bay/a b+c%20.py", None) == contents["bay/a b+c%20.py"]
+
+
+def test_wrong_paths_raise(spark, folder, monkeypatch):
+    root, _ = folder
+    for wrong in (f"{root}/gone", f"file:{root}/gone"):
+        with pytest.raises(FileNotFoundError):
+            tree.listing_of(spark, wrong)
+    with pytest.raises(FileNotFoundError):
+        audit_tree(spark, f"{root}/gone", [".py"])
+    with pytest.raises(NotADirectoryError):
+        tree.walk(spark, f"{root}/kelp.py")
+    with pytest.raises(ValueError, match="nowhere://"):
+        tree.listing_of(spark, "nowhere://a/b")
+    monkeypatch.chdir(root / "bay")
+    assert [r["path"] for r in tree.listing_of(spark, "a b+c%20.py").collect()] == [f"{root}/bay/a b+c%20.py"]
+    assert tree.listing_of(spark, "cove").count() == 1
+
+
+def test_unreadable_directories_are_error_rows(spark, folder, monkeypatch):
+    root, _ = folder
+    level = spark.createDataFrame([(f"{root}/bay/none", "bay/none/", "directory", 0, None)], tree._ENTRY)
+    found = level.select("path", "relative_path").mapInArrow(tree._list_level([]), tree._ENTRY).collect()
+    assert [(r["relative_path"], r["kind"]) for r in found] == [("bay/none", "unreadable")]
+    files = tree.list_files(spark, str(root / "bay")).withColumn("unreadable", F.lit(False))
+    gone = files.limit(1).withColumns({"path": F.lit(f"{root}/bay/none"), "unreadable": F.lit(True)})
+    listed = tree.read_contents(files).unionByName(gone.withColumn("content", F.lit(None).cast("binary")))
+    errors = audit(listed, [".py"]).results.where("error_skipped").collect()
+    assert [(r["path"], r["error_description"]) for r in errors] == [(f"{root}/bay/none", "Cannot read none")]
 
 
 def test_the_root_itself_is_never_pruned(spark, folder):
     root, _ = folder
-    listing = tree.list_files(spark, str(root / ".git"), [".git"])
-    assert [r["relative_path"] for r in listing.collect()] == ["ignored.py"]
+    listing = tree.list_files(spark, str(root / ".jj"), [".jj"])
+    assert [r["relative_path"] for r in listing.collect()] == ["store.py"]
 
 
-def test_contents_heads_and_unreadable_files(spark, folder):
-    root, files = folder
-    got = {r["relative_path"]: r["content"] for r in tree.scan_files(spark, str(root)).collect()}
-    assert got.pop("broken.txt") is None
-    assert {name: bytes(content) for name, content in got.items()} == files
-    listing = tree.list_files(spark, str(root)).where("relative_path = 'a.py'")
-    assert bytes(tree.read_heads(listing, 3).first()["content"]) == b"pri"
-    assert tree.read_contents(listing, max_length=3).first()["content"] is None
+def test_heads_hold_the_first_bytes(spark, folder):
+    root, _ = folder
+    listing = tree.list_files(spark, str(root)).where("relative_path = 'kelp.py'")
+    assert bytes(tree.read_heads(listing, 3).first()["content"]) == b"dep"
 
 
 def test_single_file_is_not_pruned(spark, folder):
     root, _ = folder
-    one = tree.single_file(spark, str(root / ".git" / "ignored.py"))
-    assert [r["path"] for r in one.collect()] == [str(root / ".git" / "ignored.py")]
+    one = tree.single_file(spark, str(root / ".jj" / "store.py")).first()
+    assert (one["path"], one["length"]) == (str(root / ".jj" / "store.py"), 1)
 
 
 def test_visible_files_by_the_builtin_reader(spark, folder):
     root, _ = folder
-    got = tree.scan_visible_files(spark, str(root), ["node_modules", "x", "linked"], glob="*.{py,h}")
+    got = tree.scan_visible_files(spark, str(root), ["vendor", "x", "linked"], glob="*.{py,h}")
     names = {r["path"].split(f"{root}/")[1] for r in got.select("path").collect()}
-    assert names == {"a.py", "src/a b+c%20.py", "src/in/è.h"}
+    assert names == {"kelp.py", "bay/a b+c%20.py", "bay/cove/\u00e8.h"}
 
 
 def test_pruning_the_builtin_reader_happens_before_reading(spark, folder):
     root, _ = folder
-    files = tree.scan_visible_files(spark, str(root), ["in"])
+    files = tree.scan_visible_files(spark, str(root), ["cove"])
     plan = files._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "Exchange" not in plan
 
 
 def test_census(spark, folder):
     root, _ = folder
-    table = settle(census(spark, str(root), [".git", "node_modules"]))
+    table = settle(census(spark, str(root), [".jj", "vendor"]))
     rows = {r["extension"]: (r["files"], r["kind"]) for r in table.collect()}
     assert rows == {
         ".py": (4, "text"),
         "(no extension)": (1, "text"),
         ".cpp": (1, "text"),
-        ".bin": (1, "binary"),
+        ".dat": (1, "binary"),
         ".h": (1, "text"),
         ".txt": (1, "binary"),
     }
@@ -103,16 +150,16 @@ def test_census(spark, folder):
 
 
 def test_census_order_and_hint(make_files):
-    rows = [("/1.py", b"a", None), ("/2.py", b"a", None), ("/1.mix", b"a", None), ("/2.mix", b"\x00", None)]
-    rows += [("/1.bin", b"\x00", None), ("/none", b"a", None)]
+    rows = [(f"/{n}.rs", b"r", None) for n in range(3)] + [("/a.odt", b"\x00", None), ("/b.odt", b"o", None)]
+    rows += [("/c.odt", b"\x00", None), ("/z.o", b"\x00\x01", None), ("/plain", b"p", None), ("/more", b"m", None)]
     table = extension_census(make_files(rows))
     assert [(r["extension"], r["kind"]) for r in table.collect()] == [
-        (".mix", "mixed (1 text / 1 binary)"),
-        (".py", "text"),
+        (".odt", "mixed (1 text / 2 binary)"),
+        (".rs", "text"),
         ("(no extension)", "text"),
-        (".bin", "binary"),
+        (".o", "binary"),
     ]
-    assert [r["extension"] for r in text_extensions(table).collect()] == [".mix", ".py"]
+    assert [r["extension"] for r in text_extensions(table).collect()] == [".odt", ".rs"]
 
 
 @pytest.mark.parametrize(
@@ -120,8 +167,6 @@ def test_census_order_and_hint(make_files):
     ["a.py", ".bashrc", "a.tar.gz", "a.", "a", "..", "..py", "a.B.C", ".a.b", "x.p y", "a\n.c"],
 )
 def test_extension_agrees_with_splitext(spark, name):
-    from pyspark.sql import functions as F
-
     row = spark.createDataFrame([("/dir.d/" + name,)], "path string")
     expected = os.path.splitext(name)[1].lower()
     assert row.select(paths.extension(F.col("path")).alias("e")).first()["e"] == expected
@@ -173,17 +218,17 @@ def test_findings_of_arriving_files(spark, tmp_path):
 def test_auditing_a_tree_opens_only_wanted_files(spark, folder):
     root, files = folder
     done = audit_tree(
-        spark, str(root), [".py", ".CPP", ".txt"], [".git"], convert=True, keep_originals=True
+        spark, str(root), [".py", ".CPP", ".txt"], [".jj", "vendor"], convert=True, keep_originals=True
     )
     results = {r["path"][len(str(root)) + 1 :]: r for r in done.results.collect()}
     assert {name: r["action"] for name, r in results.items()} == {
-        "a.py": "convert", "README": "skip", "b.cpp": "check", "payload.bin": "skip",
-        ".hidden.py": "convert", "_private.py": "convert", "broken.txt": "error",
-        "src/a b+c%20.py": "convert", "src/in/è.h": "skip",
+        "kelp.py": "convert", "LICENCE": "skip", "wave.cpp": "check", "shell.dat": "skip",
+        ".tide.py": "convert", "_foam.py": "convert", "broken.txt": "error",
+        "bay/a b+c%20.py": "convert", "bay/cove/è.h": "skip",
     }
     assert results["broken.txt"]["error_description"] == "Cannot read broken.txt"
     originals = {r["path"][len(str(root)) + 1 :]: bytes(r["content"]) for r in done.originals.collect()}
-    names = ["a.py", ".hidden.py", "_private.py", "src/a b+c%20.py"]
+    names = ["kelp.py", ".tide.py", "_foam.py", "bay/a b+c%20.py"]
     assert originals == {name: files[name] for name in names}
     converted = {r["path"][len(str(root)) + 1 :]: bytes(r["content"]) for r in done.converted.collect()}
     assert converted == {name: b"\xef\xbb\xbf" + files[name] for name in names}

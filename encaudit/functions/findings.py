@@ -150,17 +150,15 @@ def finding_array(
     content: Column,
     label: Column,
     extension: Column,
-    with_text: bool = False,
     with_word: bool = False,
 ) -> Column:
     """Findings of a file in document order, as an array of structs.
 
-    ``with_text`` adds ``string`` (the line without its indent) and
-    ``line_text`` (with it). ``with_word`` adds the damaged word around each
-    damaged character and the offset inside it. A file without findings, or
-    whose charset is not supported, gives an empty array.
+    ``with_word`` adds the damaged word around each damaged character and the
+    offset inside it; the lines are a table of their own (``line_array``). A file
+    without findings, or whose charset is not supported, gives an empty array.
     """
-    none = F.array().cast(_array_type(with_text, with_word))
+    none = F.array().cast(_array_type(with_word))
 
     def planned(bound: Column) -> Column:
         start = F.struct(
@@ -208,7 +206,6 @@ def finding_array(
                     parts.alias("parts"),
                     part_bytes(bound["body"], bound["family"], parts).alias("sizes"),
                     contexts.alias("contexts"),
-                    _lines(bound, with_text).alias("lines"),
                     _words(bound["text"], with_word).alias("words"),
                 ),
                 numbered,
@@ -232,7 +229,6 @@ def finding_array(
             F.struct(
                 running(items, _combine(with_word)).alias("states"),
                 bound["contexts"].alias("contexts"),
-                bound["lines"].alias("lines"),
                 bound["words"].alias("words"),
                 visible.alias("visible"),
                 bound["skip"].alias("skip"),
@@ -243,7 +239,6 @@ def finding_array(
     def rows(bound: Column) -> Column:
         def row(state: Column, number: Column) -> Column:
             context = F.get(bound["contexts"], number)
-            line = F.get(bound["lines"], state["lines"])
             fields = [
                 (number + 1).alias("finding_no"),
                 (state["lines"] + 1).alias("line"),
@@ -254,11 +249,6 @@ def finding_array(
                 context.alias("comment_context"),
                 (context == COMMENT).alias("is_commented"),
             ]
-            if with_text:
-                fields += [
-                    F.regexp_replace(line, r"^[ \t]+", "").alias("string"),
-                    line.alias("line_text"),
-                ]
             if with_word:
                 fields += [
                     F.get(bound["words"], number).alias("word"),
@@ -274,13 +264,43 @@ def finding_array(
     return bind(given, planned)
 
 
-def _lines(bound: Column, wanted: bool) -> Column:
-    """Lines of the text as its charset shows it, each without a closing CR."""
-    if not wanted:
-        return F.lit(None).cast("array<string>")
-    text = decode_lossy(bound["body"], bound["family"])
-    return F.transform(
-        F.split(text, "\n", -1), lambda line: F.regexp_replace(line, r"\r\z", "")
+def line_array(content: Column, label: Column) -> Column:
+    """The lines of a file that hold damage, each once: ``line``, ``string`` and ``line_text``.
+
+    The text is as its charset shows it, without a closing CR; ``string`` is also
+    without the indent.
+    """
+    none = F.array().cast("array<struct<line: int, string: string, line_text: string>>")
+
+    def shown(file: Column) -> Column:
+        family = file["plan"]["family"]
+        return bind(
+            F.struct(
+                body_of(file["content"], file["plan"]["skip"]).alias("body"), family.alias("family")
+            ),
+            lambda part: F.arrays_zip(
+                F.split(scan_text(part["body"], part["family"]), "\n", -1).alias("scanned"),
+                F.split(decode_lossy(part["body"], part["family"]), "\n", -1).alias("text"),
+            ),
+        )
+
+    def numbered(pair: Column, number: Column) -> Column:
+        text = F.regexp_replace(pair["text"], r"\r\z", "")
+        damaged = F.contains(pair["scanned"], F.lit(REPLACEMENT))
+        row = F.struct(
+            (number + 1).alias("line"),
+            F.regexp_replace(text, r"^[ \t]+", "").alias("string"),
+            text.alias("line_text"),
+        )
+        return F.when(damaged, row)
+
+    start = F.struct(content.alias("content"), decode_plan(content, label).alias("plan"))
+    return bind(
+        start,
+        lambda file: F.when(
+            has_damage(file["content"], file["plan"]),
+            F.array_compact(F.transform(shown(file), numbered)),
+        ).otherwise(none),
     )
 
 
@@ -297,14 +317,12 @@ def _words(text: Column, wanted: bool) -> Column:
     )
 
 
-def _array_type(with_text: bool, with_word: bool) -> str:
+def _array_type(with_word: bool) -> str:
     fields = (
         "finding_no: int, line: int, char_position: int, char_found: boolean, "
         "byte_sequence_file_pos: bigint, absolute_char_index: bigint, "
         "comment_context: string, is_commented: boolean"
     )
-    if with_text:
-        fields += ", string: string, line_text: string"
     if with_word:
         fields += ", word: string, word_offset: int"
     return f"array<struct<{fields}>>"

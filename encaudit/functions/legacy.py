@@ -3,7 +3,7 @@
 Input is a string with one character per byte that is no well-formed UTF-8. Where
 the bytes above 7F stand alone between ASCII letters, the text is written in a
 Latin alphabet; where they come in runs, every charset that fits scores by how many
-of them are letters its languages use most. No clear winner means no label.
+of them are letters its languages use most, less those they use least. No clear winner means no label.
 """
 
 from __future__ import annotations
@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from encaudit.functions.arrays import bind
 
-# The commonest small letters of the scripts, and who writes them.
-CYRILLIC, GREEK = "оаеинтсрвлкмдпу", "αοιετσνηυρπκμλς"
+# The commonest and the rarest small letters of the scripts, and the charsets that write them.
+CYRILLIC, GREEK = ("оаеинтсрвлкмдпу", "эщъфцшюхжйё"), ("αοιετσνηυρπκμλς", "ξψζβϊϋΐΰ")
 DENSE_CHARSETS = {
     "windows-1251": ("cp1251", CYRILLIC),
     "koi8-r": ("koi8-r", CYRILLIC),
@@ -38,13 +38,14 @@ _SOUND = {
 }
 _KANA_SHIFT = r"\x82[\x9f-\xf1]|\x83[\x40-\x96]"
 _HANGUL = r"[\xb0-\xc8][\xa1-\xfe]"
+_HANZI_GB = r"[\xb0-\xd7][\xa1-\xfe]"
 _HANZI_BIG5 = r"[\xa4-\xc6][\x40-\x7e\xa1-\xfe]"
 _LEAD_PAIR = r"[\x81-\xfe][\x40-\x7e\x80-\xfe]"
 
 #: Share of the bytes above 7F that stand in runs of three and more, from which a text may be, and is, no Latin one.
 RUNS, MOST_RUNS = 0.3, 0.6
-#: Least share of common letters, and least lead over the second best charset.
-LEAST_SHARE, LEAST_LEAD = 0.4, 0.08
+#: Least share of common letters, less rare ones, and least lead over the second best charset.
+LEAST_SHARE, LEAST_LEAD = 0.3, 0.08
 #: Fewer pairs say nothing about a double-byte charset.
 LEAST_PAIRS = 8
 #: Share of the pairs that are common in a double-byte charset.
@@ -102,15 +103,19 @@ def _double_byte(view: Column) -> Column:
             count(pattern) >= PAIRS * pairs for pattern in (_KANA_EUC, _KANA_SHIFT, _HANGUL, _HANZI_BIG5)
         )
         only_hangul = count(_HANGUL) >= 0.8 * pairs
+        common_hanzi = count(_HANZI_GB) >= 0.5 * pairs
         # Kana are unmistakable; other pairs may be chance where most letters are ASCII.
         mostly = count("[\x80-\xff]") >= count("[A-Za-z]")
         return F.when(pairs < LEAST_PAIRS, None).otherwise(
             F.when(view.rlike(_SOUND["euc-jp"]) & kana_euc, "euc-jp")
             .when(view.rlike(_SOUND["shift_jis"]) & kana_shift, "shift_jis")
             .when(~mostly, None)
-            .when(view.rlike(_SOUND["euc"]), F.when(hangul & only_hangul, "euc-kr").otherwise("gb18030"))
+            .when(
+                view.rlike(_SOUND["euc"]),
+                F.when(hangul & only_hangul, "euc-kr").when(common_hanzi, "gb18030"),
+            )
             .when(view.rlike(_SOUND["big5"]) & hanzi & (count(_HANZI_BIG5) >= 0.6 * pairs), "big5")
-            .when(view.rlike(_SOUND["gb18030"]), "gb18030")
+            .when(view.rlike(_SOUND["gb18030"]) & common_hanzi, "gb18030")
         )
 
     sound = F.lit(False)
@@ -122,8 +127,11 @@ def _double_byte(view: Column) -> Column:
 def _single_byte(high: Column) -> Column:
     scores = F.array(
         *(
-            F.struct(_share(high, _letters(codec, letters)).alias("share"), F.lit(label).alias("label"))
-            for label, (codec, letters) in DENSE_CHARSETS.items()
+            F.struct(
+                (_share(high, _letters(codec, common)) - _share(high, _letters(codec, rare))).alias("share"),
+                F.lit(label).alias("label"),
+            )
+            for label, (codec, (common, rare)) in DENSE_CHARSETS.items()
         )
     )
     return bind(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from encaudit.functions.arrays import bind
 from encaudit.functions.charsets import decode_plan, utf8_view
 from encaudit.functions.contexts import line_flags
-from encaudit.functions.findings import finding_array, has_damage
+from encaudit.functions.findings import finding_array, has_damage, line_array
 from encaudit.functions.paths import extension, file_name
 
 
@@ -17,14 +17,14 @@ def damaged_files(files: DataFrame) -> DataFrame:
     return files.where(has_damage(F.col("content"), decode_plan(F.col("content"), F.col("label"))))
 
 
-def findings(files: DataFrame, with_text: bool = False, with_word: bool = False) -> DataFrame:
+def findings(files: DataFrame, with_word: bool = False) -> DataFrame:
     """One row per damaged character of files with ``path``, ``content``, ``label``.
 
     A map over the files: no shuffle, whatever the number of findings per file.
     Files without any are dropped by a byte search before anything is decoded.
     """
     path = F.col("path")
-    found = finding_array(F.col("content"), F.col("label"), extension(path), with_text, with_word)
+    found = finding_array(F.col("content"), F.col("label"), extension(path), with_word)
     plan = decode_plan(F.col("content"), F.col("label"))
     return damaged_files(files).select(
         "path",
@@ -34,6 +34,21 @@ def findings(files: DataFrame, with_text: bool = False, with_word: bool = False)
     )
 
 
+def damaged_lines(files: DataFrame) -> DataFrame:
+    """``path``, ``line``, ``string`` and ``line_text`` of the lines with damage, each once."""
+    lines = line_array(F.col("content"), F.col("label"))
+    return damaged_files(files).select("path", F.inline(lines))
+
+
+def with_lines(found: DataFrame, lines: DataFrame) -> DataFrame:
+    """Findings with the text of their lines.
+
+    Every finding then carries its whole line: ask for it where lines are short, or
+    for the few findings that are shown.
+    """
+    return found.join(lines, ["path", "line"])
+
+
 def commented_lines(files: DataFrame) -> DataFrame:
     """Every line of every file with ``is_commented``.
 

@@ -64,10 +64,14 @@ def rejected_suggestions(proposals: DataFrame, decisions: DataFrame) -> DataFram
     )
 
 
-def repair_context(found: DataFrame, rejected: DataFrame | None = None) -> DataFrame:
+def repair_context(
+    found: DataFrame, rejected: DataFrame | None = None, reach: int | None = None
+) -> DataFrame:
     """What a scorer needs to propose a character for each repairable finding.
 
-    ``found`` needs the line text. ``request`` holds all of it as one JSON object.
+    ``found`` needs the line text (``with_lines``). ``request`` holds all of it as
+    one JSON object. ``reach`` cuts the line to so many characters on either side of
+    the damage; ``char_position`` then counts in the cut.
     """
     places = repairable(found)
     if rejected is None:
@@ -77,6 +81,14 @@ def repair_context(found: DataFrame, rejected: DataFrame | None = None) -> DataF
     none = F.lit("none")
     said = F.array_join(F.coalesce("rejected", F.array().cast("array<string>")), ", ")
     suffix = extension(F.col("path"))
+    if reach is not None:
+        start = F.greatest(F.col("char_position") - reach, F.lit(0))
+        places = places.withColumns(
+            {
+                "line_text": F.substring("line_text", start + 1, F.col("char_position") - start + 1 + reach),
+                "char_position": F.col("char_position") - start,
+            }
+        )
     line, position = F.col("line_text"), F.col("char_position")
     context = places.select(
         *PLACE,
@@ -316,11 +328,9 @@ def _sound(body: Column, family: Column) -> Column:
     return F.when(is_decodable(body, family), body).otherwise(again)
 
 
-def remaining_findings(repaired: DataFrame, with_text: bool = False) -> DataFrame:
+def remaining_findings(repaired: DataFrame) -> DataFrame:
     """Findings of the repaired files, read again from their new content."""
-    return findings(
-        repaired.select("path", "label", F.col("repaired").alias("content")), with_text
-    )
+    return findings(repaired.select("path", "label", F.col("repaired").alias("content")))
 
 
 def verify(repairs: DataFrame, remaining: DataFrame) -> DataFrame:

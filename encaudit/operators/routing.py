@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from encaudit.functions.charsets import decode_plan, detect_label, is_jvm, is_unicode_label
-from encaudit.functions.findings import finding_array, has_damage
+from encaudit.functions.findings import finding_array, has_damage, line_array
 from encaudit.operators.encoding import to_utf8_bom
 from encaudit.operators.selection import with_selection
 
@@ -86,8 +86,9 @@ def audit_files(
 
     Result columns of ``file_results`` plus ``write_charset``, ``new_content``
     (null unless converted), ``old_content`` (null unless there is something to
-    repair, or to convert with ``keep_originals``) and ``findings`` (null unless
-    checked). Nothing is shuffled. Write it out once and take every report from
+    repair, or to convert with ``keep_originals``), ``findings`` and ``lines`` (null
+    unless checked; ``lines`` holds the damaged lines once each, and is empty without
+    ``with_text``). Nothing is shuffled. Write it out once and take every report from
     the written table.
     """
     routed = with_action(files, extensions, checks, convert, repair)
@@ -125,9 +126,10 @@ def audit_files(
         F.coalesce(new, content),
         F.when(new.isNotNull(), "utf-8").otherwise(label),
         F.col("extension"),
-        with_text,
         with_word,
     )
+    seen, known_as = F.coalesce(new, content), F.when(new.isNotNull(), "utf-8").otherwise(label)
+    lines = line_array(seen, known_as) if with_text else F.array().cast("array<struct<line: int, string: string, line_text: string>>")
     kept = judged.withColumns(
         {
             "outcome": F.when(fine, action).otherwise(ERROR),
@@ -136,6 +138,7 @@ def audit_files(
             "checked": checked,
             "converted": done,
             "findings": F.when(checked, found),
+            "lines": F.when(checked, lines),
         }
     )
     kept_back = (F.col("outcome") == REPAIR) & (F.size("findings") > 0)
@@ -159,6 +162,7 @@ def audit_files(
         "new_content",
         F.when(kept_back, F.col("content")).alias("old_content"),
         "findings",
+        "lines",
     )
 
 
@@ -175,6 +179,12 @@ def audited_findings(audited: DataFrame) -> DataFrame:
     return rows.where(F.col("finding_no").isNotNull())
 
 
+def audited_lines(audited: DataFrame) -> DataFrame:
+    """The damaged lines of audited files, each once, if they were kept."""
+    rows = audited.select("path", F.inline_outer("lines"))
+    return rows.where(F.col("line").isNotNull())
+
+
 def converted_contents(audited: DataFrame) -> DataFrame:
     """New content of the files that were converted, keyed by path."""
     return audited.where("converted").select("path", F.col("new_content").alias("content"))

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from encaudit.operators import reports
 from encaudit.operators.encoding import with_overrides
+from encaudit.operators.findings import with_lines
 from encaudit.operators.routing import (
     audit_files,
     audited_findings,
+    audited_lines,
     converted_contents,
     file_results,
     kept_originals,
@@ -34,6 +36,11 @@ class Audit:
     def findings(self) -> DataFrame:
         return audited_findings(self.files)
 
+    @property
+    def lines(self) -> DataFrame:
+        """The lines with damage, each once, of an audit ``with_string``."""
+        return audited_lines(self.files)
+
     @property
     def converted(self) -> DataFrame:
         return converted_contents(self.files)
@@ -46,8 +53,14 @@ class Audit:
     def reports(
         self, with_string: bool = False, only_relevant: bool = False
     ) -> dict[str, DataFrame]:
-        """All report tables by name."""
+        """All report tables by name.
+
+        ``with_string`` needs an audit with the same option; every row of the tables
+        of findings then repeats its line.
+        """
         results, found = self.results, self.findings
+        if with_string:
+            found = with_lines(found, self.lines)
         tables = {
             "encodings": reports.encoding_histogram(results),
             "detection": reports.detection_totals(results),

@@ -28,8 +28,8 @@ def arriving_files(
     )
 
 
-def arriving_findings(files: DataFrame, extensions: list[str], with_text: bool = False) -> DataFrame:
+def arriving_findings(files: DataFrame, extensions: list[str]) -> DataFrame:
     """Findings of the files of a stream whose extension is wanted."""
     wanted = [value.lower() for value in extensions]
     chosen = files.where(extension(F.col("path")).isin(wanted))
-    return findings(with_label(chosen), with_text)
+    return findings(with_label(chosen))

@@ -121,6 +121,14 @@ def detect_encoding(spark, sf_dir):
     return encoding.with_label(_clean(spark, sf_dir)).select("path", "label")
 
 
+@query
+def detect_legacy(spark, sf_dir):
+    """Labels of documents stored in charsets of other scripts, by the true charset."""
+    label = charsets.detect_label(F.col("content"))
+    stored = c.legacy_files(spark, sf_dir).select("charset", F.when(F.col("telling"), label).alias("label"))
+    return stored.groupBy("charset", "label").agg(F.count(F.lit(1)).alias("n_files"))
+
+
 @query
 def normalize_label(spark, sf_dir):
     rows = c.read_table(spark, sf_dir, "documents", "doc_id", "source", "lang")
@@ -237,7 +245,8 @@ def findings_hidden(spark, sf_dir):
 
 @query
 def finding_lines(spark, sf_dir):
-    found = findings.findings(_damaged(spark, sf_dir), with_text=True)
+    files = _damaged(spark, sf_dir)
+    found = findings.with_lines(findings.findings(files), findings.damaged_lines(files))
     return found.select("path", "finding_no", "line", "string")
 
 
@@ -292,7 +301,7 @@ def decisions_for(found: DataFrame) -> DataFrame:
     )
 
 
-def _run_repair(spark: SparkSession, sf_dir: str, decided: bool) -> Repair:
+def _repair(spark: SparkSession, sf_dir: str, decided: bool = True) -> Repair:
     files = c.corpus(spark, sf_dir, damaged=True)
     decisions = None
     if decided:
@@ -302,9 +311,6 @@ def _run_repair(spark: SparkSession, sf_dir: str, decided: bool) -> Repair:
     )
 
 
-def _repair(spark: SparkSession, sf_dir: str, decided: bool = True) -> Repair:
-    key = ("repair", sf_dir, decided)
-    return c.once(spark, key, lambda: _run_repair(spark, sf_dir, decided))
 
 
 @query
@@ -315,39 +321,44 @@ def repairable(spark, sf_dir):
 
 @query
 def repair_context(spark, sf_dir):
-    found = findings.findings(_damaged(spark, sf_dir), with_text=True)
+    files = _damaged(spark, sf_dir)
+    found = findings.with_lines(findings.findings(files), findings.damaged_lines(files))
     made = repair.repairable(found).select(
         *repair.PLACE,
         F.posexplode(F.array(F.lit("e"), F.lit("\xe8"), F.lit("o"))).alias("rank", "suggestion"),
     )
     proposals = made.withColumn("rank", F.col("rank") + 1)
     rejected = repair.rejected_suggestions(proposals, decisions_for(found))
-    return repair.repair_context(found, rejected).drop("line_text", "request")
+    context = repair.repair_context(found, rejected)
+    return context.withColumn("request", F.md5(F.encode("request", "UTF-8")))
 
 
 @query
 def sanitize_suggestion(spark, sf_dir):
+    """Each document's characters as answers, in a form that follows from the character."""
     rows = c.read_table(spark, sf_dir, "documents", "doc_id", "text")
-    one = F.substring("text", 1, 1)
-    two = F.substring("text", 1, 2)
-    last = F.regexp_extract("text", f"({c.NOT_ASCII})[\x00-\x7f]*$", 1)
+    signs = rows.select("doc_id", F.explode(F.array_distinct(F.split("text", ""))).alias("sign"))
+    one = F.regexp_replace("sign", r'(["\\])', r"\\$1")
     answers = F.array(
-        F.concat(F.lit("  "), one, F.lit("\n")),
-        last,
-        two,
-        F.concat(F.lit('{"character":"'), last, F.lit('"}')),
+        F.concat(F.lit("  "), "sign", F.lit("\n")),
+        F.col("sign"),
+        F.concat("sign", F.lit("x")),
+        F.concat(F.lit('{"character":"'), one, F.lit('"}')),
         F.concat(F.lit('{"char": "'), one, F.lit('", "replacement": 7}')),
-        F.concat(F.lit('{"char": "x", "replacement": "'), two, F.lit('"}')),
+        F.concat(F.lit('{"char": "x", "replacement": "'), one, F.lit('y"}')),
         F.concat(F.lit('{"other": "'), one, F.lit('"}')),
-        F.concat(F.lit('"'), last, F.lit('"')),
+        F.concat(F.lit('"'), one, F.lit('"')),
         F.concat(F.lit('{"character": "'), one),
         (F.col("doc_id") % 20).cast("string"),
         F.concat(F.lit('["'), one, F.lit('"]')),
         F.lit("null"),
         F.lit(c.MARK),
     )
-    asked = rows.select("doc_id", F.posexplode(answers).alias("form", "answer"))
-    return asked.select("doc_id", "form", sanitize(F.col("answer")).alias("suggestion"))
+    form = (F.ascii("sign") + F.col("doc_id")) % 13
+    asked = signs.where("sign > ' '").select(
+        "doc_id", "sign", form.cast("int").alias("form"), F.get(answers, form.cast("int")).alias("answer")
+    )
+    return asked.select("doc_id", "sign", "form", sanitize(F.col("answer")).alias("suggestion"))
 
 
 @query
@@ -410,14 +421,11 @@ def repair_totals(spark, sf_dir):
 # ------------------------------------------------------------ reports
 
 
-def _run_audit(spark: SparkSession, sf_dir: str, convert: bool) -> Audit:
+def _audit(spark: SparkSession, sf_dir: str, convert: bool) -> Audit:
     files = c.corpus(spark, sf_dir, damaged=True)
     return audit(files, c.EXTENSIONS, checks=True, convert=convert, with_string=convert)
 
 
-def _audit(spark: SparkSession, sf_dir: str, convert: bool) -> Audit:
-    key = ("audit", sf_dir, convert)
-    return c.once(spark, key, lambda: _run_audit(spark, sf_dir, convert))
 
 
 @query
@@ -460,8 +468,8 @@ def findings_unsupported(spark, sf_dir):
 
 @query
 def findings_report(spark, sf_dir):
-    found = _audit(spark, sf_dir, True).findings
-    return reports.findings_report(found, with_string=True)
+    done = _audit(spark, sf_dir, True)
+    return reports.findings_report(findings.with_lines(done.findings, done.lines), with_string=True)
 
 
 @query

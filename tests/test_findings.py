@@ -4,7 +4,13 @@ import random
 
 from pyspark.sql import functions as F
 
-from encaudit.operators.findings import are_lines_commented, commented_lines, findings
+from encaudit.operators.findings import (
+    are_lines_commented,
+    commented_lines,
+    damaged_lines,
+    findings,
+    with_lines,
+)
 from tests import models
 
 M = models.MARK
@@ -26,7 +32,7 @@ def test_known_files(make_files):
             ("/v/cut.md", b"half a character \xe2\x82", "utf-8"),
         ]
     )
-    rows = collected(findings(files, with_text=True))
+    rows = collected(with_lines(findings(files), damaged_lines(files)))
     got = [(row["file_name"], row["comment_context"], row["byte_sequence_file_pos"]) for row in rows]
     assert got == [
         ("volume.h", "comment", 22), ("volume.h", "code", 36), ("route.cs", "comment", 20),
@@ -42,7 +48,7 @@ def test_known_files(make_files):
 
 def test_line_text_keeps_its_indent_and_string_does_not(make_files):
     files = make_files([("/x.c", f"\t  int a; // {M}\r\nb".encode(), "utf-8")])
-    row = findings(files, with_text=True).first()
+    row = with_lines(findings(files), damaged_lines(files)).first()
     assert row["string"] == f"int a; // {M}"
     assert row["line_text"] == f"\t  int a; // {M}"
     assert row["line_text"][row["char_position"]] == M

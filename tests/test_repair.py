@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from encaudit.functions.suggestions import sanitize_suggestion
 from encaudit.operators import repair as steps
-from encaudit.operators.findings import findings
+from encaudit.operators.findings import damaged_lines, findings, with_lines
 from encaudit.operators.skew import lookup_join
 from encaudit.plans.repair import repair
 from tests.models import MARK
@@ -183,7 +183,7 @@ def test_gaps_in_decisions_do_not_count_as_retries(spark):
 
 def test_repair_context_and_external_scorer(spark, make_files):
     files = make_files([("/a.c", f"\tint x; // caff{MARK} nero\r\n".encode(), "utf-8"), ("/B", MARK.encode(), "utf-8")])
-    found = findings(files, with_text=True)
+    found = with_lines(findings(files), damaged_lines(files))
     index = f"\tint x; // caff{MARK}".index(MARK)
     made = proposals(spark, [("/a.c", index, 1, "e"), ("/a.c", index, 2, "é")])
     said = decisions(spark, [("/a.c", index, 1, "retry"), ("/a.c", index, 2, "retry")])

@@ -26,6 +26,9 @@ UTF8_REPLACEMENT = "EFBFBD"
 # Labels of files that need no conversion.
 UNICODE_LABELS = ["utf-8", "utf-8-sig", "utf-16", "utf-16le", "utf-16be"]
 
+# Labels of encodings whose files are checked but not decoded.
+SEVEN_BIT_LABELS = ["utf-7", "utf7"]
+
 # Spellings of a label (after normalisation) that mean the same charset.
 FAMILIES = {
     "utf8": ["utf-8", "utf8", "utf-8-sig"],
@@ -283,7 +286,7 @@ def _jvm_charsets_allowed() -> bool:
 
 
 def is_jvm(family: Column) -> Column:
-    """True for multi-byte charsets: they can be converted, but not searched for damage."""
+    """True for multi-byte charsets that the JVM decodes."""
     return family.startswith("jvm:")
 
 

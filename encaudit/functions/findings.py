@@ -19,6 +19,7 @@ from encaudit.functions.charsets import (
     decode_lossy,
     decode_plan,
     from_single_byte,
+    is_jvm,
     is_single_byte,
     latin1_view,
     scan_pattern,
@@ -55,20 +56,36 @@ def has_damage(content: Column, plan: Column) -> Column:
 def scan_text(body: Column, family: Column) -> Column:
     """Text in which U+FFFD stands exactly where the searched bytes are.
 
-    One U+FFFD also where a single-byte charset shows the bytes as three
-    characters. Input that does not decode becomes ``?``.
+    One U+FFFD also where a legacy charset shows the bytes as other characters. Input that does not decode becomes ``?``.
     """
     hidden = F.lit(_HIDDEN)
     visible = F.lit(REPLACEMENT)
     mended = decode_lossy(body, family, "?")
+    between = F.transform(
+        _raw_parts(body, family),
+        lambda part: decode_lossy(F.encode(part, "ISO-8859-1"), family, "?"),
+    )
     marked = F.replace(latin1_view(body), hidden, visible)
     return (
         F.when(family == "ascii", F.regexp_replace(marked, "[\x80-\xff]", "?"))
         .when(is_single_byte(family), from_single_byte(marked, family, "?"))
+        .when(is_jvm(family), F.array_join(between, REPLACEMENT))
         .otherwise(mended)
     )
 
 
+def _raw_parts(body: Column, family: Column) -> Column:
+    """What lies between the searched bytes of a multi-byte charset, one character per byte."""
+    view = latin1_view(body)
+    own = "\x84\x31\xa4\x37"
+    return F.when(family == "jvm:GB18030", F.split(view, own, -1)).otherwise(F.split(view, _HIDDEN, -1))
+
+
+def _is_hidden(family: Column) -> Column:
+    """True where the charset has no U+FFFD and shows its UTF-8 bytes as something else."""
+    return is_single_byte(family) | (is_jvm(family) & (family != "jvm:GB18030"))
+
+
 def part_bytes(body: Column, family: Column, parts: Column) -> Column:
     """Byte length of every part between damaged characters."""
     well_formed = F.is_valid_utf8(utf8_view(body))
@@ -82,6 +99,7 @@ def part_bytes(body: Column, family: Column, parts: Column) -> Column:
         .when(
             family.isin("utf32le", "utf32be"), F.transform(parts, lambda part: F.length(part) * 4)
         )
+        .when(is_jvm(family), F.transform(_raw_parts(body, family), F.length))
         .otherwise(F.transform(parts, F.length))
     )
 
@@ -224,7 +242,7 @@ def finding_array(
                 pair["part"], pair["size"], number, chars, width, with_word
             ),
         )
-        visible = ~is_single_byte(family)
+        visible = ~_is_hidden(family)
         return bind(
             F.struct(
                 running(items, _combine(with_word)).alias("states"),

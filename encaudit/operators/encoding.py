@@ -27,18 +27,29 @@ def with_label(files: DataFrame, overrides: DataFrame | None = None) -> DataFram
     """
     detected = detect_label(F.col("content"))
     if "encoding_override" in files.columns:
-        return files.withColumn("label", F.coalesce("encoding_override", detected)).drop(
-            "encoding_override"
-        )
+        named = F.coalesce("encoding_override", detected)
+        return files.withColumn("label", computed_once(named)).drop("encoding_override")
     if overrides is None:
-        return files.withColumn("label", detected)
+        return files.withColumn("label", computed_once(detected))
     return with_label(with_overrides(files, overrides))
 
 
+def computed_once(value: Column) -> Column:
+    """A column that filters above it read instead of computing it again below.
+
+    The optimizer moves filters under a projection together with what they test,
+    but not under a generator.
+    """
+    return F.explode_outer(F.array(value))
+
+
 def with_overrides(files: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Adds ``encoding_override`` by path; null where there is none."""
-    named = overrides.select("path", F.col("encoding").alias("encoding_override"))
-    return files.join(named.dropDuplicates(["path"]), "path", "left")
+    """Adds ``encoding_override`` by path; null where there is none.
+
+    Of several encodings for one path the first in alphabetical order counts.
+    """
+    named = overrides.groupBy("path").agg(F.min("encoding").alias("encoding_override"))
+    return files.join(named, "path", "left")
 
 
 def with_plan(files: DataFrame) -> DataFrame:

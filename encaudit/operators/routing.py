@@ -7,9 +7,15 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from encaudit.functions.charsets import decode_plan, detect_label, is_jvm, is_unicode_label
-from encaudit.functions.findings import finding_array, has_damage, line_array
-from encaudit.operators.encoding import to_utf8_bom
+from encaudit.functions.charsets import (
+    SEVEN_BIT_LABELS,
+    decode_plan,
+    detect_label,
+    is_unicode_label,
+    normalize_label,
+)
+from encaudit.functions.findings import finding_array, line_array
+from encaudit.operators.encoding import computed_once, to_utf8_bom
 from encaudit.operators.selection import with_selection
 
 #: Longer contents do not fit into a binary value of Spark.
@@ -66,7 +72,7 @@ def with_action(
     detected = detect_label(F.col("content"))
     if "encoding_override" in files.columns:
         detected = F.coalesce("encoding_override", detected)
-    labelled = chosen.withColumn("label", F.when(F.col("selected"), detected))
+    labelled = chosen.withColumn("label", computed_once(F.when(F.col("selected"), detected)))
     return labelled.withColumn(
         "action", route(F.col("selected"), F.col("label"), checks, convert, repair)
     )
@@ -104,9 +110,10 @@ def audit_files(
     new = F.col("new_content")
     unreadable = content.isNull() & F.col("selected")
     too_large = unreadable & (F.col("length") > F.lit(_ROW_BYTES)) if "length" in files.columns else F.lit(False)
-    unsupported = action.isin(CHECK, REPAIR) & F.col("family").isNull()
+    # seven-bit encodings cannot hold the searched bytes: checked, and nothing found
+    seven_bit = F.coalesce(normalize_label(label).isin(SEVEN_BIT_LABELS), F.lit(False))
+    unsupported = action.isin(CHECK, REPAIR) & F.col("family").isNull() & ~seven_bit
     failed = (action == CONVERT) & new.isNull()
-    unsearched = action.isin(CHECK, REPAIR) & is_jvm(F.col("family")) & has_damage(content, plan)
     error = (
         F.when(too_large, F.concat(F.lit("Too large for a row: "), "file_name"))
         .when(unreadable, F.concat(F.lit("Cannot read "), "file_name"))
@@ -115,7 +122,6 @@ def audit_files(
             unsupported,
             F.concat(F.lit("Cannot decode "), "file_name", F.lit(" from "), label),
         )
-        .when(unsearched, F.concat(F.lit("Cannot check "), "file_name", F.lit(" in "), label))
         .when(failed, F.concat(F.lit("Cannot convert "), "file_name", F.lit(" from "), label))
     )
     judged = converted.withColumn("error_description", error)

@@ -61,3 +61,49 @@ def test_no_conversion_to_another_text(stored):
 def test_doubtful_bytes(spark, content, label):
     row = spark.createDataFrame([(bytearray(content),)], "content binary")
     assert row.select(detect_label(F.col("content")).alias("l")).first()["l"] == label
+
+
+@pytest.fixture
+def multi_byte(spark):
+    """A session that lets the JVM decode its own charsets."""
+    names = ["spark.sql.legacy.javaCharsets", "spark.sql.legacy.codingErrorAction"]
+    for name in names:
+        spark.conf.set(name, "true")
+    yield spark
+    for name in names:
+        spark.conf.unset(name)
+
+
+def test_damage_in_multi_byte_files_is_reported(multi_byte):
+    sea = JAPANESE[:12].encode("shift_jis")
+    rows = [
+        ("/a.c", b"// " + sea + b"\n/* " + b"\xef\xbf\xbd" + b" */", "shift_jis"),
+        ("/b.txt", CHINESE.encode("gb18030") + b"\n" + "x\ufffdy".encode("gb18030"), "gb18030"),
+        ("/c.cpp", b"int tide = 3; // +AOk-", "utf-7"),
+    ]
+    files = multi_byte.createDataFrame([(p, bytearray(c)) for p, c, _ in rows], "path string, content binary")
+    named = multi_byte.createDataFrame([(p, e) for p, _, e in rows], "path string, encoding string")
+    done = audit(files, [".c", ".txt", ".cpp"], overrides=named)
+    assert done.results.where("error_skipped").count() == 0
+    found = {r["path"]: r for r in done.findings.collect()}
+    hidden, shown = found["/a.c"], found["/b.txt"]
+    assert (hidden["char_found"], hidden["absolute_char_index"], hidden["line"]) == (False, None, 2)
+    assert (hidden["byte_sequence_file_pos"], hidden["comment_context"]) == (3 + len(sea) + 4, "comment")
+    assert (shown["char_found"], shown["line"], shown["char_position"]) == (True, 2, 1)
+    assert shown["byte_sequence_file_pos"] == len(CHINESE.encode("gb18030")) + 2
+    assert set(found) == {"/a.c", "/b.txt"}
+
+
+def test_multi_byte_texts_convert_to_themselves(multi_byte, stored):
+    done = audit(stored, [".txt"], convert=True)
+    converted = {r["path"]: bytes(r["content"]).decode("utf-8-sig") for r in done.converted.collect()}
+    assert converted == {f"/{k}.txt": text for k, (text, _, _) in enumerate(STORED)}
+
+
+def test_long_lines_are_kept_once(spark):
+    """Very many findings in one very long line: the line is held once, not once per finding."""
+    content = ("wave \ufffd " * 50_000).encode() + b"x" * 2_000_000
+    files = spark.createDataFrame([("/long.js", bytearray(content))], "path string, content binary")
+    done = audit(files, [".js"], with_string=True)
+    assert done.findings.count() == 50_000
+    assert done.lines.selectExpr("sum(length(line_text))").first()[0] == 50_000 * 7 + 2_000_000

@@ -151,18 +151,9 @@ def _lines(docs: DataFrame) -> DataFrame:
 def _crowded(lines: DataFrame, max_bucket: int) -> DataFrame:
     """key and line_id of buckets with several members, split into blocks of at most two parts."""
     rows = lines.select("line_id", F.explode("bands").alias("key"))
-    once = rows.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("line_id").alias("least"),
-        F.max("line_id").alias("most"),
-        F.sum(F.hash("line_id").cast("long")).alias("sum"),
-        F.sum(F.hash("line_id", F.lit(1)).cast("long")).alias("other_sum"),
-    )
-    # Equal lines of different tasks repeat a member in all its bands alike, so n is at least
-    # the number of lines, and buckets with equal members agree on all of these.
-    alike = once.where("least <> most").groupBy("n", "least", "most", "sum", "other_sum")
-    wanted = settle(alike.agg(F.min("key").alias("key")).select("key", "n"))
-    sent = lines.sparkSession.sparkContext.broadcast(bitmap(wanted, "key"))
+    ends = [F.min("line_id").alias("least"), F.max("line_id").alias("most")]
+    several = rows.groupBy("key").agg(*ends).where("least <> most").select("key")
+    sent = lines.sparkSession.sparkContext.broadcast(bitmap(several, "key"))
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,12 +163,15 @@ def _crowded(lines: DataFrame, max_bucket: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys[held]), pa.array(ids[held])], ["key", "line_id"])
 
     banded = lines.where(F.size("bands") > 0).select("line_id", "bands")
+    members = settle(banded.mapInArrow(chosen, "key long, line_id long").distinct())
+    sums = [F.sum(F.hash("line_id", F.lit(k)).cast("long")).alias(f"sum_{k}") for k in range(2)]
+    buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *ends, *sums).where("n > 1")
+    alike = buckets.groupBy("n", "least", "most", "sum_0", "sum_1")
+    wanted = alike.agg(F.min("key").alias("key")).select("key", "n")
     parts = F.ceil(F.col("n") / max_bucket).cast("int")
     part = F.pmod(F.xxhash64("line_id"), F.col("parts")).cast("int")
     return (
-        banded.mapInArrow(chosen, "key long, line_id long")
-        .distinct()
-        .join(wanted, "key")
+        members.join(wanted, "key")
         .withColumn("parts", parts)
         .withColumn("part", part)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -203,17 +197,44 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.groupBy("line_id").agg(F.min("line").alias("line"))
 
 
+def _shingles(line: str) -> set[str]:
+    return {line[k : k + SHINGLE] for k in range(max(1, len(line) - SHINGLE + 1))}
+
+
+def _numbers(line: str) -> np.ndarray | None:
+    """The shingles of a line as sorted numbers, if its characters are bytes and eight of them a number."""
+    if len(line) < SHINGLE or (not line.isascii() and max(line) > "\xff"):
+        return None
+    data = line.encode("latin-1")
+    found = np.ndarray(len(data) - SHINGLE + 1, np.uint64, data, strides=(1,)).copy()
+    found.sort()
+    return found[np.concatenate([[True], found[1:] != found[:-1]])]
+
+
 def similar(lines: list[str], similarity: float) -> Iterator[tuple[int, int]]:
     """Places of lines that join two groups of similar lines, until none are left apart."""
-    sets = [{line[k : k + SHINGLE] for k in range(max(1, len(line) - SHINGLE + 1))} for line in lines]
+    numbers = [_numbers(line) for line in lines]
+    sets = {k: _shingles(line) for k, line in enumerate(lines) if numbers[k] is None}
+    sizes = [len(sets[k]) if one is None else len(one) for k, one in enumerate(numbers)]
+
+    def shared(j: int, k: int) -> int:
+        if numbers[j] is not None and numbers[k] is not None:
+            both = np.concatenate([numbers[j], numbers[k]])
+            both.sort()
+            return int(np.count_nonzero(both[1:] == both[:-1]))
+        for place in (j, k):
+            if place not in sets:
+                sets[place] = _shingles(lines[place])
+        return len(sets[j] & sets[k])
+
     group = list(range(len(lines)))
     members = [[k] for k in group]
-    for k, one in enumerate(sets):
+    for k in range(len(lines)):
         for j in range(k):
-            if group[j] == group[k] or min(len(one), len(sets[j])) < similarity * max(len(one), len(sets[j])):
+            if group[j] == group[k] or min(sizes[j], sizes[k]) < similarity * max(sizes[j], sizes[k]):
                 continue
-            shared = len(one & sets[j])
-            if shared >= similarity * (len(one) + len(sets[j]) - shared):
+            both = shared(j, k)
+            if both >= similarity * (sizes[j] + sizes[k] - both):
                 yield j, k
                 keep, gone = sorted((group[j], group[k]), key=lambda g: -len(members[g]))
                 for moved in members[gone]:

@@ -332,7 +332,11 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, max_group: int = MAX_
     row. Extra columns are not read. An empty table gives an empty result.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("data"))
+    texts = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.xxhash64(text).alias("text_hash"),
+        text.cast("binary").alias("data"),
+    )
     spans = (
         repeated_parts(texts, length, max_group)
         .groupBy("doc_id", "text_hash")

@@ -49,7 +49,7 @@ THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
 #: Entries after which a table of a task is emptied.
 TABLE = 1 << 18
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 SPACED = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)").findall
 REPEATS = re.compile(r"(.)\1\1").search
@@ -105,10 +105,10 @@ def _count_letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def letter_counts(docs: DataFrame) -> np.ndarray:
     """Hashed letter trigram and bigram counts of all texts: ``2 * SLOTS`` numbers."""
-    counted = docs.select("text").mapInArrow(_count_letters, "slot long, n long").groupBy("slot").agg(F.sum("n"))
+    counted = docs.select("text").mapInArrow(_count_letters, "slot long, n long")
+    table = counted.groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most 2 * SLOTS rows
     counts = np.zeros(2 * SLOTS, np.int64)
-    for slot, n in counted.collect():  # at most 2 * SLOTS rows, whatever the corpus
-        counts[slot] = n
+    counts[table.column("slot").to_numpy()] = table.column("n").to_numpy()
     return counts
 
 

@@ -142,6 +142,17 @@ def repeat_rows(docs, length=100) -> list:
     return rows
 
 
+def _least_shingle(text: str, number: int) -> int:
+    said = re.split(r"[ \t\n\x0b\f\r]+", text.lower())
+    hashes = []
+    for at in range(max(1, len(said) - 4)):
+        value = 42
+        for part in [word.encode() for word in said[at : at + 5]] + [number.to_bytes(4, "little")]:
+            value = xxhash.xxh64_intdigest(part, value)
+        hashes.append(value - (1 << 64) if value >> 63 else value)
+    return min(hashes)
+
+
 def toxic_scores(docs, labels) -> dict:
     """Scores by counting letters, word beginnings and documents one by one."""
     counts = np.zeros(2 * toxicity.SLOTS, np.int64)
@@ -158,6 +169,11 @@ def toxic_scores(docs, labels) -> dict:
     for doc, text in docs:
         if doc in marked:
             texts[text or ""] = max(texts[text or ""], marked[doc])
+    for number in range(toxicity.COPY_HASHES):
+        groups = defaultdict(list)
+        for text, toxic in texts.items():
+            groups[_least_shingle(text, number)].append((text, toxic))
+        texts = {min(text for text, _ in group): max(toxic for _, toxic in group) for group in groups.values()}
     table = defaultdict(lambda: [0, 0])
     for text, toxic in texts.items():
         found = toxicity.document_words(text, reader.words)

@@ -47,6 +47,9 @@ FINDING_FIELDS = [
 ]
 
 
+LINES = "array<struct<line: int, string: string, line_text: string>>"
+
+
 def has_damage(content: Column, plan: Column) -> Column:
     """Cheap test on the raw bytes that every file with findings passes."""
     pattern = bind(plan["family"], scan_pattern)
@@ -288,7 +291,7 @@ def line_array(content: Column, label: Column) -> Column:
     The text is as its charset shows it, without a closing CR; ``string`` is also
     without the indent.
     """
-    none = F.array().cast("array<struct<line: int, string: string, line_text: string>>")
+    none = F.array().cast(LINES)
 
     def shown(file: Column) -> Column:
         family = file["plan"]["family"]

@@ -145,7 +145,8 @@ def _single_byte(high: Column) -> Column:
 
 def _latin(view: Column, undefined_in_1252: str) -> Column:
     """Charset of a text in a Latin alphabet with some letters of its own."""
-    central = F.regexp_count(view, F.lit(rf"{_CENTRAL}(?=[a-z\xe0-\xff])|(?<=[A-Za-z\xe0-\xff]){_CENTRAL}"))
+    touching = rf"{_CENTRAL}(?=[a-z\xe0-\xff])|(?<=[A-Za-z\xe0-\xff]){_CENTRAL}"
+    central = F.regexp_count(view, F.lit(touching))
     high = F.regexp_replace(view, "[\x00-\x7f]+", "")
     total = F.length(high)
     control = view.rlike("[\x80-\x9f]")
@@ -161,7 +162,8 @@ def _latin(view: Column, undefined_in_1252: str) -> Column:
     shares = F.struct(
         *(_share(high, _letters(codec, WESTERN)).alias(label) for label, codec in OTHER_WESTERN.items())
     )
-    western = F.when(control, F.when(~view.rlike(f"[{undefined_in_1252}]"), "windows-1252")).otherwise("iso-8859-1")
+    defined = ~view.rlike(f"[{undefined_in_1252}]")
+    western = F.when(control, F.when(defined, "windows-1252")).otherwise("iso-8859-1")
     return (
         F.when((central >= 2) & (central >= 0.08 * total), F.when(control, "windows-1250").otherwise("iso-8859-2"))
         .when((odd >= 2) & (odd >= 0.3 * total), bind(shares, other))

@@ -14,7 +14,7 @@ from encaudit.functions.charsets import (
     is_unicode_label,
     normalize_label,
 )
-from encaudit.functions.findings import finding_array, line_array
+from encaudit.functions.findings import LINES, finding_array, line_array
 from encaudit.operators.encoding import computed_once, to_utf8_bom
 from encaudit.operators.selection import with_selection
 
@@ -135,7 +135,7 @@ def audit_files(
         with_word,
     )
     seen, known_as = F.coalesce(new, content), F.when(new.isNotNull(), "utf-8").otherwise(label)
-    lines = line_array(seen, known_as) if with_text else F.array().cast("array<struct<line: int, string: string, line_text: string>>")
+    lines = line_array(seen, known_as) if with_text else F.array().cast(LINES)
     kept = judged.withColumns(
         {
             "outcome": F.when(fine, action).otherwise(ERROR),

@@ -36,11 +36,17 @@ def settle(df: DataFrame) -> DataFrame:
     its rows again, and lets them read just the columns and rows they need. Row
     order is not kept.
     """
-    table = f"{shared_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    table = f"{shared_dir(df.sparkSession)}/settled/{uuid.uuid4().hex}"
     df.write.parquet(table)
     return df.sparkSession.read.schema(df.schema).parquet(table)
 
 
+def clear_settled(spark: SparkSession) -> None:
+    """Delete all tables this application has settled, once no DataFrame reads them any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/settled")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 _SHIPPED: set[str] = set()
 
 

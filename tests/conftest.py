@@ -5,6 +5,8 @@ import tempfile
 import pytest
 from pyspark.sql import SparkSession
 
+from encaudit.session import clear_settled
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -21,6 +23,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_settled(session)
     session.stop()
 
 

@@ -299,23 +299,13 @@ def with_surrogates(docs: DataFrame, key: bytes) -> DataFrame:
 
 
 def report(docs: DataFrame, key: bytes) -> DataFrame:
-    """One row per document: how many mentions, their spans, and digests of the text before and after."""
-    found = settle(
-        find_entities(docs).dropDuplicates(["doc_id", "text_hash"])
-    )
+    """One row per document: its mentions, what replaced them, and the text after that (null if it is the same)."""
+    found = settle(find_entities(docs).dropDuplicates(["doc_id", "text_hash"]))
     new = replace_entities(found, key).select(
-        F.col("doc_id").alias("_doc"),
-        F.col("text_hash").alias("_hash"),
-        F.sha2("text", 256).alias("replaced_sha256"),
-        F.col("replaced"),
+        F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "text", "replaced"
     )
     rows = found.select("doc_id", "text_hash", F.size("mentions").cast("long").alias("n_mentions"))
     span = F.transform("replaced", lambda one: F.concat_ws(":", one["kind"], one["start"], one["end"], one["shown"]))
     return rows.join(
         new, rows["doc_id"].eqNullSafe(new["_doc"]) & (rows["text_hash"] == new["_hash"]), "left"
-    ).select(
-        "doc_id",
-        "n_mentions",
-        F.coalesce(F.array_join(span, ","), F.lit("")).alias("replaced"),
-        "replaced_sha256",
-    )
+    ).select("doc_id", "n_mentions", F.coalesce(F.array_join(span, ","), F.lit("")).alias("replaced"), "text")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import random
+from collections import defaultdict
 
 import duckdb
 import numpy as np
@@ -13,6 +14,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from __spark_entry__ import oracle_sql, queries
+from encaudit.llm import pii
 from tests.llm import plain
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -80,13 +82,23 @@ def test_secret_query(spark):
 
 @needs_tables
 def test_personal_data_query(spark):
-    found = run(spark, "op7_pii", "doc_id", "n_mentions", "replaced", "replaced_sha256")
+    found = run(spark, "op7_pii", "doc_id", "n_mentions", "replaced", "text")
     texts = dict(table("documents", "doc_id", "text"))
     assert [row[0] for row in found] == sorted(texts)
-    for doc, n, spans, digest in found:
-        assert (n > 0) == bool(spans) == (digest is not None)
-        if digest is not None:
-            assert digest != plain.sha(texts[doc])
+    real = {mention["entity"] for text in texts.values() for mention in pii.mentions(text)}
+    assert real
+    given = defaultdict(set)
+    for doc, n, spans, text in found:
+        mentions = pii.mentions(texts[doc])
+        assert n == len(mentions) and (n > 0) == bool(spans) == (text is not None)
+        if text is not None:
+            shown = pii.mentions(text)
+            assert [one["kind"] for one in shown] == [one["kind"] for one in mentions]
+            assert not {one["entity"] for one in shown} & real
+            for before, after in zip(mentions, shown):
+                given[before["kind"], before["entity"]].add(after["entity"])
+    assert all(len(after) == 1 for after in given.values())
+    assert len({(kind, *after) for (kind, _), after in given.items()}) == len(given)
 
 
 @needs_tables

@@ -52,7 +52,7 @@ def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Token ids of every document, and digests of them and of what they decode to."""
     ship_package(spark)
     vocabulary = bpe.read_vocabulary(public_tokenizers.path(VOCABULARY))
-    return bpe.decode(bpe.encode(docs, vocabulary), vocabulary).select(
+    return bpe.round_trip(docs, vocabulary).select(
         "doc_id",
         "n_tokens",
         "ids",

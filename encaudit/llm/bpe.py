@@ -42,9 +42,11 @@ LATER = (
 #: Characters of a text that are split into words at a time.
 SLICE = 1 << 20
 #: Entries after which a table of runs, words or arcs is started anew: what an executor holds.
-MAX_RUNS, MAX_PIECES, MAX_ARCS = 1 << 19, 1 << 19, 1 << 18
+MAX_RUNS, MAX_PIECES, MAX_ARCS = 1 << 18, 1 << 19, 1 << 18
 #: A larger vocabulary file is refused instead of sent to every executor.
 MAX_VOCABULARY_BYTES = 64 << 20
+#: Texts that a task returns together.
+ROWS = 512
 
 
 def pieces_pattern() -> str:
@@ -126,6 +128,11 @@ class Automaton:
             else:
                 return True
 
+    def forget(self) -> None:
+        """Empty the tables of runs, words and arcs."""
+        for table in (self.runs, self.pieces, self.arcs):
+            table.clear()
+
     def arc(self, x: int, y: int) -> bool:
         """Whether y can follow x, by the transition table."""
         key = x << 32 | y
@@ -216,6 +223,11 @@ def _automaton(source: str) -> Automaton:
     return _BUILT[key]
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from (batch.slice(at, ROWS) for at in range(0, batch.num_rows, ROWS))
+
+
 def read_vocabulary(path: str) -> str:
     """The vocabulary file at ``path``, which only the driver has to reach."""
     with open(path, encoding="utf-8") as file:
@@ -240,12 +252,13 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(sent.value)
-        for batch in batches:
+        for batch in _parts(batches):
             ids = [automaton.encode(text.as_py() or "") for text in batch.column(1)]
             counts = pa.array([len(one) // 4 for one in ids], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), counts, pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"]
             )
+        automaton.forget()  # the Python worker lives on with other tasks
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary")
@@ -260,7 +273,7 @@ def decode(tokens: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(sent.value)
-        for batch in batches:
+        for batch in _parts(batches):
             texts = [automaton.decode(ids.as_py() or b"") for ids in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids", "text"]
@@ -270,3 +283,22 @@ def decode(tokens: DataFrame, vocabulary: str) -> DataFrame:
     return tokens.select("doc_id", "n_tokens", "ids").mapInArrow(
         run, f"doc_id {kind}, n_tokens long, ids binary, text string"
     )
+
+
+def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """``decode`` of ``encode`` in one pass: doc_id, n_tokens, ids, and the text that the ids stand for."""
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(sent.value)
+        for batch in _parts(batches):
+            ids = [automaton.encode(text.as_py() or "") for text in batch.column(1)]
+            counts = pa.array([len(one) // 4 for one in ids], pa.int64())
+            texts = pa.array(map(automaton.decode, ids), pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), counts, pa.array(ids, pa.binary()), texts], ["doc_id", "n_tokens", "ids", "text"]
+            )
+        automaton.forget()
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary, text string")

@@ -165,12 +165,15 @@ def _beginnings(word: str) -> Iterable[str]:
     yield f"{word}$"
 
 
-def document_words(text: str, words: Callable[[str], Iterable]) -> set:
-    """Union of ``words(token)`` over all tokens of a text, spaced-out words included."""
+def document_tokens(text: str) -> set[str]:
+    """The different tokens of a text in lower case, with spaced-out words in one piece as well."""
     lowered = text.lower()
-    tokens = set(lowered.split())
-    tokens.update(spaced.replace(" ", ".") for spaced in SPACED(lowered))
-    return set(itertools.chain.from_iterable(map(words, tokens)))
+    return {*lowered.split(), *(spaced.replace(" ", ".") for spaced in SPACED(lowered))}
+
+
+def document_words(text: str, words: Callable[[str], Iterable]) -> set:
+    """Union of ``words(token)`` over the tokens of a text."""
+    return set(itertools.chain.from_iterable(map(words, document_tokens(text))))
 
 
 def held_out() -> Column:
@@ -215,21 +218,23 @@ def word_scores(
         def features(token: str) -> Iterable[str]:
             return itertools.chain.from_iterable(map(_beginnings, words(token)))
 
-        def table() -> pa.RecordBatch:
-            names = list(found[0] | found[1])
-            columns = [pa.array([each[name] for name in names], pa.int64()) for each in found]
-            for each in found:
-                each.clear()
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *columns], ["feature", "clean", "toxic"])
+        def table(kind: int) -> pa.RecordBatch:
+            counts = pa.array(list(found[kind].values()), pa.int64())
+            none = pa.array(np.zeros(len(counts), np.int64))
+            pair = [none, counts] if kind else [counts, none]
+            names = pa.array(list(found[kind]), pa.string())
+            found[kind].clear()
+            return pa.RecordBatch.from_arrays([names, *pair], ["feature", "clean", "toxic"])
 
         for batch in batches:
             for text, toxic in zip(batch.column(0), batch.column(1)):
-                each = found[toxic.as_py() > 0]
-                each[""] += 1
-                each.update(document_words(text.as_py(), features))
-                if len(each) > TABLE:
-                    yield table()
-        yield table()
+                kind = int(toxic.as_py() > 0)
+                found[kind][""] += 1
+                found[kind].update(document_words(text.as_py(), features))
+                if len(found[kind]) > TABLE:
+                    yield table(kind)
+        yield table(0)
+        yield table(1)
 
     counted = settle(
         rows.mapInArrow(count, "feature string, clean long, toxic long")
@@ -331,12 +336,12 @@ def _scorer(docs: DataFrame, labels: DataFrame, column: int, made: Callable) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, known = Restorer(sent_counts.value).words, sent_scores.value
-        seen: dict[str, tuple[float, ...]] = {}
+        seen: dict[str, float] = {}
 
-        def risks(token: str) -> tuple[float, ...]:
+        def risk(token: str) -> float:
             found = seen.get(token)
             if found is None:
-                found = tuple(risk for word in words(token) if (risk := word_risk(word, known, base)) > base)
+                found = max((word_risk(word, known, base) for word in words(token)), default=base)
                 if len(seen) >= TABLE:
                     seen.clear()
                 if len(token) <= 64:
@@ -344,9 +349,7 @@ def _scorer(docs: DataFrame, labels: DataFrame, column: int, made: Callable) ->
             return found
 
         for batch in batches:
-            scored = []
-            for text in batch.column(column):
-                scored.append(max(document_words(text.as_py() or "", risks), default=base))
-            yield made(batch, scored)
+            texts = (text.as_py() or "" for text in batch.column(column))
+            yield made(batch, [max(map(risk, document_tokens(text)), default=base) for text in texts])
 
     return run

@@ -13,7 +13,7 @@ from __future__ import annotations
 import itertools
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from encaudit.functions.arrays import bind
+from encaudit.llm.components import components
 from encaudit.session import settle
 
 #: Letters that look like another character.
@@ -43,8 +44,9 @@ FIT_DOCUMENTS = 20_000
 MAX_FEATURES = 100_000
 #: Standard deviations that a share of toxic documents is taken below, and above, the observed one.
 BELOW, ABOVE = 4.0, 1.0
-#: Near copies among the labelled documents count once: those that share one of so many minimum hashes.
-COPY_HASHES = 4
+#: Near copies with the same label count once: shingle sets of this Jaccard similarity, among those that share one of
+#: so many minimum hashes (at 0.8 all but 0.2% do).
+COPY_SIMILARITY, COPY_HASHES = 0.8, 4
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
 #: Entries after which a table of a task is emptied.
@@ -191,6 +193,8 @@ def word_scores(
     Fitted on a bounded sample: the first ``FIT_DOCUMENTS`` labelled documents
     outside the held-out fold, in the order of a hash of their ids. Of texts that
     are copies or near copies one counts, or their words would seem to be toxic.
+    Equal texts have the highest of their labels; near copies with different labels
+    all count.
     """
     sample = (
         labels.where(~held_out() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
@@ -205,11 +209,7 @@ def word_scores(
         .groupBy(F.coalesce("text", F.lit("")).alias("text"))
         .agg(F.max("toxic").alias("toxic"))
     )
-    for number in range(COPY_HASHES):
-        rows = rows.groupBy(_least_shingle(number).alias("least")).agg(
-            F.min("text").alias("text"), F.max("toxic").alias("toxic")
-        )
-    rows = rows.select("text", "toxic")
+    rows = one_of_copies(rows)
     sent = docs.sparkSession.sparkContext.broadcast(counts)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,13 +262,75 @@ def word_scores(
     return {row["feature"]: (row["low"], row["high"]) for row in kept}, base
 
 
-def _least_shingle(seed: int) -> Column:
-    """The smallest hash of the five-word shingles of a text."""
-    def least(words: Column) -> Column:
+def one_of_copies(rows: DataFrame) -> DataFrame:
+    """Of different texts (text, toxic) those that stay: of near copies with the same label the smallest text."""
+    leasts = bind(
+        _shingles(),
+        lambda found: F.array(
+            *(F.array_min(F.transform(found, lambda one: F.xxhash64(one, F.lit(k)))) for k in range(COPY_HASHES))
+        ),
+    )
+    rows = settle(rows.select(F.xxhash64("text").alias("id"), "text", "toxic", leasts.alias("leasts")))
+    spread = rows.select("id", "toxic", F.posexplode("leasts").alias("number", "least"))
+    bucket = ["toxic", "number", "least"]
+    crowded = spread.groupBy(*bucket).count().where("count > 1").select(*bucket)
+    links = (
+        spread.join(crowded, bucket)
+        .join(rows.select("id", _shingles().alias("shingles")), "id")
+        .groupBy(*bucket)
+        .applyInArrow(_copies, "a long, b long")
+    )
+    roots = components(links)
+    return (
+        rows.join(roots, rows["id"] == roots["node"], "left")
+        .groupBy(F.coalesce("root", "id").alias("root"))
+        .agg(F.min(F.struct("text", "toxic")).alias("one"))
+        .select("one.text", "one.toxic")
+    )
+
+
+def _shingles() -> Column:
+    """The different five-word shingles of a text, as 64-bit hashes."""
+    def found(words: Column) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.size(words) - 4, F.lit(1)))
-        return F.array_min(F.transform(starts, lambda at: F.xxhash64(F.slice(words, at, F.lit(5)), F.lit(seed))))
+        return F.array_distinct(F.transform(starts, lambda at: F.xxhash64(F.slice(words, at, F.lit(5)))))
 
-    return bind(F.split(F.lower("text"), r"\s+"), least)
+    return bind(F.split(F.lower("text"), r"\s+"), found)
+
+
+def _copies(bucket: pa.Table) -> pa.Table:
+    """Links (a, b) that join the near copies of a bucket.
+
+    Similar sets share one of their rarest members, as many as they may differ by and
+    one more, so texts that have only a common passage are not compared.
+    """
+    ids, column = bucket.column("id").to_pylist(), bucket.column("shingles").combine_chunks()
+    sizes = column.value_lengths().to_numpy()
+    _, places, often = np.unique(column.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    ranks = np.empty(len(often), np.int64)
+    ranks[np.argsort(often, kind="stable")] = np.arange(len(often))
+    sets = [np.sort(part) for part in np.split(ranks[places], np.cumsum(sizes)[:-1])]
+    least = COPY_SIMILARITY - 1e-9
+    group, holders, pairs = list(range(len(ids))), defaultdict(list), []
+
+    def find(k: int) -> int:
+        while group[k] != k:
+            group[k] = k = group[group[k]]
+        return k
+
+    for k in sorted(range(len(ids)), key=lambda k: (sizes[k], ids[k])):
+        rarest = sets[k][: sizes[k] - math.ceil(least * sizes[k]) + 1].tolist()
+        for j in {j for one in rarest for j in holders[one]}:
+            if sizes[j] < least * sizes[k] or find(j) == find(k):
+                continue
+            both = len(np.intersect1d(sets[j], sets[k], assume_unique=True))
+            if both >= least * (sizes[j] + sizes[k] - both):
+                pairs.append((ids[j], ids[k]))
+                group[find(j)] = find(k)
+        for one in rarest:
+            holders[one].append(k)
+    sides = list(zip(*pairs)) or [[], []]
+    return pa.table([pa.array(side, pa.int64()) for side in sides], ["a", "b"])
 
 
 def _bounds(clean: Column, toxic: Column) -> tuple[Column, Column]:

@@ -156,9 +156,14 @@ class Restorer:
             return [core, self.read(core)] if REPEATS(core) else [core]
         parts = [part for part in re.split(r"[\W\d_]+", core) if part]
         shown = token.rstrip(STRIPPED).lstrip("\"'.,;:?()[]{}<>*#%&/\\=~^`-_")
-        if not parts or sum(map(str.isalpha, shown)) * 2 < len(shown):
-            return parts
-        return [*parts, self.read(shown)]
+        return [*parts, self.read(shown)] if _spells(shown) else parts
+
+
+def _spells(shown: str) -> bool:
+    """False for what cannot spell a word: numbers with their signs, and strings without letters or lookalikes."""
+    if any(map(str.isalpha, shown)):
+        return True
+    return any(map(LOOKALIKES.__contains__, shown)) and ("@" in shown or not any(map(str.isdecimal, shown)))
 
 
 def _beginnings(word: str) -> Iterable[str]:

@@ -30,8 +30,8 @@ LOOKALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "¡": "i", "(": "c",
 }
-#: Costs of the channel, in nats: a swapped, a separating and a repeated character.
-SWAPPED, SEPARATOR, REPEATED = 1.0, 0.5, 0.5
+#: Costs of the channel, in nats: a swapped, a separating and a repeated character, and a separator that ends a word.
+SWAPPED, SEPARATOR, REPEATED, BREAK = 1.0, 0.5, 0.5, 1.0
 #: Slots of the hashed trigram and bigram counts: the size of the language model, whatever the corpus.
 SLOTS = 1 << 18
 SMOOTHING = 0.1
@@ -53,9 +53,10 @@ FOLDS, HELD_OUT = 4, 2
 TABLE = 1 << 18
 SLICE = 1 << 18
 
-SPACED = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)").findall
 REPEATS = re.compile(r"(.)\1\1").search
 STRIPPED = "\"'.,;:!?()[]{}<>*#%&/\\=~^`-_|+"
+#: Single characters with white space between them; signs may touch the first and the last.
+SPACED = re.compile(rf"(?<!\S)[{re.escape(STRIPPED)}]*\S(?:\s+\S){{2,}}[{re.escape(STRIPPED)}]*(?!\S)").findall
 
 
 def _slot(a, b, c):
@@ -126,37 +127,42 @@ class Restorer:
         return -math.log((self.counts[_slot(a if b else 0, b, c)] + SMOOTHING) / (n + SMOOTHING * ALPHABET))
 
     def readings(self, seen: str, at: int) -> list[tuple[str, float]]:
-        """What one character may stand for, with the cost of the channel; none: it was put in."""
+        """What one character may stand for, with the cost of the channel; none: it was put in; a space: a word ends."""
         sign = seen[at]
         if sign.isalpha():
             drawn_out = at > 0 and sign == seen[at - 1] and 3 * sign in seen[max(0, at - 2) : at + 2]
             return [(sign, 0.0), ("", REPEATED)] if drawn_out else [(sign, 0.0)]
         if sign in LOOKALIKES:
             return [(letter, SWAPPED) for letter in LOOKALIKES[sign]]
-        return [("", SEPARATOR)]
+        return [("", SEPARATOR), (" ", BREAK)]
 
-    def read(self, seen: str) -> str:
-        """The likeliest word behind a lower-case string of characters."""
+    def read(self, seen: str) -> list[str]:
+        """The likeliest words behind a lower-case string of characters."""
         paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
         for at in range(len(seen)):
             after: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (total, word) in paths.items():
+            for (a, b), (total, said) in paths.items():
                 for letter, extra in self.readings(seen, at):
-                    state = (b, ord(letter)) if letter else (a, b)
-                    now = total + extra + (self.cost(a, b, state[1]) if letter else 0.0)
+                    if letter == " ":
+                        if not b:
+                            continue
+                        state, now = (0, 0), total + extra + self.cost(a, b, 0)
+                    else:
+                        state = (b, ord(letter)) if letter else (a, b)
+                        now = total + extra + (self.cost(a, b, state[1]) if letter else 0.0)
                     if state not in after or now < after[state][0]:
-                        after[state] = (now, word + letter)
+                        after[state] = (now, said + letter)
             paths = after
-        return min((total + self.cost(a, b, 0), word) for (a, b), (total, word) in paths.items())[1]
+        return min((total + self.cost(a, b, 0), said) for (a, b), (total, said) in paths.items())[1].split()
 
     def words(self, token: str) -> list[str]:
         """The words in one lower-case token: itself, or what it is read as."""
         core = token.strip(STRIPPED)
         if core.isalpha():
-            return [core, self.read(core)] if REPEATS(core) else [core]
+            return [core, *self.read(core)] if REPEATS(core) else [core]
         parts = [part for part in re.split(r"[\W\d_]+", core) if part]
         shown = token.rstrip(STRIPPED).lstrip("\"'.,;:?()[]{}<>*#%&/\\=~^`-_")
-        return [*parts, self.read(shown)] if _spells(shown) else parts
+        return [*parts, *self.read(shown)] if _spells(shown) else parts
 
 
 def _spells(shown: str) -> bool:
@@ -173,9 +179,9 @@ def _beginnings(word: str) -> Iterable[str]:
 
 
 def document_tokens(text: str) -> set[str]:
-    """The different tokens of a text in lower case, with spaced-out words in one piece as well."""
+    """The different tokens of a text in lower case, with runs of spaced-out words in one piece as well."""
     lowered = text.lower()
-    return {*lowered.split(), *(spaced.replace(" ", ".") for spaced in SPACED(lowered))}
+    return {*lowered.split(), *(" ".join(spaced.split()) for spaced in SPACED(lowered))}
 
 
 def document_words(text: str, words: Callable[[str], Iterable]) -> set:

@@ -28,7 +28,11 @@ MAX_DRAWS = 16
 TITLES = {
     "male": "Mr Mister Sir Herr Herrn Monsieur Señor Sr Don Signor господин г-н κύριος κ.",
     "female": "Mrs Ms Miss Madam Frau Madame Mme Mlle Señora Sra Señorita Doña Signora госпожа г-жа κυρία κα",
+    "given": "Dr Prof Doctor Professor Dra доктор профессор Δρ",
 }
+#: Lower-case words inside a name, and what follows a name without being part of it.
+PARTICLES = set("van von der den de del della di da du la le los las dos das ter ten zu af av".split())
+SUFFIXES = set("Jr Sr II III IV".split())
 #: Given names and family names of the surrogates.
 NAMES = {
     ("male", "LATIN"): "Adam Bruno Carl David Emil Felix Gabriel Hugo Ivan Jonas Karl Leon Martin Noel Oscar Paul Ralph Simon Thomas Victor",
@@ -42,6 +46,8 @@ NAMES = {
     ("family", "GREEK"): "Αθανασίου Βασιλείου Γεωργίου Δημητρίου Ιωάννου Κωνσταντίνου Νικολάου Παπαδάκη Στεφάνου Χριστοδούλου",
 }
 
+NAMES |= {("given", writing): f"{NAMES['male', writing]} {NAMES['female', writing]}" for kind, writing in list(NAMES) if kind == "male"}
+
 _LOCAL = re.compile(r"[\w.%+-]+$").search
 _DOMAIN = re.compile(r"@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}").match
 _NUMBER = re.compile(
@@ -52,10 +58,12 @@ _NUMBER = re.compile(
     r"|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)"
 ).finditer
 _TITLED = re.compile(
-    r"(?<!\w)(?:(?P<male>" + "|".join(map(re.escape, TITLES["male"].split())) + r")|(?P<female>"
-    + "|".join(map(re.escape, TITLES["female"].split())) + r"))\.?[  ](?=[^\W\d_a-z])"
-).finditer
+    "(?<!\\w)(?:" + "|".join(f"(?P<{kind}>{'|'.join(map(re.escape, titles.split()))})" for kind, titles in TITLES.items())
+    + r")\.?[ \xa0]"
+)
 _NAME = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*").match
+#: No names after a title: the next title. Don is a name as well.
+_NO_NAMES = {title for titles in TITLES.values() for title in titles.split()} - {"Don"} | SUFFIXES
 _FIELDS = [("kind", pa.string()), ("entity", pa.string()), ("start", pa.int64()), ("end", pa.int64())]
 MENTIONS = "array<struct<kind:string,entity:string,start:long,end:long>>"
 
@@ -68,6 +76,31 @@ def _digits(found: str) -> str:
     return "".join(c for c in found if c.isdecimal())
 
 
+def _name_parts(text: str, place: int) -> tuple[list[re.Match], list[re.Match]]:
+    """The names and the initials of the person whose title ends at a place, particles and further titles left out."""
+    parts, initials = [], []
+    while more := _TITLED.match(text, place):
+        if more.lastgroup != "given":
+            break
+        place = more.end()
+    while name := _NAME(text, place):
+        after = name.end()
+        if name[0] in _NO_NAMES or name[0] not in PARTICLES and not (name[0][0].isupper() or name[0][1:2] in ("'", "’") and name[0][2].isupper()):
+            break
+        elif len(name[0]) == 1:
+            initials.append(name)
+            after += text[after : after + 1] == "."
+            if _NAME(text, after):  # the next one without a space
+                place = after
+                continue
+        elif name[0] not in PARTICLES:
+            parts.append(name)
+        if text[after : after + 1] not in (" ", "\xa0"):
+            break
+        place = after + 1
+    return parts, initials
+
+
 def mentions(text: str) -> list[dict]:
     """Mentions of entities in a text, in order, none inside another: kind, entity, start and end."""
     found: dict[int, tuple[int, str, str]] = {}
@@ -82,20 +115,19 @@ def mentions(text: str) -> list[dict]:
         if kind != "ip" or _is_ip(one[0]):
             found.setdefault(one.start(), (one.end(), kind, one[0] if kind == "ip" else _digits(one[0])))
     names: dict[str, str] = {}
-    for title in _TITLED(text):
-        tokens, place = [], title.end()
-        while len(tokens) < 3 and (name := _NAME(text, place)) and name[0][0].isupper():
-            tokens.append(name)
-            place = name.end() + (text[name.end() : name.end() + 1] == " ")
-        for k, name in enumerate(tokens):
-            kind = "family" if k == len(tokens) - 1 else title.lastgroup
+    for title in _TITLED.finditer(text):
+        parts, initials = _name_parts(text, title.end())
+        for k, name in enumerate(parts):
+            kind = "family" if k == len(parts) - 1 else title.lastgroup
             names.setdefault(name[0].casefold(), kind)
             found.setdefault(name.start(), (name.end(), names[name[0].casefold()], name[0].casefold()))
+        for name in initials:
+            found.setdefault(name.start(), (name.end(), "initial", name[0].casefold()))
     if names:  # the same person without a title
         again = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(names, key=len, reverse=True))) + r")(?!\w)", re.I)
         for name in again.finditer(text):
             entity = name[0].casefold()
-            if name[0][0].isupper() and entity in names:
+            if name[0] != name[0].lower() and entity in names:
                 found.setdefault(name.start(), (name.end(), names[entity], entity))
     rows, free = [], 0
     for start, (end, kind, entity) in sorted(found.items(), key=lambda one: (one[0], -one[1][0])):
@@ -163,6 +195,8 @@ def surrogate(key: bytes, kind: str, entity: str, number: int) -> str:
             checked = (digits[:-1] + d for d in "0123456789")
             return next(one for one in checked if _luhn(one) == _luhn(entity))
         return digits
+    if kind == "initial":  # more letters when there are more initials than letters
+        return "".join(draw.like(entity) for _ in range(1 + number // 2))
     known = NAMES.get((kind, script(entity)), "").split()
     if not known:
         return "".join(map(draw.like, entity))
@@ -180,7 +214,7 @@ def rendered(kind: str, normal: str, shown: str) -> str:
     if kind in ("card", "phone", "social") and len(normal) == len(_digits(shown)):
         digits = iter(normal)
         return "".join(next(digits) if c.isdecimal() else c for c in shown)
-    if kind in ("male", "female", "family"):
+    if kind in ("male", "female", "given", "family", "initial"):
         return normal.upper() if shown.isupper() and len(shown) > 1 else normal.title()
     return normal.upper() if shown.isupper() else normal
 
@@ -281,7 +315,9 @@ def with_surrogates(docs: DataFrame, key: bytes) -> DataFrame:
 
     Emails, network addresses, card and account numbers, social security and phone
     numbers, and names after a title (with their later mentions in the document)
-    are entities. One entity has one surrogate in the whole corpus, different
+    are entities. A name goes on to the last capitalised part, over particles and
+    initials with a dot; the last part is the family name. Persons without one of
+    the ``TITLES`` in their document are not found. One entity has one surrogate in the whole corpus, different
     entities have different ones, and no surrogate is an entity of the corpus.
 
     A null text stays null; texts without entities stay as they are. Null doc_ids

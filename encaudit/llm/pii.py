@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from encaudit.session import settle
 
-#: Draws after which an entity gets a name that is unique by its length instead of one like it.
+#: Draws after which the form of a surrogate gets wider with each draw.
 MAX_DRAWS = 16
 
 #: What stands before a person's name, by gender.
@@ -181,16 +182,15 @@ def _luhn(digits: str) -> bool:
 def surrogate(key: bytes, kind: str, entity: str, number: int) -> str:
     """Normal form of the surrogate that an entity draws."""
     draw = Draw(key, kind, entity, number)
-    if number >= MAX_DRAWS:
-        return f"{kind}-{draw.state.hex()}"
+    wider = max(0, number - MAX_DRAWS + 1)
     if kind == "email":
         name, _, place = entity.partition("@")
         labels, _, top = place.rpartition(".")
-        return "".join(map(draw.like, f"{name}@{labels}")) + f".{top}"
+        return "".join(map(draw.like, f"{name}{'a' * wider}@{labels}")) + f".{top}"
     if kind == "ip":
-        return ".".join(_octet(draw, len(part)) for part in entity.split("."))
+        return ".".join(_octet(draw, 3 if wider else len(part)) for part in entity.split("."))
     if kind in ("card", "phone", "social"):
-        digits = entity[0] + "".join(map(draw.like, entity[1:]))
+        digits = entity[0] + "".join(map(draw.like, entity[1:] + "0" * wider))
         if kind == "card":
             checked = (digits[:-1] + d for d in "0123456789")
             return next(one for one in checked if _luhn(one) == _luhn(entity))
@@ -199,7 +199,7 @@ def surrogate(key: bytes, kind: str, entity: str, number: int) -> str:
         return "".join(draw.like(entity) for _ in range(1 + number // 2))
     known = NAMES.get((kind, script(entity)), "").split()
     if not known:
-        return "".join(map(draw.like, entity))
+        return "".join(map(draw.like, entity + entity[-1] * wider))
     parts = [known[draw.below(len(known))] for _ in range(1 + number // 2)]
     return "-".join(parts).casefold()
 
@@ -211,9 +211,9 @@ def _octet(draw: Draw, width: int) -> str:
 
 def rendered(kind: str, normal: str, shown: str) -> str:
     """A surrogate in the spelling of the mention it replaces."""
-    if kind in ("card", "phone", "social") and len(normal) == len(_digits(shown)):
+    if kind in ("card", "phone", "social") and len(normal) >= len(_digits(shown)):
         digits = iter(normal)
-        return "".join(next(digits) if c.isdecimal() else c for c in shown)
+        return "".join([*(next(digits) if c.isdecimal() else c for c in shown), *digits])
     if kind in ("male", "female", "given", "family", "initial"):
         return normal.upper() if shown.isupper() and len(shown) > 1 else normal.title()
     return normal.upper() if shown.isupper() else normal
@@ -241,7 +241,8 @@ def assign_surrogates(entities: DataFrame, key: bytes) -> DataFrame:
     """kind, entity and surrogate: one surrogate each, all different, none an entity itself.
 
     ``entities`` has each (kind, entity) once. Entities that draw the same surrogate
-    draw again, all but the smallest; so do those whose draw is taken or real.
+    draw again, all but the smallest; so do those whose draw is taken or real. From
+    draw ``MAX_DRAWS`` on the forms get wider, so that all find a free one.
     """
 
     def drawn(number: int) -> DataFrame:
@@ -255,7 +256,7 @@ def assign_surrogates(entities: DataFrame, key: bytes) -> DataFrame:
 
     real = entities.select("kind", F.col("entity").alias("surrogate"))
     pending, accepted = entities.select("kind", "entity"), None
-    for number in range(MAX_DRAWS + 1):
+    for number in itertools.count():
         firsts = drawn(number).groupBy("kind", "surrogate").agg(F.min("entity").alias("entity"))
         free = firsts.join(real, ["kind", "surrogate"], "left_anti")
         if accepted is not None:

@@ -37,3 +37,20 @@ def test_no_part_of_a_name_stays(spark):
     for real in "Juan Carlos Garcia Lopez John Public Ludwig Ada Novak".split():
         assert not any(real in text for text in new.values())
     assert "Q." not in new[0] and " van " in new[0] and "Beethoven" not in new[0]
+
+
+@pytest.mark.parametrize(
+    "shown", ["1.2.3.4", "555-123-4567", "(017) 555-7713", "+1 017 555", "123-45-6789", "4539578763621486", "a@b.example"]
+)
+def test_late_draws_are_wider_forms_of_the_same_type(shown):
+    (one,) = pii.mentions(shown)
+    kind, entity = one["kind"], one["entity"]
+    late = [pii.surrogate(b"key", kind, entity, pii.MAX_DRAWS + k) for k in range(3)]
+    assert len(set(late)) == 3 and not any(name.startswith(kind) for name in late)
+    for normal in late:
+        new = pii.rendered(kind, normal, shown)
+        signs = [c for c in shown if not c.isalnum()]
+        assert [c for c in new if not c.isalnum()] == signs
+        assert new.replace(".", "").isdecimal() and pii._is_ip(new) if kind == "ip" else len(new) > len(shown)
+    if kind == "card":
+        assert all(map(pii._luhn, late))

@@ -32,12 +32,19 @@ LENGTH = 100
 ANCHOR = 32
 #: Segments of an anchor that occurs more often are compared in salted groups first.
 MAX_GROUP = 50_000
-#: Segments of whole groups that a task sorts together.
-CHUNK = 100_000
+#: Segments of whole groups that a task sorts together; fewer of them have numbers of 16 bits.
+CHUNK = 60_000
 #: Bytes in which anchors are looked for at a time.
-SLICE = 1 << 20
+SLICE = 1 << 18
+#: Bytes of texts that are cut into segments together; a longer text is cut alone.
+TEXTS = 1 << 21
+#: Each class of hot anchors occurs so many times as often as the one before, and has as many times its salts.
+CLASS = 4
 END = 256
 
+#: Bits of the bitmap of each class of hot anchors.
+HOT_BITS = 1 << 23
+
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: A segment: place of its anchor in the text, bounds of the key around that, bytes before it, and its bytes.
 _SEGMENT = "place long, low int, high int, before int, segment binary"
@@ -97,13 +104,23 @@ def _anchored(column: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, np
     return data, bounds, text[inside], places[inside], hashes[inside]
 
 
+def _texts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, about ``TEXTS`` bytes of texts at a time."""
+    sizes = np.asarray(pc.binary_length(batch.column(2)), dtype=np.int64)
+    part = (np.cumsum(sizes) - sizes) // TEXTS
+    edges = np.r_[0, np.flatnonzero(np.diff(part)) + 1, batch.num_rows]
+    for first, last in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        if last > first:
+            yield batch.slice(first, last - first)
+
+
 def _repeated_anchors(texts: DataFrame, length: int) -> DataFrame:
     """hash and n of anchors that occur more than once."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                *_, hashes = _anchored(batch.column(2).slice(at, 1024), length)
+            for part in _texts(batch):
+                *_, hashes = _anchored(part.column(2), length)
                 values, n = np.unique(hashes, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)], ["hash", "n"])
 
@@ -111,35 +128,48 @@ def _repeated_anchors(texts: DataFrame, length: int) -> DataFrame:
     return settle(counted.where("n > 1"))
 
 
-def _segments(texts: DataFrame, repeated: np.ndarray, hot: np.ndarray, salts: int, length: int) -> DataFrame:
+def _hot_classes(repeated: DataFrame, max_group: int) -> list[np.ndarray]:
+    """Bitmaps of the anchors that occur more than ``max_group`` times, ``CLASS`` times that, and so on."""
+    most = repeated.agg(F.max("n")).first()[0] or 0
+    limits = []
+    while most > max_group * CLASS ** len(limits):
+        limits.append(max_group * CLASS ** len(limits))
+    return [bitmap(repeated.where(F.col("n") > limit), "hash", HOT_BITS) for limit in limits]
+
+
+def _segments(texts: DataFrame, repeated: np.ndarray, hot: list[np.ndarray], length: int) -> DataFrame:
     """What lies around every anchor that may be repeated, as (doc_id, text_hash, hash, salt, ...)."""
     context = texts.sparkSession.sparkContext
     sent, sent_hot = context.broadcast(repeated), context.broadcast(hot)
     reach = length - ANCHOR
 
+    def salt(hashes: np.ndarray, places: np.ndarray) -> np.ndarray:
+        salts = np.zeros(len(hashes), np.int64)
+        for number, held in enumerate(sent_hot.value):
+            salts[may_hold(held, hashes)] = CLASS ** (number + 1)
+        return np.where(salts > 0, (places * 0x9E3779B1 >> 7) % np.maximum(salts, 1), -1)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for part in _texts(batch):
                 data, bounds, text, places, hashes = _anchored(part.column(2), length)
                 keep = may_hold(sent.value, hashes.view(np.int64))
                 text, places, hashes = text[keep], places[keep], hashes[keep].view(np.int64)
                 first = np.maximum(places - reach, bounds[text])
                 last = np.minimum(places + length, bounds[text + 1])
                 held = data.tobytes()
-                cuts = [held[a:b] for a, b in zip(first.tolist(), last.tolist())]
-                spread = (places * 0x9E3779B1 >> 7) % salts
+                cuts = pa.array([held[a:b] for a, b in zip(first.tolist(), last.tolist())], pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0).take(pa.array(text)),
                         part.column(1).take(pa.array(text)),
                         pa.array(hashes),
-                        pa.array(np.where(may_hold(sent_hot.value, hashes), spread, -1), pa.int64()),
+                        pa.array(salt(hashes, places), pa.int64()),
                         pa.array(places - bounds[text], pa.int64()),
                         pa.array(np.zeros(len(text)), pa.int32()),
                         pa.array(np.full(len(text), ANCHOR), pa.int32()),
                         pa.array(places - first, pa.int32()),
-                        pa.array(cuts, pa.binary()),
+                        cuts,
                     ],
                     ["doc_id", "text_hash", "hash", "salt", *_NAMES],
                 )
@@ -147,6 +177,12 @@ def _segments(texts: DataFrame, repeated: np.ndarray, hot: np.ndarray, salts: in
     return texts.mapInArrow(cut, f"doc_id long, text_hash long, hash long, salt long, {_SEGMENT}")
 
 
+def _stable(group: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """Stable order by group, then symbol; numbers of 16 bits are sorted by counting."""
+    first = np.argsort(symbols, kind="stable")
+    return first[np.argsort(group[first], kind="stable")]
+
+
 def repeats(
     group: np.ndarray, rank: np.ndarray, before: np.ndarray, segments: pa.Array, length: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -159,22 +195,28 @@ def repeats(
     """
     reach, n = length - ANCHOR, len(group)
     width = reach + length
-    sizes = np.asarray(segments.cast(pa.large_binary()).buffers()[1]).view(np.int64)[: n + 1]
-    lengths = np.diff(sizes)
-    flat = np.frombuffer(segments.cast(pa.large_binary()).buffers()[2], np.uint8)[sizes[0] : sizes[-1]]
-    column = np.arange(len(flat)) - np.repeat(sizes[:-1] - sizes[0], lengths) + np.repeat(reach - before, lengths)
-    symbols = np.full((width, n), END, np.int64)
-    symbols[column, np.repeat(np.arange(n), lengths)] = flat
-    opens, closes = reach - before, reach - before + lengths - length
+    segments = segments.cast(pa.large_binary())
+    bounds = np.frombuffer(segments.buffers()[1], np.int64)[segments.offset : segments.offset + n + 1]
+    flat = np.frombuffer(segments.buffers()[2], np.uint8)
+    starts_at, lengths = bounds[:-1], np.diff(bounds)
+    shift = reach - before
+    opens, closes = shift, shift + lengths - length
     first, last = np.full(n, -1), np.full(n, -1)
     fresh = np.zeros(n, bool)
-    order, slot = np.arange(n), group * (END + 1)
+    order = np.arange(n)
+    if n and int(group[-1]) < 1 << 16:
+        group = group.astype(np.uint16)
     differ = np.full(n + 1, width)
     for at in range(width - 1, -1, -1):
-        key = slot + symbols[at][order]
-        moved = np.argsort(key, kind="stable")
-        key, order = key[moved], order[moved]
-        same = np.flatnonzero((key[1:] == key[:-1]) & (key[1:] % (END + 1) != END))
+        place = at - shift
+        held = (place >= 0) & (place < lengths)
+        symbol = np.full(n, END, np.uint16)
+        symbol[held] = flat[starts_at[held] + place[held]]
+        symbol = symbol[order]
+        moved = _stable(group[order], symbol)
+        order, symbol = order[moved], symbol[moved]
+        owner = group[order]
+        same = np.flatnonzero((owner[1:] == owner[:-1]) & (symbol[1:] == symbol[:-1]) & (symbol[1:] != END))
         between = np.stack([moved[same] + 1, moved[same + 1] + 1], axis=1).reshape(-1)
         after = np.full(n + 1, at)
         if len(same):
@@ -287,15 +329,10 @@ def _extended(segments: DataFrame, core: int, length: int) -> tuple[DataFrame, i
     return kept.mapInArrow(extend, f"doc_id long, text_hash long, hash long, {_SEGMENT}"), core + more
 
 
-def repeated_parts(
-    texts: DataFrame, length: int = LENGTH, max_group: int = MAX_GROUP, salts: int | None = None
-) -> DataFrame:
+def repeated_parts(texts: DataFrame, length: int = LENGTH, max_group: int = MAX_GROUP) -> DataFrame:
     """doc_id, text_hash, start, end: parts of texts (doc_id, text_hash, data) that consist of repeated strings."""
-    if salts is None:
-        salts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     repeated = _repeated_anchors(texts, length)
-    hot = bitmap(repeated.where(F.col("n") > max_group), "hash")
-    segments = _segments(texts, bitmap(repeated, "hash"), hot, salts, length)
+    segments = _segments(texts, bitmap(repeated, "hash"), _hot_classes(repeated, max_group), length)
     found = settle(_compare(segments, length))
     parts, core = [found], ANCHOR
     left = found.where("segment is not null")
@@ -304,7 +341,8 @@ def repeated_parts(
         wider = settle(wider)
         crowded = settle(wider.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_group))
         # In the end all strings of a group are equal and at most one per salt is left of it.
-        spread = F.pmod(F.xxhash64("doc_id", "place"), F.lit(salts)) if core < length else F.lit(-1)
+        salts = F.ceil(F.col("n") / max_group)
+        spread = F.pmod(F.xxhash64("doc_id", "place"), salts) if core < length else F.lit(-1)
         keyed = wider.join(crowded, "hash", "left").withColumn(
             "salt", F.when(F.col("n").isNotNull(), spread).otherwise(F.lit(-1)).cast("long")
         )

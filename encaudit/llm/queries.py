@@ -10,8 +10,10 @@ from encaudit.llm import (
     bpe,
     decontamination,
     exact_dedup,
+    hard_negatives,
     line_dedup,
     pii,
+    quality,
     secrets,
     simhash,
     suffix_dedup,
@@ -78,6 +80,18 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"), label.alias("label"), F.col("embedding").alias("vector")
+    )
+    return hard_negatives.hard_negatives(rows, F.col("id") % 100 == 0, scale=256)
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_line_dedup": op2_line_dedup,
@@ -89,9 +103,12 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_simhash": op9_simhash,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op13_quality": op13_quality,
 }
 
 ORACLE = {
+    "op11_hard_negatives": hard_negatives.ORACLE,
     "op1_url_filter": url_filter.ORACLE,
     "op6_decontamination": decontamination.ORACLE,
     "op10_exact_dedup": """

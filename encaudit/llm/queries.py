@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from encaudit.llm import (
     bpe,
+    collocations,
     decontamination,
     exact_dedup,
     hard_negatives,
@@ -88,6 +89,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(rows, F.col("id") % 100 == 0, scale=256)
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -104,13 +109,15 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_collocations": op12_collocations,
     "op13_quality": op13_quality,
 }
 
 ORACLE = {
-    "op11_hard_negatives": hard_negatives.ORACLE,
     "op1_url_filter": url_filter.ORACLE,
     "op6_decontamination": decontamination.ORACLE,
+    "op11_hard_negatives": hard_negatives.ORACLE,
+    "op12_collocations": collocations.ORACLE,
     "op10_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256

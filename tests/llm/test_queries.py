@@ -32,17 +32,17 @@ def run(spark, name, *columns):
 
 def test_every_operator_is_registered():
     numbers = sorted(int(name[2:].split("_")[0]) for name in queries() if name.startswith("op"))
-    assert numbers == list(range(1, 11)) and "pipeline" in queries()
+    assert numbers == list(range(1, 14)) and "pipeline" in queries()
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "toxicity", "line dedup", "SimHash near-dedup", "benchmark decontamination", "BPE encoding and decoding",
     ]
 
 
 @needs_tables
-@pytest.mark.parametrize("name", ["op1_url_filter", "op6_decontamination", "op10_exact_dedup"])
+@pytest.mark.parametrize("name", ["op1_url_filter", "op6_decontamination", "op10_exact_dedup", "op11_hard_negatives", "op12_collocations"])
 def test_query_matches_sql(spark, name):
     connection = duckdb.connect()
-    for one in ("documents", "pages", "benchmark"):
+    for one in ("documents", "pages", "benchmark", "embeddings"):
         connection.execute(f"CREATE VIEW {one} AS SELECT * FROM '{SF_DIR}/{one}.parquet'")
     cursor = connection.execute(oracle_sql()[name])
     columns = [item[0] for item in cursor.description]

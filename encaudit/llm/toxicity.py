@@ -32,16 +32,16 @@ LOOKALIKES = {
 }
 #: Costs of the channel, in nats: a swapped, a separating and a repeated character, and a separator that ends a word.
 SWAPPED, SEPARATOR, REPEATED, BREAK = 1.0, 0.5, 0.5, 1.0
-#: Slots of the hashed trigram and bigram counts: the size of the language model, whatever the corpus.
-SLOTS = 1 << 18
+#: Letters, as code points, that a trigram's number is made of; bits of each.
+LETTER_BITS = 21
+#: The language model has all letter trigrams of the corpus, up to so many different ones (64 MB), the most frequent first.
+MOST_TRIGRAMS = 1 << 22
 SMOOTHING = 0.1
 ALPHABET = 64
 #: Letters of the longest word beginning that is a feature.
 LONGEST = 7
 #: At most so many labelled documents, in the order of a hash of their ids, fit the word scores.
 FIT_DOCUMENTS = 20_000
-#: At most so many beginnings are kept, the surest first.
-MAX_FEATURES = 100_000
 #: Standard deviations that a share of toxic documents is taken below, and above, the observed one.
 BELOW, ABOVE = 4.0, 1.0
 #: Near copies with the same label count once: shingle sets of this Jaccard similarity, among those that share one of
@@ -59,15 +59,6 @@ STRIPPED = "\"'.,;:!?()[]{}<>*#%&/\\=~^`-_|+"
 SPACED = re.compile(rf"(?<!\S)[{re.escape(STRIPPED)}]*\S(?:\s+\S){{2,}}[{re.escape(STRIPPED)}]*(?!\S)").findall
 
 
-def _slot(a, b, c):
-    """Slot of the trigram a, b, c; numbers or arrays of code points, zero for no letter."""
-    return ((a * 1009 + b) * 1013 + c) & (SLOTS - 1)
-
-
-def _context(a, b):
-    return SLOTS + ((a * 1019 + b) & (SLOTS - 1))
-
-
 _LETTERS: list[np.ndarray] = []
 
 
@@ -79,52 +70,96 @@ def _letters(text: str) -> np.ndarray:
     return np.where(_LETTERS[0][points], points, 0)
 
 
+_BREAK = re.compile(r"[\W\d_]")
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[str]:
-    """The texts in strings of about ``SLICE`` characters, two breaks between texts."""
+    """The texts in strings of about ``SLICE`` characters, cut where no word goes on, two breaks between them."""
     held, size = [], 0
     for batch in batches:
         for text in batch.column(0):
-            whole = text.as_py() or ""
-            for at in range(0, len(whole), SLICE):
-                held.append(whole[at : at + SLICE])
-                size += len(held[-1])
+            whole, at = text.as_py() or "", 0
+            while at < len(whole):
+                found = _BREAK.search(whole, at + SLICE)
+                end = found.start() if found else len(whole)
+                held.append(whole[at:end])
+                size, at = size + end - at, end
                 if size >= SLICE:
                     yield "\n\n".join(held)
                     held, size = [], 0
     yield "\n\n".join(held)
 
 
+def _counted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in rising order with the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+    return keys[starts], np.add.reduceat(counts, starts) if len(starts) else counts
+
+
+def _trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the letter trigrams of a text, zero for no letter, and how often they occur."""
+    points = np.concatenate([[0, 0], _letters(text), [0]])
+    used, codes = np.unique(points, return_inverse=True)
+    a, b, c = codes[:-2], codes[1:-1], codes[2:]  # code 0 is no letter
+    said = (b > 0) | (c > 0)
+    a, b, c = np.where(b > 0, a, 0)[said], b[said], c[said]
+    cells = (a * len(used) + b) * len(used) + c
+    if len(used) ** 3 <= 1 << 21:
+        counts = np.bincount(cells)
+        cells = np.flatnonzero(counts)
+        counts = counts[cells]
+    else:
+        cells, counts = np.unique(cells, return_counts=True)
+    rest, c = np.divmod(cells, len(used))
+    a, b = np.divmod(rest, len(used))
+    return (used[a] << 2 * LETTER_BITS) | (used[b] << LETTER_BITS) | used[c], counts
+
+
 def _count_letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(2 * SLOTS, np.int64)
+    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for text in _slices(batches):
-        points = np.concatenate([[0, 0], _letters(text), [0]])
-        a, b, c = points[:-2], points[1:-1], points[2:]
-        said = (b > 0) | (c > 0)
-        a, b, c = np.where(b > 0, a, 0)[said], b[said], c[said]
-        counts += np.bincount(np.concatenate([_slot(a, b, c), _context(a, b)]), minlength=2 * SLOTS)
-    slots = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(counts[slots])], ["slot", "n"])
+        more, often = _trigrams(text)
+        keys, counts = _counted(np.r_[keys, more], np.r_[counts, often])
+        if len(keys) > TABLE:
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["key", "n"])
+            keys, counts = keys[:0], counts[:0]
+    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["key", "n"])
 
 
-def letter_counts(docs: DataFrame) -> np.ndarray:
-    """Hashed letter trigram and bigram counts of all texts: ``2 * SLOTS`` numbers."""
-    counted = docs.select("text").mapInArrow(_count_letters, "slot long, n long")
-    table = counted.groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most 2 * SLOTS rows
-    counts = np.zeros(2 * SLOTS, np.int64)
-    counts[table.column("slot").to_numpy()] = table.column("n").to_numpy()
-    return counts
+def letter_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the letter trigrams of all texts in rising order, and how often they occur."""
+    counted = docs.select("text").mapInArrow(_count_letters, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    table = counted.orderBy(F.desc("n"), "key").limit(MOST_TRIGRAMS).toArrow()
+    return _counted(table.column("key").to_numpy(), table.column("n").to_numpy())
 
 
 class Restorer:
     """Reads disguised words by the Viterbi path through their lattice."""
 
-    def __init__(self, counts: np.ndarray) -> None:
-        self.counts = counts
+    def __init__(self, counts: tuple[np.ndarray, np.ndarray]) -> None:
+        """``counts`` are those of ``letter_counts``; of the two letters before the third they are sums."""
+        self.threes = counts
+        self.twos = _counted(counts[0] >> LETTER_BITS, counts[1])
+        self.costs: dict[tuple[int, int, int], float] = {}
+
+    @staticmethod
+    def _often(table: tuple[np.ndarray, np.ndarray], key: int) -> int:
+        at = int(np.searchsorted(table[0], key))
+        return int(table[1][at]) if at < len(table[0]) and table[0][at] == key else 0
 
     def cost(self, a: int, b: int, c: int) -> float:
         """Nats of letter c after a and b; zero stands for the edge of a word."""
-        n = self.counts[_context(a if b else 0, b)]
-        return -math.log((self.counts[_slot(a if b else 0, b, c)] + SMOOTHING) / (n + SMOOTHING * ALPHABET))
+        known = self.costs.get((a, b, c))
+        if known is None:
+            two = ((a if b else 0) << LETTER_BITS) | b
+            often, n = self._often(self.threes, (two << LETTER_BITS) | c), self._often(self.twos, two)
+            known = -math.log((often + SMOOTHING) / (n + SMOOTHING * ALPHABET))
+            if len(self.costs) >= TABLE:
+                self.costs.clear()
+            self.costs[a, b, c] = known
+        return known
 
     def readings(self, seen: str, at: int) -> list[tuple[str, float]]:
         """What one character may stand for, with the cost of the channel; none: it was put in; a space: a word ends."""
@@ -194,12 +229,12 @@ def held_out() -> Column:
 
 
 def word_scores(
-    docs: DataFrame, labels: DataFrame, counts: np.ndarray
+    docs: DataFrame, labels: DataFrame, counts: tuple[np.ndarray, np.ndarray]
 ) -> tuple[dict[str, tuple[float, float]], float]:
     """Features with bounds of the share of toxic documents among those that have them, and the overall share.
 
     Kept are beginnings that surely stand for more than the overall share, and
-    longer ones that deny it; their number is bounded by ``MAX_FEATURES`` of each.
+    longer ones that deny it; no more than the fitted documents have words.
 
     Fitted on a bounded sample: the first ``FIT_DOCUMENTS`` labelled documents
     outside the held-out fold, in the order of a hash of their ids. Of texts that
@@ -257,7 +292,7 @@ def word_scores(
     overall = shares.where("feature = ''").first()
     base = overall["share"] if overall else 0.0
     shares = shares.where("feature <> ''").select("feature", "low", "high")
-    sure = shares.where(F.col("low") > base).orderBy(F.desc("low"), "feature").limit(MAX_FEATURES)
+    sure = shares.where(F.col("low") > base)
     shorter = F.transform(F.sequence(F.lit(3), F.lit(LONGEST)), lambda n: F.substring("feature", 1, n))
     denied = (
         shares.where(F.col("low") <= base)
@@ -266,8 +301,6 @@ def word_scores(
         .where(F.col("start") != F.col("feature"))
         .groupBy("feature")
         .agg(F.first("low").alias("low"), F.first("high").alias("high"))
-        .orderBy("high", "feature")
-        .limit(MAX_FEATURES)
     )
     kept = sure.unionByName(denied).collect()
     return {row["feature"]: (row["low"], row["high"]) for row in kept}, base
@@ -392,7 +425,13 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that are not predicted to be toxic."""
+    """The rows of ``docs``, with all their columns, that are not predicted to be toxic.
+
+    Scores, and what null, empty, repeated and unlabelled rows have as theirs, are
+    those of ``toxicity``: rows without text stay unless the overall share reaches
+    the threshold. Repeated rows all stay or all go; columns other than doc_id and
+    text are kept as they are, whatever their names.
+    """
 
     def kept(batch: pa.RecordBatch, scores: list[float]) -> pa.RecordBatch:
         return batch.filter(pa.array([score < THRESHOLD for score in scores], pa.bool_()))

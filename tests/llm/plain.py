@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 import math
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
-import numpy as np
 import xxhash
 
-from encaudit.llm import toxicity
-
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -142,42 +140,107 @@ def repeat_rows(docs, length=100) -> list:
     return rows
 
 
-def _least_shingle(text: str, number: int) -> int:
+def five_word_shingles(text: str) -> set:
     said = re.split(r"[ \t\n\x0b\f\r]+", text.lower())
-    hashes = []
-    for at in range(max(1, len(said) - 4)):
-        value = 42
-        for part in [word.encode() for word in said[at : at + 5]] + [number.to_bytes(4, "little")]:
-            value = xxhash.xxh64_intdigest(part, value)
-        hashes.append(value - (1 << 64) if value >> 63 else value)
-    return min(hashes)
+    return {tuple(said[at : at + 5]) for at in range(max(1, len(said) - 4))}
+
+
+def without_copies(texts: dict) -> dict:
+    """Of texts with labels, the smallest text of every group of near copies with the same label, by comparing all pairs."""
+    sets = {text: five_word_shingles(text) for text in texts}
+    group = {text: text for text in texts}
+    for one, other in itertools.combinations(texts, 2):
+        both = len(sets[one] & sets[other])
+        if texts[one] == texts[other] and 10 * both >= 8 * (len(sets[one]) + len(sets[other]) - both):
+            old, new = group[one], group[other]
+            group = {text: new if of == old else of for text, of in group.items()}
+    members = defaultdict(list)
+    for text, of in group.items():
+        members[of].append(text)
+    return {min(same): texts[min(same)] for same in members.values()}
+
+
+class PlainReader:
+    """What a disguised word may stand for: every way to read it from each place on, the cheapest first."""
+
+    SEEMS = {
+        "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
+        "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "¡": "i", "(": "c",
+    }
+    EDGES = "\"'.,;:!?()[]{}<>*#%&/\\=~^`-_|+"
+
+    def __init__(self, texts) -> None:
+        self.three, self.two = Counter(), Counter()
+        for text in texts:
+            letters = ["", "", *(c if c.isalpha() else "" for c in (text or "").lower()), ""]
+            for a, b, c in zip(letters, letters[1:], letters[2:]):
+                if b or c:
+                    a = a if b else ""
+                    self.three[a, b, c] += 1
+                    self.two[a, b] += 1
+
+    def cost(self, a: str, b: str, c: str) -> float:
+        a = a if b else ""
+        return -math.log((self.three[a, b, c] + 0.1) / (self.two[a, b] + 6.4))
+
+    def read(self, seen: str) -> list[str]:
+        @functools.cache
+        def best(at: int, a: str, b: str) -> tuple[float, str]:
+            if at == len(seen):
+                return self.cost(a, b, ""), ""
+            sign, ways = seen[at], []
+            if sign.isalpha() or sign in self.SEEMS:
+                for letter in sign if sign.isalpha() else self.SEEMS[sign]:
+                    rest, said = best(at + 1, b, letter)
+                    ways.append((self.cost(a, b, letter) + (not sign.isalpha()) + rest, letter + said))
+                if sign.isalpha() and at and sign == seen[at - 1] and 3 * sign in seen[max(0, at - 2) : at + 2]:
+                    rest, said = best(at + 1, a, b)
+                    ways.append((0.5 + rest, said))
+            else:
+                rest, said = best(at + 1, a, b)
+                ways.append((0.5 + rest, said))
+                if b:
+                    rest, said = best(at + 1, "", "")
+                    ways.append((1.0 + self.cost(a, b, "") + rest, " " + said))
+            return min(ways)
+
+        return best(0, "", "")[1].split()
+
+    def words(self, token: str) -> list[str]:
+        core = token.strip(self.EDGES)
+        if core.isalpha():
+            return [core, *(self.read(core) if any(3 * c in core for c in core) else [])]
+        shown = token.rstrip(self.EDGES)
+        while shown and shown[0] in self.EDGES and shown[0] not in "!|+":
+            shown = shown[1:]
+        letters, signs, figures = (
+            any(test(c) for c in shown) for test in (str.isalpha, self.SEEMS.__contains__, str.isdecimal)
+        )
+        spells = letters or (signs and ("@" in shown or not figures))
+        return [*re.findall(r"[^\W\d_]+", core), *(self.read(shown) if spells else [])]
+
+    def of_text(self, text: str) -> set:
+        lowered, edge = text.lower(), f"[{re.escape(self.EDGES)}]*"
+        tokens = set(lowered.split())
+        tokens |= {" ".join(m.split()) for m in re.findall(rf"(?<!\S){edge}\S(?:\s+\S){{2,}}{edge}(?!\S)", lowered)}
+        return {word for token in tokens for word in self.words(token)}
+
+
+def beginnings(word: str) -> list[str]:
+    return [word[:n] for n in range(3, min(len(word), 7) + 1)] + [word + "$"]
 
 
 def toxic_scores(docs, labels) -> dict:
     """Scores by counting letters, word beginnings and documents one by one."""
-    counts = np.zeros(2 * toxicity.SLOTS, np.int64)
-    for _, text in docs:
-        letters = [0, 0, *(ord(c) if c.isalpha() else 0 for c in (text or "").lower()), 0]
-        for a, b, c in zip(letters, letters[1:], letters[2:]):
-            if b or c:
-                a = a if b else 0
-                counts[toxicity._slot(a, b, c)] += 1
-                counts[toxicity._context(a, b)] += 1
-    reader = toxicity.Restorer(counts)
+    reader = PlainReader(text for _, text in docs)
     marked = {doc: toxic for doc, toxic in labels if zlib.crc32(str(doc).encode()) % 4 != 2}
     texts = defaultdict(int)
     for doc, text in docs:
         if doc in marked:
             texts[text or ""] = max(texts[text or ""], marked[doc])
-    for number in range(toxicity.COPY_HASHES):
-        groups = defaultdict(list)
-        for text, toxic in texts.items():
-            groups[_least_shingle(text, number)].append((text, toxic))
-        texts = {min(text for text, _ in group): max(toxic for _, toxic in group) for group in groups.values()}
     table = defaultdict(lambda: [0, 0])
-    for text, toxic in texts.items():
-        found = toxicity.document_words(text, reader.words)
-        for feature in {"", *(f for word in found for f in toxicity._beginnings(word))}:
+    for text, toxic in without_copies(texts).items():
+        for feature in {"", *(f for word in reader.of_text(text) for f in beginnings(word))}:
             table[feature][toxic] += 1
     clean, toxic = table[""]
     base = toxic / (clean + toxic) if texts else 0.0
@@ -191,11 +254,11 @@ def toxic_scores(docs, labels) -> dict:
     scores = {}
     for doc, text in docs:
         risks = set()
-        for word in toxicity.document_words(text or "", reader.words):
+        for word in reader.of_text(text or ""):
             risk, sure = base, False
-            for feature in toxicity._beginnings(word):
+            for feature in beginnings(word):
                 if feature in table:
-                    low, high = bound(table[feature], -toxicity.BELOW), bound(table[feature], toxicity.ABOVE)
+                    low, high = bound(table[feature], -4.0), bound(table[feature], 1.0)
                     sure = sure or low > base
                     if low > base or sure:
                         risk = min(max(risk, low), high)

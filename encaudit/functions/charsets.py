@@ -299,6 +299,11 @@ def is_single_byte(family: Column) -> Column:
     return family.startswith("single:")
 
 
+def has_chunks(family: Column) -> Column:
+    """True for charsets whose files can be cut and read in parts: all but the multi-byte ones without marks."""
+    return F.coalesce(family.isin(*UNICODE_FAMILIES, "ascii") | is_single_byte(family), F.lit(False))
+
+
 def _literal_map(entries: dict[str, str]) -> Column:
     pairs = ", ".join(f"'{key}', '{value}'" for key, value in entries.items())
     return F.expr(f"map({pairs})")

@@ -40,29 +40,35 @@ def marker_count(text: Column, marker: str = REPLACEMENT) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(marker), F.lit("")))
 
 
+def is_c_comment(token: Column) -> Column:
+    return token.startswith("//") | token.startswith("/*")
+
+
+def is_python_comment(token: Column) -> Column:
+    return token.startswith("#")
+
+
+def token_flags(tokens: Column, is_comment) -> Column:
+    """For every U+FFFD in the tokens of a text, in order: is its token a comment?"""
+    damaged = F.filter(tokens, lambda token: F.contains(token, F.lit(REPLACEMENT)))
+    return F.flatten(F.transform(damaged, lambda token: F.array_repeat(is_comment(token), marker_count(token))))
+
+
 def _token_contexts(text: Column, pattern: str, is_comment) -> Column:
     tokens = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    damaged = F.filter(tokens, lambda token: F.contains(token, F.lit(REPLACEMENT)))
-    return F.flatten(
-        F.transform(
-            damaged,
-            lambda token: F.array_repeat(
-                F.when(is_comment(token), COMMENT).otherwise(CODE), marker_count(token)
-            ),
-        )
+    return F.transform(
+        token_flags(tokens, is_comment), lambda flag: F.when(flag, COMMENT).otherwise(CODE)
     )
 
 
 def c_like_contexts(text: Column) -> Column:
     """Context of every U+FFFD, in order, in C, C++ or C# text."""
-    return _token_contexts(
-        text, C_TOKENS, lambda token: token.startswith("//") | token.startswith("/*")
-    )
+    return _token_contexts(text, C_TOKENS, is_c_comment)
 
 
 def python_contexts(text: Column) -> Column:
     """Context of every U+FFFD, in order, in Python text. Docstrings are code."""
-    return _token_contexts(text, PYTHON_TOKENS, lambda token: token.startswith("#"))
+    return _token_contexts(text, PYTHON_TOKENS, is_python_comment)
 
 
 def marker_contexts(text: Column, extension: Column) -> Column:

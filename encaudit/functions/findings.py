@@ -84,7 +84,7 @@ def _raw_parts(body: Column, family: Column) -> Column:
     return F.when(family == "jvm:GB18030", F.split(view, own, -1)).otherwise(F.split(view, _HIDDEN, -1))
 
 
-def _is_hidden(family: Column) -> Column:
+def is_hidden(family: Column) -> Column:
     """True where the charset has no U+FFFD and shows its UTF-8 bytes as something else."""
     return is_single_byte(family) | (is_jvm(family) & (family != "jvm:GB18030"))
 
@@ -107,7 +107,7 @@ def part_bytes(body: Column, family: Column, parts: Column) -> Column:
     )
 
 
-def _measure(
+def measure(
     part: Column, n_bytes: Column, number: Column, chars: Column, width: Column, with_word: bool
 ) -> Column:
     """Measures of one part together with the damaged character before it."""
@@ -138,7 +138,7 @@ def _measure(
     )
 
 
-def _combine(with_word: bool):
+def combine_measures(with_word: bool):
     def combine(before: Column, item: Column) -> Column:
         fields = [
             (before["chars"] + item["chars"]).alias("chars"),
@@ -241,14 +241,14 @@ def finding_array(
         pairs = F.arrays_zip(bound["parts"].alias("part"), bound["sizes"].alias("size"))
         items = F.transform(
             F.slice(pairs, F.lit(1), F.size(pairs) - 1),
-            lambda pair, number: _measure(
+            lambda pair, number: measure(
                 pair["part"], pair["size"], number, chars, width, with_word
             ),
         )
-        visible = ~_is_hidden(family)
+        visible = ~is_hidden(family)
         return bind(
             F.struct(
-                running(items, _combine(with_word)).alias("states"),
+                running(items, combine_measures(with_word)).alias("states"),
                 bound["contexts"].alias("contexts"),
                 bound["words"].alias("words"),
                 visible.alias("visible"),

@@ -238,6 +238,14 @@ def _read(path: str, size: int | None) -> bytes | None:
         return None
 
 
+def open_at(path: str):
+    """An open file that can be read from any place."""
+    if "://" in path:
+        system, inner = _system(path)
+        return system.open_input_file(inner)
+    return open(path, "rb")
+
+
 def _reader(size: int | None):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

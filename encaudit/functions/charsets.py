@@ -11,7 +11,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from encaudit.functions.arrays import bind
-from encaudit.functions.legacy import escape_coded, legacy_label
+from encaudit.functions.legacy import escape_label, legacy_label
 
 REPLACEMENT = "\ufffd"
 
@@ -74,13 +74,6 @@ _HIGH = "".join(chr(code) for code in range(0x80, 0x100))
 _UPPER_HALVES = {
     f"single:{codec}": bytes(range(0x80, 0x100)).decode(codec, "replace") for codec in SINGLE_BYTE
 }
-# The bytes 80-9F that windows-1252 leaves undefined.
-_CP1252_UNDEFINED = "".join(
-    narrow
-    for narrow, wide in zip(_HIGH, _UPPER_HALVES[CP1252], strict=True)
-    if wide == REPLACEMENT
-)
-
 # Control bytes that no text holds.
 _CONTROLS = r"\x00-\x08\x0b\x0e-\x1f"
 
@@ -212,10 +205,9 @@ def _label_of(content: Column) -> Column:
         .when(
             F.is_valid_utf8(text),
             F.when(F.length(text) != F.octet_length(content), "utf-8")
-            .when(escape_coded(text), "iso-2022-jp")
-            .otherwise("ascii"),
+            .otherwise(F.coalesce(escape_label(text), F.lit("ascii"))),
         )
-        .otherwise(bind(view, lambda shown: legacy_label(shown, _CP1252_UNDEFINED)))
+        .otherwise(bind(view, lambda shown: legacy_label(shown)))
     )
 
 

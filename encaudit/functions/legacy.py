@@ -1,30 +1,114 @@
-"""Telling charsets without a mark apart: Western, Central European, Cyrillic, Greek, East Asian.
+"""Telling charsets without a mark apart, by the letters that they make of the bytes above 7F.
 
-Input is a string with one character per byte that is no well-formed UTF-8. Where
-the bytes above 7F stand alone between ASCII letters, the text is written in a
-Latin alphabet; where they come in runs, every charset that fits scores by how many
-of them are letters its languages use most, less those they use least. No clear winner means no label.
+Input is a string with one character per byte that is no well-formed UTF-8. A double-byte
+charset has to fit as a whole. A single-byte one gives each byte above 7F a letter or sign,
+and each language has its letters in the order of their frequency; so every pair of charset
+and language has a log-probability per byte, and a text the sum of them. Languages in the
+Latin alphabet have these letters among ASCII ones, others in words of their own. The best
+charset is the label if it lies clearly above every other that would give another text, and
+its letters are likely at all; otherwise there is no label, and no conversion.
+
+The sums only need how often each byte occurs in either kind of word, so counts of parts of
+a file add up to those of the file (``high_counts``).
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from encaudit.functions.arrays import bind
 
-# The commonest and the rarest small letters of the scripts, and the charsets that write them.
-CYRILLIC, GREEK = ("оаеинтсрвлкмдпу", "эщъфцшюхжйё"), ("αοιετσνηυρπκμλς", "ξψζβϊϋΐΰ")
-DENSE_CHARSETS = {
-    "windows-1251": ("cp1251", CYRILLIC),
-    "koi8-r": ("koi8-r", CYRILLIC),
-    "iso-8859-5": ("iso8859-5", CYRILLIC),
-    "ibm866": ("cp866", CYRILLIC),
-    "iso-8859-7": ("iso8859-7", GREEK),
+# Small letters outside ASCII of some languages, commonest first, and the charsets they are stored in.
+_WESTERN = {
+    "iso-8859-1": "latin-1", "windows-1252": "cp1252", "iso-8859-15": "iso8859-15", "macroman": "mac-roman", "ibm850": "cp850",
+}
+_CENTRAL = {"iso-8859-2": "iso8859-2", "windows-1250": "cp1250", "ibm852": "cp852"}
+_BALTIC = {"windows-1257": "cp1257", "iso-8859-13": "iso8859-13", "iso-8859-4": "iso8859-4"}
+_CYRILLIC = {
+    "windows-1251": "cp1251", "koi8-r": "koi8-r", "koi8-u": "koi8-u", "iso-8859-5": "iso8859-5", "ibm866": "cp866",
+    "maccyrillic": "mac-cyrillic",
+}
+LATIN = {
+    # English and others with typographic signs
+    "’…“”–—‘é•€™": {"windows-1252": "cp1252", "macroman": "mac-roman"},
+    "éàèêçôîûùâëïüœæÿ": _WESTERN, "üäößé": _WESTERN, "óíáéñúüª": _WESTERN, "ãçáéíóêõúâàôº": _WESTERN,
+    "èàùòìéí": _WESTERN, "äöåé": _WESTERN, "åøæé": _WESTERN, "áðíóéþæöúý": _WESTERN, "àéèíçóòïúü": _WESTERN, "ëéïóè": _WESTERN,
+    "ąęłóśżćńź": _CENTRAL, "íáéěžřýščůúťňďó": _CENTRAL, "áíéčžýšúľťňôäďóĺŕ": _CENTRAL, "áéőíöóüűú": _CENTRAL, "čšžćđ": _CENTRAL,
+    "ăîţşâ": _CENTRAL, "ăîțșâ": {"iso-8859-16": "iso8859-16"},
+    "ıüşçğöİâî": {"iso-8859-9": "iso8859-9", "windows-1254": "cp1254"},
+    "ėšųžįąūčę": _BALTIC, "āīēšūļņžģķč": _BALTIC, "äõüöšž": _BALTIC,
+}
+OTHER_SCRIPTS = {
+    "оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё": _CYRILLIC, "оанітиврелсмкдупязьгйчбхїцюжщшєфґ": _CYRILLIC,
+    "αοιετσνηυρπκμλςάωόίέδήγχθφύώβξζψϊϋΐΰ": {"iso-8859-7": "iso8859-7", "windows-1253": "cp1253"},
+    "اليمنوترةبعدسفهكقأحجىشصطخضذزثئغإءظآؤ": {"windows-1256": "cp1256", "iso-8859-6": "iso8859-6"},
+    "יוהלארמתבשנםעדקחפכטגצןסזךףץ": {"windows-1255": "cp1255", "iso-8859-8": "iso8859-8"},
+    "านรกเ่อวัลม้ยงทีสติปดหุคะพบใจแไชขำโผื์ถซ็ธูึศฐณญภฟษฎฝฉฮฤฆฬฏฒฌ๊": {"tis-620": "tis-620"},
 }
-# Western small letters outside ASCII, for charsets that put them elsewhere.
-WESTERN = "àáâãäåæçèéêëìíîïñòóôõöøùúûüÿß"
-OTHER_WESTERN = {"macroman": "mac-roman", "ibm850": "cp850"}
+_SIGNS, _RARE_SIGNS = "“”‘’–—…«»„‚¿¡°·\xa0، ", "€§©®™²³½¼¾ªº£¥¢±×µ•†‹›؛؟ฯๆ´¶¨¸"
+
+#: Shares of capitals, and of signs, and what is left for anything else and for bytes that mean nothing.
+CAPITALS, SIGN, RARE_SIGN, OTHER, UNDEFINED = 0.04, 0.02, 0.005, 1e-4, 1e-7
+#: Nats: a letter of the Latin alphabet that stands in a word without ASCII letters, and another letter in one with them.
+ALONE, MIXED = math.log(0.3), math.log(0.02)
+#: Nats that some charsets are given over others, as they are met more often, or less.
+PREFERENCE = {
+    "iso-8859-1": 4.0, "windows-1252": 4.0, "macroman": -3.0, "ibm850": -3.0, "ibm852": -3.0, "maccyrillic": -6.0,
+}
+#: Charsets of other systems, and what tells them: signs and capitals of windows-1252 between small letters.
+ONLY_ODD, NEAR = ["macroman", "ibm850", "ibm852"], 0.9
+ODD = r"(?<=[a-z\x80-\xff])[\x80-\x84\x86-\x91\x93-\x95\x98-\x9f\xa1-\xaa\xac-\xba\xbc-\xdf](?=[a-z\x80-\xff])"
+#: Nats of the best charset above any that would give another text, and least per byte: of letters among ASCII ones,
+#: of others, and of a text that might be in a double-byte charset as well.
+LEAD, LEAST_WESTERN, LEAST_LATIN, LEAST, LEAST_OF_RUNS = 4.5, -5.5, -4.0, -4.4, -4.0
+#: Nats per byte from which a Western language explains a text so well that no other is tried.
+SURELY_WESTERN = -2.0
+
+
+def _weights(letters: str, codec: str, capitals: bool = False) -> list[float]:
+    """Log-probability of each byte from 80 on in a language and a charset; in words in capitals, of these."""
+    shares = [1 / (place + 2) for place in range(len(letters))]
+    known = {sign: SIGN for sign in _SIGNS} | {sign: RARE_SIGN for sign in _RARE_SIGNS}
+    for letter, share in zip(letters, shares):
+        large = letter.upper() if len(letter.upper()) == 1 else letter
+        first, second = (large, letter) if capitals else (letter, large)
+        known[first] = share / sum(shares)
+        known.setdefault(second, CAPITALS * share / sum(shares))
+    shown = bytes(range(0x80, 0x100)).decode(codec, "replace")
+    return [
+        math.log(UNDEFINED if one == "\ufffd" or 0x80 <= ord(one) < 0xA0 else known.get(one, OTHER)) for one in shown
+    ]
+
+
+def _letter_flags(codec: str) -> list[bool]:
+    return [one.isalpha() for one in bytes(range(0x80, 0x100)).decode(codec, "replace")]
+
+
+#: label, codec, and log-probabilities of bytes in words with ASCII letters, in others, and in words of ASCII capitals.
+CANDIDATES = [
+    (
+        label,
+        codec,
+        [w + (0 if latin else MIXED) for w in _weights(letters, codec)],
+        [
+            # a single letter may well be a capital
+            max(small, large) + ALONE if latin and is_letter else small
+            for small, large, is_letter in zip(
+                _weights(letters, codec), _weights(letters, codec, capitals=True), _letter_flags(codec)
+            )
+        ],
+        [w + (0 if latin else MIXED) for w in _weights(letters, codec, capitals=True)],
+    )
+    for latin, scripts in ((True, LATIN), (False, OTHER_SCRIPTS))
+    for letters, charsets in scripts.items()
+    for label, codec in charsets.items()
+]
+#: In the order of preference; earlier labels win where they give the same text.
+LABELS = list(dict.fromkeys([*_WESTERN, *(label for label, *_ in CANDIDATES)]))
+CODECS = {label: codec for label, codec, *_ in CANDIDATES}
 
 # Double-byte charsets: what is well-formed, and the pairs that common text is made of.
 _EUC = r"[\x00-\x7f]|[\xa1-\xfe]{2}"
@@ -42,56 +126,182 @@ _HANZI_GB = r"[\xb0-\xd7][\xa1-\xfe]"
 _HANZI_BIG5 = r"[\xa4-\xc6][\x40-\x7e\xa1-\xfe]"
 _LEAD_PAIR = r"[\x81-\xfe][\x40-\x7e\x80-\xfe]"
 
-#: Share of the bytes above 7F that stand in runs of three and more, from which a text may be, and is, no Latin one.
-RUNS, MOST_RUNS = 0.3, 0.6
-#: Least share of common letters, less rare ones, and least lead over the second best charset.
-LEAST_SHARE, LEAST_LEAD = 0.3, 0.08
+#: Share of the bytes above 7F that stand in runs of three and more, from which a text may be in a double-byte charset.
+RUNS = 0.3
 #: Fewer pairs say nothing about a double-byte charset.
 LEAST_PAIRS = 8
 #: Share of the pairs that are common in a double-byte charset.
 PAIRS = 0.2
 
-# Signs in Western charsets and letters in Central European ones, when they touch a letter.
-_CENTRAL = r"[\xb1\xb3\xb6\xb9\xbc\xbe]"
+# Square and cubic metres: with nothing else above 7F the text is in ISO-8859-1.
+_UNITS = r"(?<![A-Za-z\x80-\xff])[kcdm]?m[\xb2\xb3](?![A-Za-z\x80-\xff])"
 
 _HIDDEN_DAMAGE = "\xef\xbf\xbd"
 
 
-def escape_coded(text: Column) -> Column:
-    """True for seven-bit text that switches to Japanese by escape sequences."""
-    return text.rlike(r"\x1b\$[@B]")
+def escape_label(text: Column) -> Column:
+    """Label of seven-bit text that switches charsets by escape sequences, null for plain ASCII."""
+    return (
+        F.when(text.rlike(r"\x1b\$[@B]"), "iso-2022-jp")
+        .when(text.rlike(r"\x1b\$\)C"), "iso-2022-kr")
+        .when(text.rlike(r"~\{(?:[\x21-\x77][\x21-\x7e])+~\}"), "hz-gb-2312")
+    )
+
+
+def legacy_label(view: Column) -> Column:
+    """Label of a text that is neither Unicode nor ASCII, null where the bytes leave it open."""
+
+    def by_shape(text: Column) -> Column:
+        high = F.regexp_replace(text, "[\x00-\x7f]+", " ")
+        runs = F.length(F.regexp_replace(high, r"(?<![^ ])[^ ]{1,2}(?![^ ])| ", ""))
+        total = F.length(F.replace(high, F.lit(" "), F.lit("")))
+        single = choice_of_counts(high_counts(text), F.regexp_count(text, F.lit(ODD)))
 
+        def of_runs(double: Column) -> Column:
+            kana = double.isin("euc-jp", "shift_jis")
+            # letters in runs are not those of one of the charsets that have some among ASCII letters
+            latin = F.when(~(single["label"].isin(*ONLY_ODD) & (runs >= 2 * RUNS * total)), single["label"])
+            return F.when(double.isNull(), latin).when(kana, double).otherwise(
+                bind(single, lambda one: F.when(one["average"] >= LEAST_OF_RUNS, one["label"]).otherwise(double))
+            )
 
-def _letters(codec: str, letters: str) -> str:
-    return "".join(f"\\x{byte:02x}" for byte in letters.encode(codec, "ignore") if byte > 0x7F)
+        return F.when((total > 0) & (runs >= RUNS * total), bind(_double_byte(text), of_runs)).otherwise(single["label"])
 
+    def without_units(undamaged: Column) -> Column:
+        rest = F.regexp_replace(undamaged, _UNITS, " ")
+        only_units = undamaged.rlike(_UNITS) & ~rest.rlike("[\x80-\xff]")
+        return F.when(only_units, "iso-8859-1").otherwise(bind(undamaged, by_shape))
 
-def _share(high: Column, letters: str) -> Column:
-    """Share of the bytes above 7F that are in a class of a pattern."""
-    others = F.length(F.regexp_replace(high, f"[ {letters}]+", ""))
-    total = F.length(F.replace(high, F.lit(" "), F.lit("")))
-    return 1 - others / total
+    return bind(F.replace(view, F.lit(_HIDDEN_DAMAGE), F.lit(" ")), without_units)
 
 
-def legacy_label(view: Column, undefined_in_1252: str) -> Column:
-    """Label of a text that is neither Unicode nor ASCII, null where the bytes leave it open."""
-    undamaged = F.replace(view, F.lit(_HIDDEN_DAMAGE), F.lit(" "))
+def high_counts(view: Column) -> Column:
+    """byte, mixed, alone and capital: how often each byte above 7F occurs in words with ASCII letters, without, and of capitals."""
+    word = "A-Za-z\x80-\xff"
 
-    def by_shape(known: Column) -> Column:
-        high, text = known["high"], known["view"]
-        total = F.length(F.replace(high, F.lit(" "), F.lit("")))
-        runs = F.length(F.regexp_replace(high, r"(?<![^ ])[^ ]{1,2}(?![^ ])| ", ""))
-        latin = _latin(text, undefined_in_1252)
-        return F.when(
-            (total > 0) & (runs >= RUNS * total),
-            F.coalesce(_double_byte(text), _single_byte(high), F.when(runs < MOST_RUNS * total, latin)),
-        ).otherwise(latin)
+    def in_words(pattern: str) -> Column:
+        found = F.regexp_extract_all(view, F.lit(rf"(?<![{word}]){pattern}(?![{word}])"), F.lit(0))
+        return F.regexp_replace(F.array_join(found, ""), "[A-Z]+", "")
 
-    def spread(text: Column) -> Column:
-        high = F.regexp_replace(text, "[\x00-\x7f]+", " ")
-        return bind(F.struct(text.alias("view"), high.alias("high")), by_shape)
+    strings = F.struct(
+        F.regexp_replace(view, "[\x00-\x7f]+", "").alias("every"),
+        in_words("[\x80-\xff]++").alias("pure"),
+        in_words("[\x80-\xff]*+[A-Z][A-Z\x80-\xff]++").alias("capital"),
+    )
+
+    def often(text: Column, sign: Column) -> Column:
+        return (F.length(text) - F.length(F.replace(text, sign, F.lit("")))).cast("long")
+
+    def counted(held: Column) -> Column:
+        different = F.filter(F.array_distinct(F.split(held["every"], "")), lambda sign: sign != "")
+        return F.transform(
+            different,
+            lambda sign: F.struct(
+                F.ascii(sign).alias("byte"),
+                (often(held["every"], sign) - often(held["pure"], sign) - often(held["capital"], sign)).alias("mixed"),
+                often(held["pure"], sign).alias("alone"),
+                often(held["capital"], sign).alias("capital"),
+            ),
+        )
+
+    return bind(strings, counted)
+
+
+def _table(rows: list[list[float]]) -> Column:
+    return F.from_json(F.lit(str(rows)), "array<array<double>>")
 
-    return bind(undamaged, spread)
+
+def _score(held: Column, at: Column) -> Column:
+    """Nats of a candidate for the counts of a text."""
+    return F.aggregate(
+        held["counts"],
+        F.lit(0.0),
+        lambda total, one: total
+        + one["mixed"] * held["mixed"][at][one["byte"] - 128]
+        + one["alone"] * held["alone"][at][one["byte"] - 128]
+        + one["capital"] * held["capital"][at][one["byte"] - 128],
+    )
+
+
+def choice_of_counts(counts: Column, odd: Column) -> Column:
+    """``label`` that ``high_counts`` speak for, null if none does clearly, and its nats per byte.
+
+    ``odd`` is how often a text has what ``ODD`` finds. Charsets that have letters where
+    others have signs are only taken if it has many: a few signs can always be read as letters.
+    If they would be far better than any other without that, there is no label.
+    """
+    mixed, alone, capital = (_table([candidate[k] for candidate in CANDIDATES]) for k in (2, 3, 4))
+
+    def total(part: str) -> Column:
+        return F.aggregate(counts, F.lit(0).cast("long"), lambda done, one: done + one[part])
+
+    held = F.struct(
+        counts.alias("counts"),
+        F.array_join(F.transform(counts, lambda one: F.char(one["byte"])), "").alias("signs"),
+        mixed.alias("mixed"),
+        alone.alias("alone"),
+        capital.alias("capital"),
+        ((odd >= 2) & (odd >= 0.2 * total("mixed"))).alias("odd"),
+        (total("mixed") + total("capital")).alias("n_mixed"),
+        (total("mixed") + total("alone") + total("capital")).alias("n"),
+    )
+    return bind(held, lambda known: bind(_western(known), lambda best: F.when(
+        (best >= SURELY_WESTERN * known["n"]) & (2 * known["n_mixed"] > known["n"]) & ~known["signs"].rlike("[\x80-\x9f]"),
+        F.struct(F.lit("iso-8859-1").alias("label"), (best / known["n"]).alias("average")),
+    ).otherwise(_of_all(known))))
+
+
+def _western(held: Column) -> Column:
+    """Nats of the best Western language in ISO-8859-1, far too few if there are bytes that are signs in windows-1252."""
+    places = [at for at, (label, *_) in enumerate(CANDIDATES) if label == "iso-8859-1"]
+    return F.array_max(F.transform(F.array(*map(F.lit, places)), lambda at: _score(held, at)))
+
+
+def _of_all(held: Column) -> Column:
+    n_latin = sum(len(charsets) for charsets in LATIN.values())
+    halves = F.array(*(F.lit(bytes(range(0x80, 0x100)).decode(codec, "replace")) for _, codec, *_ in CANDIDATES))
+    labels = F.array(*(F.lit(label) for label, *_ in CANDIDATES))
+    order = F.array(*(F.lit(LABELS.index(label)) for label, *_ in CANDIDATES))
+    preference = F.array(*(F.lit(PREFERENCE.get(label, 0.0)) for label, *_ in CANDIDATES))
+    tried = F.array(*(F.lit(label not in ONLY_ODD) for label, *_ in CANDIDATES))
+    floors = [
+        LEAST_WESTERN if label in ("iso-8859-1", "windows-1252") else LEAST_LATIN if at < n_latin else LEAST
+        for at, (label, *_) in enumerate(CANDIDATES)
+    ]
+    floor = F.array(*map(F.lit, floors))
+    in_own_words = 2 * held["n_mixed"] <= held["n"]
+    high = F.lit("".join(map(chr, range(0x80, 0x100))))
+    ranked = F.transform(
+        F.sequence(F.lit(0), F.lit(len(CANDIDATES) - 1)),
+        lambda at: F.struct(
+            (_score(held, at) + preference[at]).alias("score"),
+            (-order[at]).alias("preferred"),
+            at.alias("at"),
+            labels[at].alias("label"),
+            # what the bytes of this text are in the charset: charsets that agree on them are no rivals
+            F.call_function("translate", held["signs"], high, halves[at]).alias("text"),
+            floor[at].alias("least"),
+            ((held["odd"] | tried[at]) & ((at < n_latin) | in_own_words)).alias("taken"),
+        ),
+    )
+
+    def chosen(every: Column) -> Column:
+        return bind(F.filter(every, lambda one: one["taken"]), lambda ranks: among(ranks, F.array_max(F.transform(every, unbiased))))
+
+    def unbiased(one: Column) -> Column:
+        return one["score"] - preference[one["at"]]
+
+    def among(ranks: Column, highest: Column) -> Column:
+        best = F.element_at(ranks, -1)
+        same = F.filter(ranks, lambda one: one["text"] == best["text"])
+        rivals = F.filter(ranks, lambda one: one["text"] != best["text"])
+        lead = best["score"] - F.coalesce(F.try_element_at(rivals, F.lit(-1))["score"], best["score"] - LEAD)
+        first = F.array_max(F.transform(same, lambda one: F.struct(one["preferred"].alias("p"), one["label"].alias("label"))))
+        likely = (best["score"] >= best["least"] * held["n"]) & (unbiased(best) >= highest - 3 - NEAR * held["n"])
+        clear = (held["n"] > 0) & (lead >= LEAD) & likely
+        return F.struct(F.when(clear, first["label"]).alias("label"), (best["score"] / held["n"]).alias("average"))
+
+    return bind(F.array_sort(ranked), chosen)
 
 
 def _double_byte(view: Column) -> Column:
@@ -122,50 +332,3 @@ def _double_byte(view: Column) -> Column:
     for pattern in (_SOUND["euc-jp"], _SOUND["shift_jis"], _SOUND["big5"], _SOUND["gb18030"]):
         sound = sound | view.rlike(pattern)
     return F.when(sound, bind(count(_LEAD_PAIR), judged))
-
-
-def _single_byte(high: Column) -> Column:
-    scores = F.array(
-        *(
-            F.struct(
-                (_share(high, _letters(codec, common)) - _share(high, _letters(codec, rare))).alias("share"),
-                F.lit(label).alias("label"),
-            )
-            for label, (codec, (common, rare)) in DENSE_CHARSETS.items()
-        )
-    )
-    return bind(
-        F.sort_array(scores, asc=False),
-        lambda ranked: F.when(
-            (ranked[0]["share"] >= LEAST_SHARE) & (ranked[0]["share"] - ranked[1]["share"] >= LEAST_LEAD),
-            ranked[0]["label"],
-        ),
-    )
-
-
-def _latin(view: Column, undefined_in_1252: str) -> Column:
-    """Charset of a text in a Latin alphabet with some letters of its own."""
-    touching = rf"{_CENTRAL}(?=[a-z\xe0-\xff])|(?<=[A-Za-z\xe0-\xff]){_CENTRAL}"
-    central = F.regexp_count(view, F.lit(touching))
-    high = F.regexp_replace(view, "[\x00-\x7f]+", "")
-    total = F.length(high)
-    control = view.rlike("[\x80-\x9f]")
-    # Capitals and signs between small letters: the text was written by another charset.
-    odd = F.regexp_count(view, F.lit(r"(?<=[a-z])[\x80-\x84\x86-\x91\x93-\x95\x98-\x9f\xa1-\xaa\xac-\xba\xbc-\xdf](?=[a-z\x80-\xff])"))
-
-    def other(shares: Column) -> Column:
-        first, second = shares["macroman"], shares["ibm850"]
-        return F.when((first >= LEAST_SHARE) & (first - second >= LEAST_LEAD), "macroman").when(
-            (second >= LEAST_SHARE) & (second - first >= LEAST_LEAD), "ibm850"
-        )
-
-    shares = F.struct(
-        *(_share(high, _letters(codec, WESTERN)).alias(label) for label, codec in OTHER_WESTERN.items())
-    )
-    defined = ~view.rlike(f"[{undefined_in_1252}]")
-    western = F.when(control, F.when(defined, "windows-1252")).otherwise("iso-8859-1")
-    return (
-        F.when((central >= 2) & (central >= 0.08 * total), F.when(control, "windows-1250").otherwise("iso-8859-2"))
-        .when((odd >= 2) & (odd >= 0.3 * total), bind(shares, other))
-        .otherwise(western)
-    )

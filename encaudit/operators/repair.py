@@ -265,6 +265,10 @@ def repairs_from_proposals(
 # ---------------------------------------------------------------- applying
 
 
+#: So many paths at most are sent to all tasks, to drop the files that no repair touches before they are shuffled.
+BROADCAST_PATHS = 200_000
+
+
 def apply_repairs(files: DataFrame, repairs: DataFrame) -> DataFrame:
     """``path``, ``label``, old ``content``, ``repaired`` content and ``n_applied``.
 
@@ -278,7 +282,13 @@ def apply_repairs(files: DataFrame, repairs: DataFrame) -> DataFrame:
         .groupBy("path")
         .agg(F.array_sort(F.collect_list(fix)).alias("fixes"))
     )
-    joined = damaged_files(files.select("path", "label", "content")).join(lists, "path")
+    lists = settle(lists)
+    touched = lists.select("path")
+    if touched.count() <= BROADCAST_PATHS:
+        touched = F.broadcast(touched)
+    # contents without an applied repair leave before the join that shuffles contents
+    wanted = damaged_files(files.select("path", "label", "content")).join(touched, "path", "left_semi")
+    joined = wanted.join(lists, "path")
     return joined.select(
         "path",
         "label",

@@ -148,52 +148,83 @@ def made_corpus(spark: SparkSession, sf_dir: str, damaged: bool = False) -> Data
     return files_from_table(table, F.col("path"), content)
 
 
-# Latin letters from the commonest to the rarest, and what stands for them in other scripts.
+# Latin letters from the commonest to the rarest, and what stands for them in other alphabets.
 LETTERS = "etaoinshrdlcumwfgypbvkjxqz"
 _CYRILLIC = "оеаинтсрвлкмдпуяыьгзбчйхжш"
+_UKRAINIAN = "оанітиврелсмкдупязьгйчбхїц"
 _KANA = "いのんかしとたにるをはすもこれてなきあさまくちりせけ"
+_FRENCH, _LITHUANIAN = "étàoinshrdlçumwfgypbvkjxqz", "ėtaoįnšhrdlčųmwfgypbvkjxqž"
+_TURKISH, _POLISH = "etaöınşhrdlçümwfğypbvkjxqz", "ętąóińśhrdłćumwfgypbvkjxqż"
+_GREEK, _ARABIC = "αοιετσνηυρπκμλςωδγχθφώόβξζ", "اليمنوترةبعدسفهكقأحجىشصطخض"
+_HEBREW, _THAI = "יוהלארמתבשנםעדקחפכטגצןסזךף", "านรกเอวลมยงทสติปดหุคะพบใจแ"
 LEGACY = {
     "windows-1251": ("cp1251", _CYRILLIC),
     "koi8-r": ("koi8-r", _CYRILLIC),
-    "iso-8859-2": ("iso8859-2", "ętaoinšhrdłčumwfgypbvkjxqž"),
-    "iso-8859-7": ("iso8859-7", "αοιετσνηυρπκμλςωδγχθφώόβξζ"),
+    "iso-8859-5": ("iso8859-5", _CYRILLIC),
+    "ibm866": ("cp866", _CYRILLIC),
+    "koi8-u": ("koi8-u", _UKRAINIAN),
+    "iso-8859-1": ("latin-1", _FRENCH),
+    "macroman": ("mac-roman", _FRENCH),
+    "ibm850": ("cp850", _FRENCH),
+    "iso-8859-2": ("iso8859-2", _POLISH),
+    "windows-1250": ("cp1250", _POLISH),
+    "ibm852": ("cp852", _POLISH),
+    "iso-8859-9": ("iso8859-9", _TURKISH),
+    "windows-1257": ("cp1257", _LITHUANIAN),
+    "iso-8859-4": ("iso8859-4", _LITHUANIAN),
+    "iso-8859-7": ("iso8859-7", _GREEK),
+    "iso-8859-6": ("iso8859-6", _ARABIC),
+    "windows-1256": ("cp1256", _ARABIC),
+    "windows-1255": ("cp1255", _HEBREW),
+    "tis-620": ("tis-620", _THAI),
     "shift_jis": ("shift_jis", _KANA),
     "euc-jp": ("euc-jp", _KANA),
+    "euc-kr": ("euc-kr", "이다는에의을가하고를지은한도로기사리어인서대자나해시"),
     "gb18030": ("gb18030", "的一是在不了有和人这中大为上个国我以要他时来用们生到"),
     "big5": ("big5", "的一是在不了有和人這中大為上個國我以要他時來用們生到"),
 }
+#: Texts from this length on, with so many different letters, tell their charset.
+LONG, DIFFERENT = 200, 12
 
 
 def legacy_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document in one of the charsets: ``charset``, ``content``, ``telling``.
+    """Every document in one of the charsets: ``doc_id``, ``charset``, ``text`` and ``content``, and whether it is ``long``.
 
-    Letters are put into the script of the charset, common for common, byte by byte. A text tells its
-    charset when it has 200 characters and 12 different letters.
+    Letters are put into the script of the charset, common for common.
     """
     rows = read_table(spark, sf_dir, "documents", "doc_id", "text")
     plain = F.regexp_replace(F.lower("text"), NOT_ASCII, "o")
-    spelled = F.create_map(
-        *(
-            F.lit(name)
-            if part == 0
-            else F.create_map(
-                *(F.lit(x) for pair in zip(LETTERS, letters) for x in (pair[0], pair[1].encode(codec).decode("latin-1")))
+    charset = _pick(list(LEGACY), F.col("doc_id"))
+
+    def spelled(shown) -> Column:
+        """Maps from charset to the letters, as ``shown`` gives them for a letter and a codec."""
+        return F.create_map(
+            *(
+                part
+                for name, (codec, letters) in LEGACY.items()
+                for part in (
+                    F.lit(name),
+                    F.create_map(*(F.lit(x) for pair in zip(LETTERS, letters) for x in (pair[0], shown(pair[1], codec)))),
+                )
             )
-            for name, (codec, letters) in LEGACY.items()
-            for part in range(2)
         )
-    )
-    signs = F.split("plain", "")
-    shown = F.array_join(F.transform(signs, lambda one: F.coalesce(F.try_element_at("letters", one), one)), "")
+
+    def written(name: str) -> Column:
+        signs = F.transform(F.split("plain", ""), lambda one: F.coalesce(F.try_element_at(name, one), one))
+        return F.array_join(signs, "")
+
     different = F.size(F.array_distinct(F.regexp_extract_all("plain", F.lit("[a-z]"), F.lit(0))))
-    return (
-        rows.select(_pick(list(LEGACY), F.col("doc_id")).alias("charset"), plain.alias("plain"))
-        .withColumn("letters", F.element_at(spelled, F.col("charset")))
-        .select(
-            "charset",
-            F.encode(shown, "ISO-8859-1").alias("content"),
-            ((F.length("plain") >= 200) & (different >= 12)).alias("telling"),
-        )
+    held = rows.select("doc_id", charset.alias("charset"), plain.alias("plain")).select(
+        "*",
+        F.element_at(spelled(lambda letter, codec: letter), F.col("charset")).alias("letters"),
+        F.element_at(spelled(lambda letter, codec: letter.encode(codec).decode("latin-1")), F.col("charset")).alias("codes"),
+    )
+    return held.select(
+        "doc_id",
+        "charset",
+        written("letters").alias("text"),
+        F.encode(written("codes"), "ISO-8859-1").alias("content"),
+        ((F.length("plain") >= LONG) & (different >= DIFFERENT)).alias("long"),
     )
 
 

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from encaudit.functions import charsets, contexts, paths
 from encaudit.functions.findings import raw_offsets as offsets_of
 from encaudit.functions.suggestions import sanitize_suggestion as sanitize
-from encaudit.operators import census, encoding, findings, repair, reports, routing, selection
+from encaudit.operators import census, chunks, encoding, findings, repair, reports, routing, selection
 from encaudit.plans.audit import Audit, audit
 from encaudit.plans.repair import Repair
 from encaudit.plans.repair import repair as run_repair
 from encaudit.session import settle, shared_dir
+from encaudit.sources.chunks import cut_files
 from encaudit.sources.tables import export_files
 from encaudit.sources.tree import scan_files as scan_tree
 from registry import corpus as c
@@ -121,12 +122,23 @@ def detect_encoding(spark, sf_dir):
     return encoding.with_label(_clean(spark, sf_dir)).select("path", "label")
 
 
+def _legacy_labels(spark, sf_dir) -> DataFrame:
+    """Documents stored in the charsets of many languages, the label detected, and whether it gives another text."""
+    found = c.legacy_files(spark, sf_dir).withColumn("label", encoding.computed_once(charsets.detect_label(F.col("content"))))
+    shown = charsets.decode_lossy(F.col("content"), charsets.family_of(F.col("label")))
+    wrong = F.col("label").isNotNull() & (F.col("label") != F.col("charset")) & (F.coalesce(shown, F.lit("")) != F.col("text"))
+    return found.select("doc_id", "charset", "long", "label", wrong.alias("wrong"))
+
+
 @query
 def detect_legacy(spark, sf_dir):
-    """Labels of documents stored in charsets of other scripts, by the true charset."""
-    label = charsets.detect_label(F.col("content"))
-    stored = c.legacy_files(spark, sf_dir).select("charset", F.when(F.col("telling"), label).alias("label"))
-    return stored.groupBy("charset", "label").agg(F.count(F.lit(1)).alias("n_files"))
+    """Per charset and length class: files, those that would become another text, and if few of the long ones lack a label."""
+    undecided = F.sum((F.col("long") & F.col("label").isNull()).cast("int"))
+    return _legacy_labels(spark, sf_dir).groupBy("charset", "long").agg(
+        F.count(F.lit(1)).alias("n_files"),
+        F.sum(F.col("wrong").cast("int")).alias("n_wrong"),
+        (20 * undecided <= F.count(F.lit(1))).alias("few_undecided"),
+    )
 
 
 @query
@@ -237,6 +249,24 @@ def findings_query(spark, sf_dir):
 QUERIES["findings"] = QUERIES.pop("findings_query")
 
 
+@query
+def findings_in_chunks(spark, sf_dir):
+    """The findings again, of files that are cut into parts of 1,000 bytes."""
+    return chunks.chunk_findings(cut_files(_damaged(spark, sf_dir), 1000)).select(*FINDING_COLUMNS)
+
+
+@query
+def transcode_in_chunks(spark, sf_dir):
+    """Length and digest of the joined parts of every file that converts."""
+    files = encoding.with_label(_clean(spark, sf_dir)).where(~charsets.is_unicode_label(F.col("label")))
+    parts = chunks.converted_chunks(cut_files(files, 1000))
+    joined = F.array_sort(F.collect_list(F.struct("chunk_no", F.hex("content").alias("part"))))
+    whole = parts.groupBy("path").agg(joined.alias("parts")).select("path", F.unhex(F.array_join("parts.part", "")).alias("content"))
+    return whole.select(
+        "path", F.octet_length("content").cast("long").alias("length"), F.md5("content").alias("digest")
+    )
+
+
 @query
 def findings_hidden(spark, sf_dir):
     found = findings.findings(_damaged(spark, sf_dir))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from encaudit import audit
-from encaudit.functions.charsets import detect_label
+from encaudit.functions.charsets import SINGLE_BYTE, detect_label, latin1_view
+from encaudit.functions.legacy import CANDIDATES, CODECS, LABELS, LATIN, ODD, ONLY_ODD, PREFERENCE, choice_of_counts, high_counts
 
 RUSSIAN = "Маяк стоит на высоком берегу, и свет его виден далеко в море. Рыбаки возвращаются домой поздно вечером."
 GREEK = "Ο φάρος στέκεται στον ψηλό βράχο και το φως του φαίνεται μακριά στη θάλασσα κάθε νύχτα του χειμώνα."
@@ -30,6 +34,106 @@ STORED = [
 ]
 
 
+# Own sentences about a lighthouse by night, each stored in every charset that its language may be found in.
+OTHERS = {
+    "ประภาคารตั้งอยู่บนฝั่งสูงและแสงของมันมองเห็นได้ไกลในทะเล ชาวประมงกลับบ้านตอนดึก": ["tis-620"],
+    "تقف المنارة على شاطئ مرتفع ويرى ضوؤها من بعيد في البحر ويعود الصيادون إلى بيوتهم ليلا": ["iso8859-6", "cp1256"],
+    "המגדלור עומד על חוף גבוה ואורו נראה למרחוק בים והדייגים חוזרים הביתה מאוחר בערב": ["iso8859-8", "cp1255"],
+    "Deniz feneri yüksek bir kıyıda duruyor ve ışığı çok uzaktan görünüyor. Balıkçılar eve geç dönüyor.": ["iso8859-9", "cp1254"],
+    "Švyturys stovi ant aukšto kranto, o jo šviesa matoma toli jūroje. Žvejai grįžta namo vėlai vakare.": ["cp1257", "iso8859-13", "iso8859-4"],
+    "Bāka stāv augstā krastā, un tās gaisma ir redzama tālu jūrā. Zvejnieki atgriežas mājās vēlu vakarā.": ["cp1257", "iso8859-13", "iso8859-4"],
+    "Tuletorn seisab kõrgel kaldal ja selle valgus paistab kaugele. Kalurid jõuavad koju hilja õhtul, öö on käes.": ["cp1257", "iso8859-15", "latin-1"],
+    "Маяк стоїть на високому березі, і його світло видно далеко в морі. Рибалки повертаються пізно ввечері.": ["cp1251", "koi8-u", "iso8859-5"],
+    "A világítótorony magas parton áll, fénye messze látszik. A halászok késő este térnek haza, hűvös idő van.": ["cp1250", "iso8859-2", "cp852"],
+    "O farol está na costa alta e a sua luz vê-se ao longe; os pescadores não voltam senão à noite, com a maré.": ["latin-1", "cp850"],
+    "Fyret står på en høj kyst, og lyset ses langt ude på havet; fiskerne kommer sent hjem, når blæsten lægger sig.": ["latin-1", "cp850"],
+    RUSSIAN: ["mac-cyrillic"], GREEK: ["cp1253"], POLISH: ["cp852"], CZECH: ["cp1250", "cp852"], FRENCH: ["cp437", "iso8859-15"],
+}
+#: Too little, or too much alike in two charsets, to be sure of: no label, or one that gives the same text.
+UNSURE = {
+    "int tide; // см. да\nint ebb; // нет\n": ["cp1251", "koi8-r", "cp866"], RUSSIAN: ["cp855"], "łódź": ["iso8859-2", "cp1250"],
+    "Farul stă pe un țărm înalt și lumina lui se vede departe. Pescarii se întorc târziu.": ["iso8859-16"], "été": ["latin-1", "cp850"],
+    "Farul stă pe un ţărm înalt şi lumina lui se vede departe. Pescarii se întorc târziu.": ["iso8859-2", "cp1250"],
+}
+
+
+def same_text(content: bytes, label: str, text: str) -> bool:
+    codec = {spelling: name for name, spellings in SINGLE_BYTE.items() for spelling in spellings}.get(label, label)
+    return content.decode(codec, "replace") == text
+
+
+@pytest.mark.parametrize(("texts", "sure"), [(OTHERS, True), (UNSURE, False)])
+def test_other_languages(spark, texts, sure):
+    rows = [(text, bytearray(text.encode(codec))) for text, codecs in texts.items() for codec in codecs]
+    frame = spark.createDataFrame(rows, "text string, content binary")
+    for row in frame.select("*", detect_label(F.col("content")).alias("label")).collect():
+        assert row["label"] or not sure, row["text"]
+        assert row["label"] is None or same_text(bytes(row["content"]), row["label"], row["text"]), (row["label"], row["text"])
+
+
+@pytest.mark.parametrize(
+    ("content", "label"),
+    [("등대".encode("iso2022_kr"), "iso-2022-kr"), ("灯塔在海岸上".encode("hz"), "hz-gb-2312"), (b"cd ~{tmp}", "ascii")],
+)
+def test_escape_codes(spark, content, label):
+    row = spark.createDataFrame([(bytearray(content), "/a.txt")], "content binary, path string")
+    assert row.select(detect_label(F.col("content")).alias("l")).first()["l"] == label
+
+
+def test_counts_of_parts_add_up(spark):
+    """What is counted in the lines of a text, added up, gives the label of the text."""
+    content = (RUSSIAN.replace(".", ".\n") * 3).encode("cp1251")
+    parts = [content, *content.split(b"\n")]
+    frame = spark.createDataFrame([(k, bytearray(part)) for k, part in enumerate(parts)], "k int, content binary")
+    counted = frame.select("k", high_counts(latin1_view(F.col("content"))).alias("counts")).select("k", F.inline("counts"))
+    sums = counted.where("k > 0").groupBy("byte").agg(F.sum("mixed").alias("mixed"), F.sum("alone").alias("alone"), F.sum("capital").alias("capital"))
+    whole = counted.where("k = 0").select("byte", "mixed", "alone", "capital")
+    assert sorted(map(tuple, sums.collect())) == sorted(map(tuple, whole.collect()))
+    joined = sums.agg(F.collect_list(F.struct("byte", "mixed", "alone", "capital")).alias("counts"))
+    assert joined.select(choice_of_counts(F.col("counts"), F.lit(0))["label"]).first()[0] == "windows-1251"
+
+
+def plain_label(content: bytes):
+    """The best single-byte charset by adding up the letters one by one."""
+    seen = content.replace(b"\xef\xbf\xbd", b" ").decode("latin-1")
+    latin, scores, kept = sum(map(len, LATIN.values())), {}, {}
+    words = [word for word in re.findall("[A-Za-z\x80-\xff]+", seen) if max(word) > "\x7f"]
+    high = sum(ord(sign) > 127 for sign in seen)
+    alone = sum(len(word) for word in words if not re.search("[A-Za-z]", word))
+    capital = sum(ord(sign) > 127 for word in words if re.search("[A-Z]", word) and not re.search("[a-z]", word) for sign in word)
+    odd = len(re.findall(ODD, seen))
+    best_of_all = -math.inf
+    for at, (label, codec, *weights) in enumerate(CANDIDATES):
+        total = 0.0
+        for word in words:
+            kind = 1 if not re.search("[A-Za-z]", word) else 0 if re.search("[a-z]", word) else 2
+            total += sum(weights[kind][ord(sign) - 128] for sign in word if ord(sign) > 127)
+        best_of_all = max(best_of_all, total)
+        if label in ONLY_ODD and (odd < 2 or odd < 0.2 * (high - alone - capital)):
+            continue
+        if at >= latin and 2 * alone < high:
+            continue
+        floor = -5.5 if label in ("iso-8859-1", "windows-1252") else -4.0 if at < latin else -4.4
+        score = total + PREFERENCE.get(label, 0.0)
+        if score > scores.get(label, -math.inf):
+            scores[label], kept[label] = score, (total, score >= floor * high)
+    texts = {label: content.decode(CODECS[label], "replace") for label in scores}
+    best = max(scores, key=lambda label: scores[label])
+    rivals = [scores[label] for label in scores if texts[label] != texts[best]]
+    same = [label for label in LABELS if texts.get(label) == texts[best]]
+    likely = kept[best][1] and kept[best][0] >= best_of_all - 3 - 0.9 * high
+    return same[0] if likely and scores[best] - max(rivals, default=-math.inf) >= 4.5 else None
+
+
+def test_labels_against_plain_sums(spark):
+    rows = [(text, bytearray(text.encode(codec))) for texts in (OTHERS, UNSURE) for text, codecs in texts.items() for codec in codecs]
+    rows += [(text, bytearray(text.encode(codec))) for text, codec, _ in STORED[:13]]
+    found = spark.createDataFrame(rows, "text string, content binary").select("*", detect_label(F.col("content")).alias("label"))
+    for row in found.collect():
+        plain = plain_label(bytes(row["content"]))
+        assert row["label"] == plain or (row["label"] == "iso-8859-1" and same_text(bytes(row["content"]), "iso-8859-1", row["text"]))
+
+
 @pytest.fixture(scope="module")
 def stored(spark):
     rows = [(f"/{k}.txt", bytearray(text.encode(codec))) for k, (text, codec, _) in enumerate(STORED)]

@@ -3,14 +3,17 @@
 The words of each language that occur often enough are ranked by frequency; their
 ranks are ids. Ids of neighbouring words are a cell of a square matrix, which is cut
 into tiles of ``SIDE`` by ``SIDE`` cells. Frequent words meet in the first tiles, so
-these are dense and counted with ``bincount``; cells of sparse tiles are sorted and
-added up as (cell, count) lists. Frequent pairs are ranked in turn, and two pairs
-that overlap by a word are a cell of the next matrix: three words, then four.
-
-Texts become chunks, rows that hold the ids of a few megabytes of one language as
-one packed array. Chunks, tiles and look-up tables are rows of a bounded size that
-Spark shuffles; no dictionary is broadcast, and the driver sees no word. Each tile is
-counted in two steps, salted by chunk, as all chunks share the first tile.
+these are dense: each chunk counts them with ``bincount`` and sends them on as one row
+per tile, to be added to an array with an address for every cell. The cells of all
+other tiles are sorted lists of (pair, count), which Spark adds up. Frequent pairs are
+ranked in turn, and two pairs that overlap by a word are a cell of the next matrix:
+three words, then four.
+
+Texts become chunks, rows that hold the ids of some text of one language as one packed
+array. No dictionary is broadcast, and the driver sees no word: ids come to a chunk by
+a join of its different words or pairs. A bitmap of fixed size drops most pairs that
+are not frequent before that. Dense tiles are counted in two steps, salted by chunk,
+as all chunks share them.
 """
 
 from __future__ import annotations
@@ -25,14 +28,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from encaudit.llm.bitmap import bitmap, may_hold
 from encaudit.session import settle
 
 #: Ids on each side of a tile; cells of a tile.
 SIDE_BITS = 10
 SIDE = 1 << SIDE_BITS
 CELLS = SIDE * SIDE
-#: A tile with so many entries is counted densely.
-DENSE = 1 << 16
+#: Tiles whose places along both sides (from 1 on) have at most this product are dense; ids are ranks, and cells thin out so.
+DENSE = 16
 #: Bytes of texts in the chunks that a task makes at a time.
 CHUNK_BYTES = 4 << 20
 #: The mark between ids that are no neighbours.
@@ -167,68 +171,57 @@ def _first_ids(texts: DataFrame, dictionary: DataFrame, words: DataFrame) -> Dat
     )
 
 
-def _cells(ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """tile, different cells in rising order and their counts, for the neighbours among some ids."""
+def _neighbours(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different ids of a sequence in rising order, and numbers of its neighbours, by their places among them."""
+    used, codes = np.unique(ids, return_inverse=True)
+    a, b = codes[:-1], codes[1:]
+    pairs = np.flatnonzero((ids[:-1] != GAP) & (ids[1:] != GAP))
+    return used, pairs, a[pairs] * len(used) + b[pairs]
+
+
+def _pairs(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """a, b and count of the different neighbours in a sequence, sorted."""
+    used, _, keys = _neighbours(ids)
+    keys, counts = np.unique(keys, return_counts=True)
+    return used[keys // len(used)], used[keys % len(used)], counts
+
+
+def _is_dense(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return ((a >> SIDE_BITS) + 1) * ((b >> SIDE_BITS) + 1) <= DENSE
+
+
+def _dense_tiles(ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """tile, cells that occur and their counts, by direct addresses, for the dense tiles."""
     a, b = ids[:-1], ids[1:]
-    pairs = (a != GAP) & (b != GAP)
-    a, b = a[pairs], b[pairs]
+    kept = (a != GAP) & (b != GAP)
+    kept[kept] = _is_dense(a[kept], b[kept])
+    a, b = a[kept], b[kept]
     tiles = (a >> SIDE_BITS) << 32 | b >> SIDE_BITS
     cells = (a & SIDE - 1) << SIDE_BITS | b & SIDE - 1
-    order = np.argsort(tiles, kind="stable")
-    tiles, cells = tiles[order], cells[order]
-    starts = np.flatnonzero(np.r_[True, tiles[1:] != tiles[:-1]][: len(tiles)])
-    for first, last in zip(starts.tolist(), [*starts[1:].tolist(), len(tiles)]):
-        if last - first >= DENSE:
-            counts = np.bincount(cells[first:last], minlength=CELLS)
-            found = np.flatnonzero(counts)
-            yield int(tiles[first]), found, counts[found]
-        else:
-            yield int(tiles[first]), *np.unique(cells[first:last], return_counts=True)
-
-
-class _Tile:
-    """Counts of one tile: a list of sorted (cell, count) parts, or a dense array once there are many."""
-
-    def __init__(self) -> None:
-        self.parts, self.size, self.dense = [], 0, None
-
-    def add(self, cells: np.ndarray, counts: np.ndarray) -> None:
-        """Adds different cells with their counts."""
-        if self.dense is not None:
-            self.dense[cells] += counts
-            return
-        self.parts.append((cells, counts))
-        self.size += len(cells)
-        if self.size >= DENSE:
-            self.dense = np.zeros(CELLS, np.int64)
-            for part in self.parts:
-                self.add(*part)
-            self.parts = []
-
-    def counted(self) -> tuple[np.ndarray, np.ndarray]:
-        if self.dense is not None:
-            cells = np.flatnonzero(self.dense)
-            return cells, self.dense[cells]
-        cells, counts = (np.concatenate(side) for side in zip(*self.parts))
-        order = np.argsort(cells, kind="stable")
-        cells, counts = cells[order], counts[order]
-        starts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
-        return cells[starts], np.add.reduceat(counts, starts)
-
-
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """tile, cells and counts of rows (tile, salt, cells, counts) that come in the order of tile and salt."""
-    key, tile = None, _Tile()
+    for tile in np.unique(tiles).tolist():
+        counts = np.bincount(cells[tiles == tile], minlength=CELLS)
+        found = np.flatnonzero(counts)
+        yield tile, found, counts[found]
+
+
+def _added_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """tile, cells and counts, added up over rows (tile, salt, cells, counts) in the order of tile and salt."""
+    key, held = None, None
+
+    def counted() -> tuple[int, np.ndarray, np.ndarray]:
+        cells = np.flatnonzero(held)
+        return key[0], cells, held[cells]
+
     for batch in batches:
         for at in range(batch.num_rows):
-            number, salt, cells, counts = (column[at].as_py() for column in batch.columns)
-            if (number, salt) != key:
+            tile, salt, cells, counts = (column[at].as_py() for column in batch.columns)
+            if (tile, salt) != key:
                 if key is not None:
-                    yield key[0], *tile.counted()
-                key, tile = (number, salt), _Tile()
-            tile.add(np.frombuffer(cells, "<u4"), _unpacked(counts))
+                    yield counted()
+                key, held = (tile, salt), np.zeros(CELLS, np.int64)
+            held[np.frombuffer(cells, "<u4")] += _unpacked(counts)  # the cells of a row are different ones
     if key is not None:
-        yield key[0], *tile.counted()
+        yield counted()
 
 
 def frequent_pairs(sequences: DataFrame, least: int, salts: int) -> DataFrame:
@@ -236,138 +229,83 @@ def frequent_pairs(sequences: DataFrame, least: int, salts: int) -> DataFrame:
     entry = _schema(tile=pa.int64(), salt=pa.int32(), cells=pa.binary(), counts=pa.binary())
     types = "tile long, salt int, cells binary, counts binary"
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
                 salt = (chunk * 0x9E3779B97F4A7C15 >> 32) % salts
-                found = _cells(_unpacked(ids.as_py()))
-                yield _batch([(t, salt, c.astype("<u4").tobytes(), _packed(n)) for t, c, n in found], entry)
+                for tile, cells, counts in _dense_tiles(_unpacked(ids.as_py())):
+                    yield _batch([(tile, salt, cells.astype("<u4").tobytes(), _packed(counts))], entry)
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tile, cells, counts in _tiles(batches):
+        for tile, cells, counts in _added_tiles(batches):
             yield _batch([(tile, 0, cells.astype("<u4").tobytes(), _packed(counts))], entry)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tile, cells, counts in _tiles(batches):
+        for tile, cells, counts in _added_tiles(batches):
             kept = counts >= least
-            cells, counts = cells[kept].astype(np.int64), counts[kept]
+            cells, counts = cells[kept], counts[kept]
             a = (tile >> 32) << SIDE_BITS | cells >> SIDE_BITS
             b = (tile & 0xFFFFFFFF) << SIDE_BITS | cells & SIDE - 1
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(counts)], ["a", "b", "n"])
 
-    parts = sequences.select("chunk", "ids").mapInArrow(count, types)
+    def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids in batch.column(0):
+                a, b, counts = _pairs(_unpacked(ids.as_py()))
+                kept = ~_is_dense(a, b)
+                columns = [pa.array(values[kept]) for values in (a, b, counts)]
+                yield pa.RecordBatch.from_arrays(columns, ["a", "b", "n"])
+
+    parts = sequences.select("chunk", "ids").mapInArrow(dense, types)
     salted = parts.repartition("tile", "salt").sortWithinPartitions("tile", "salt").mapInArrow(combine, types)
-    return salted.repartition("tile").sortWithinPartitions("tile").mapInArrow(finish, "a long, b long, n long")
+    of_tiles = salted.repartition("tile").sortWithinPartitions("tile").mapInArrow(finish, "a long, b long, n long")
+    listed = sequences.select("ids").mapInArrow(sparse, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return of_tiles.unionByName(listed.where(F.col("n") >= least))
 
 
-def _next_ids(sequences: DataFrame, pairs: DataFrame, salts: int) -> DataFrame:
-    """chunk and packed ids of the frequent pairs (a, b, id) in its sequence, at the places of their first member."""
-    tile = F.expr(f"shiftleft(shiftright(a, {SIDE_BITS}), 32) | shiftright(b, {SIDE_BITS})")
-    cell = F.expr(f"cast(shiftleft(a & {SIDE - 1}, {SIDE_BITS}) | (b & {SIDE - 1}) as int)")
-    entry = _schema(tile=pa.int64(), cells=pa.binary(), ids=pa.binary())
-    question = _schema(tile=pa.int64(), salt=pa.int32(), kind=pa.int32(), chunk=pa.int64(), cells=pa.binary(), ids=pa.binary())
-    asked = "tile long, salt int, kind int, chunk long, cells binary, ids binary"
-    answer = _schema(chunk=pa.int64(), kind=pa.int32(), tile=pa.int64(), cells=pa.binary(), ids=pa.binary())
-    answered = "chunk long, kind int, tile long, cells binary, ids binary"
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The pairs of each tile in one row; they come in the order of tile and cell."""
-        key, held = None, []
-
-        def row() -> pa.RecordBatch:
-            cells, ids = (np.concatenate(side) for side in zip(*held))
-            return _batch([(key, cells.astype("<u4").tobytes(), _packed(ids))], entry)
+def _slot(a, b):
+    """Number by which the bitmap knows a pair; columns or arrays."""
+    return a * 1_000_003 + b
 
-        for batch in batches:
-            tiles, cells, ids = (np.asarray(column) for column in batch.columns)
-            starts = np.flatnonzero(np.r_[True, tiles[1:] != tiles[:-1]][: len(tiles)]).tolist()
-            for first, last in zip(starts, [*starts[1:], len(tiles)]):
-                if tiles[first] != key:
-                    if held:
-                        yield row()
-                    key, held = int(tiles[first]), []
-                held.append((cells[first:last], ids[first:last]))
-        if held:
-            yield row()
+
+def _next_ids(sequences: DataFrame, pairs: DataFrame) -> DataFrame:
+    """chunk and packed ids of the frequent pairs (a, b, id) in its sequence, at the places of their first member."""
+    held = bitmap(pairs.select(_slot(F.col("a"), F.col("b")).alias("slot")), "slot")
+    sent = sequences.sparkSession.sparkContext.broadcast(held)
+    made = _schema(chunk=pa.int64(), ids=pa.binary())
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
-                salt = (chunk * 0x9E3779B97F4A7C15 >> 32) % salts
-                found = _cells(_unpacked(ids.as_py()))
-                yield _batch([(t, salt, 1, chunk, c.astype("<u4").tobytes(), None) for t, c, _ in found], question)
-
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = known = known_ids = None
-        for batch in batches:
-            for at in range(batch.num_rows):
-                tile, salt, kind, chunk, cells, ids = (column[at].as_py() for column in batch.columns)
-                cells = np.frombuffer(cells, "<u4")
-                if kind == 0:
-                    key, known, known_ids = (tile, salt), cells, _unpacked(ids)
-                elif (tile, salt) == key:
-                    place = np.minimum(np.searchsorted(known, cells), len(known) - 1)
-                    hit = known[place] == cells
-                    if hit.any():
-                        row = (chunk, 1, tile, cells[hit].tobytes(), _packed(known_ids[place[hit]]))
-                        yield _batch([row], answer)
+                a, b, _ = _pairs(_unpacked(ids.as_py()))
+                kept = may_hold(sent.value, _slot(a, b))
+                columns = [pa.array(np.full(int(kept.sum()), chunk)), pa.array(a[kept]), pa.array(b[kept])]
+                yield pa.RecordBatch.from_arrays(columns, ["chunk", "a", "b"])
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come in the order of chunk and kind: its sequence, then what is known of its tiles."""
-        made = _schema(chunk=pa.int64(), ids=pa.binary())
-        key, ids, found = None, None, {}
-
-        def row() -> pa.RecordBatch:
-            a, b = ids[:-1], ids[1:]
-            after = np.full(len(a), GAP)
-            pairs = np.flatnonzero((a != GAP) & (b != GAP))
-            tiles = (a[pairs] >> SIDE_BITS) << 32 | b[pairs] >> SIDE_BITS
-            cells = (a[pairs] & SIDE - 1) << SIDE_BITS | b[pairs] & SIDE - 1
-            order = np.argsort(tiles, kind="stable")
-            starts = np.flatnonzero(np.r_[True, np.diff(tiles[order]) != 0][: len(order)])
-            for first, last in zip(starts.tolist(), [*starts[1:].tolist(), len(order)]):
-                mine = order[first:last]
-                if (known := found.get(int(tiles[mine[0]]))) is not None:
-                    place = np.minimum(np.searchsorted(known[0], cells[mine]), len(known[0]) - 1)
-                    hit = known[0][place] == cells[mine]
-                    after[pairs[mine[hit]]] = known[1][place[hit]]
-            return _batch([(key, _packed(_closed_up(after)))], made)
-
         for batch in batches:
             for at in range(batch.num_rows):
-                chunk, kind, tile, cells, held = (column[at].as_py() for column in batch.columns)
-                if kind == 0:
-                    if found:
-                        yield row()
-                    key, ids, found = chunk, _unpacked(held), {}
-                else:
-                    found[tile] = (np.frombuffer(cells, "<u4").astype(np.int64), _unpacked(held))
-        if found:
-            yield row()
-
-    tables = (
-        pairs.select(tile.alias("tile"), cell.alias("cell"), "id")
-        .repartition("tile")
-        .sortWithinPartitions("tile", "cell")
-        .mapInArrow(pack, "tile long, cells binary, ids binary")
-    )
-    salted = tables.select(
-        "tile",
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"),
-        F.lit(0).alias("kind"),
-        F.lit(None).cast("long").alias("chunk"),
-        "cells",
-        "ids",
-    )
-    questions = sequences.select("chunk", "ids").mapInArrow(ask, asked)
-    met = salted.unionByName(questions).repartition("tile", "salt").sortWithinPartitions("tile", "salt", "kind")
-    answers = met.mapInArrow(look_up, answered)
-    nothing = F.lit(None)
-    whole = sequences.select(
-        "chunk", F.lit(0).alias("kind"), nothing.cast("long").alias("tile"), nothing.cast("binary").alias("cells"), "ids"
+                chunk, ids, *known = (column[at] for column in batch.columns)
+                ids = _unpacked(ids.as_py())
+                a, b, new = (np.asarray(side.values) for side in known)
+                used, places, keys = _neighbours(ids)
+                known_keys = np.searchsorted(used, a) * len(used) + np.searchsorted(used, b)
+                order = np.argsort(known_keys)
+                known_keys, new = known_keys[order], new[order]
+                place = np.minimum(np.searchsorted(known_keys, keys), len(known_keys) - 1)
+                hit = known_keys[place] == keys
+                after = np.full(max(len(ids) - 1, 0), GAP)
+                after[places[hit]] = new[place[hit]]
+                yield _batch([(chunk.as_py(), _packed(_closed_up(after)))], made)
+
+    asked = sequences.select("chunk", "ids").mapInArrow(ask, "chunk long, a long, b long")
+    known = (
+        asked.join(pairs.select("a", "b", "id"), ["a", "b"])
+        .groupBy("chunk")
+        .agg(F.collect_list(F.struct("a", "b", "id")).alias("known"))  # as many as a chunk has neighbours
+        .select("chunk", *(F.col(f"known.{name}").alias(name) for name in ("a", "b", "id")))
     )
-    dealt = whole.unionByName(answers).repartition("chunk").sortWithinPartitions("chunk", "kind")
-    return dealt.mapInArrow(replace, "chunk long, ids binary")
+    return sequences.join(known, "chunk").select("chunk", "ids", "a", "b", "id").mapInArrow(replace, "chunk long, ids binary")
 
 
 def phrases(docs: DataFrame, least: int = 30, longest: int = LONGEST) -> tuple[list[DataFrame], DataFrame]:
@@ -414,7 +352,7 @@ def phrases(docs: DataFrame, least: int = 30, longest: int = LONGEST) -> tuple[l
             )
         )
         if len(levels) < longest:
-            sequences = settle(_next_ids(sequences, pairs, salts))
+            sequences = settle(_next_ids(sequences, pairs))
     return levels, totals
 
 

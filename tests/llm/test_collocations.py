@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from encaudit.llm import collocations
@@ -60,7 +61,7 @@ def texts(count, words, seed, langs=("en", "de", None)):
     return [(rnd.choice(langs), text()) for _ in range(count)]
 
 
-@pytest.mark.parametrize("dense", [collocations.DENSE, 4])
+@pytest.mark.parametrize("dense", [collocations.DENSE, 0])
 def test_counts(spark, monkeypatch, dense):
     monkeypatch.setattr(collocations, "DENSE", dense)
     monkeypatch.setattr(collocations, "CHUNK_BYTES", 2000)
@@ -84,16 +85,20 @@ def test_ids_over_several_tiles():
         ids = rnd.integers(0, top, 5000)
         ids[rnd.random(5000) < 0.1] = collocations.GAP
         assert (collocations._unpacked(collocations._packed(ids)) == ids).all()
+        pairs = zip(ids[:-1].tolist(), ids[1:].tolist())
+        expected = Counter((a, b) for a, b in pairs if collocations.GAP not in (a, b))
+        a, b, counts = (side.tolist() for side in collocations._pairs(ids))
+        assert dict(zip(zip(a, b), counts)) == expected
         found = Counter()
-        for tile, cells, counts in collocations._cells(ids):
+        for tile, cells, counts in collocations._dense_tiles(ids):
             for cell, n in zip(cells.tolist(), counts.tolist()):
                 found[(tile >> 32) << 10 | cell >> 10, (tile & 0xFFFFFFFF) << 10 | cell & 1023] += n
-        pairs = zip(ids[:-1].tolist(), ids[1:].tolist())
-        assert found == Counter((a, b) for a, b in pairs if collocations.GAP not in (a, b))
+        assert found == {pair: n for pair, n in expected.items() if (pair[0] // 1024 + 1) * (pair[1] // 1024 + 1) <= 16}
 
 
 def test_counts_beyond_a_word():
-    tile = collocations._Tile()
-    for _ in range(3):
-        tile.add(np.array([1, 5]), np.array([1 << 40, 2]))
-    assert [side.tolist() for side in tile.counted()] == [[1, 5], [3 << 40, 6]]
+    row = (7, 0, np.array([1, 5], "<u4").tobytes(), collocations._packed(np.array([1 << 40, 2])))
+    types = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+    batch = pa.RecordBatch.from_arrays([pa.array([v] * 3, t) for v, t in zip(row, types)], ["tile", "salt", "cells", "counts"])
+    (tile, cells, counts), = collocations._added_tiles(iter([batch]))
+    assert (tile, cells.tolist(), counts.tolist()) == (7, [1, 5], [3 << 40, 6])

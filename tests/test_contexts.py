@@ -64,8 +64,10 @@ def flags(spark, text, extension):
 
 
 def test_line_flags(spark):
-    assert flags(spark, "int a = 1;\n// note\nint b;\n", ".c") == [False, True, False, False]
-    assert flags(spark, "/*\ninside\n\n*/\nint x;\n", ".c") == [True, True, False, True, False, False]
+    lamp = "lamp(on); // lit\n  // kept by two\nfog /* thick\nand wet */ = 3;\n/* horn */ sound();"
+    assert flags(spark, lamp, ".hpp") == [False, True, False, True, True]
+    keepers = "'/*' tower // '\n*/ \" // \n\" //\n\t/*\n\n \t\n  night\n*/*/ day"
+    assert flags(spark, keepers, ".cs") == [False, False, False, True, False, False, True, True]
     assert flags(spark, "﻿// first\n  // more\n", ".txt") == [True, True, False]
     assert flags(spark, "# note\nx = 1  # y\n'''\n# text\n'''", ".py") == [True, False, False, True, False]
     assert flags(spark, "# note", ".c") == [False]

@@ -3,8 +3,9 @@
 The patterns are compiled together: nondeterministic automata per pattern, the
 subset construction over classes of equal bytes, minimisation, and a flat
 transition array. Scanning is one array lookup per byte; a state past the border
-``accepting`` says which rules have a match ending there. The few matches are then
-measured with the automata of single rules.
+``accepting`` says which rules have a match ending there. From those ends the mirrored
+automaton of the rule runs back over the bytes of its matches and marks where they
+begin, so that the time grows with the length of a text and not with its square.
 """
 
 from __future__ import annotations
@@ -168,6 +169,18 @@ class Pattern:
         self.steps[first].append((frozenset(wanted), last))
         return first, last
 
+    def mirrored(self) -> Pattern:
+        """The same states with all ways turned round: it reads what this one reads, from its end."""
+        turned = Pattern()
+        for _ in self.jumps:
+            turned.state()
+        for one, jumps in enumerate(self.jumps):
+            for target in jumps:
+                turned.jumps[target].append(one)
+            for wanted, target in self.steps[one]:
+                turned.steps[target].append((wanted, one))
+        return turned
+
 
 @dataclass
 class Automaton:
@@ -183,10 +196,15 @@ class Automaton:
     dead: int
 
 
-def compiled(patterns: list[str], anywhere: bool) -> Automaton:
-    """One automaton for all patterns; ``anywhere`` lets a match begin at every byte."""
+def compiled(patterns: list[str], anywhere: bool, backwards: bool = False) -> Automaton:
+    """One automaton for all patterns; ``anywhere`` lets a match begin at every byte.
+
+    With ``backwards`` it reads matches from their last byte to their first.
+    """
     nfa = Pattern()
     ends = [nfa.add(pattern) for pattern in patterns]
+    if backwards:
+        nfa, ends = nfa.mirrored(), [(last, first) for first, last in ends]
     final = {last: k for k, (_, last) in enumerate(ends)}
 
     def closed(states: Iterator[int]) -> frozenset[int]:
@@ -256,6 +274,7 @@ class Scanner:
     def __init__(self, rules: tuple[Rule, ...]) -> None:
         self.rules = rules
         self.search = compiled([rule.lead + rule.value for rule in rules], anywhere=True)
+        self.back = [compiled([rule.lead + rule.value], anywhere=True, backwards=True) for rule in rules]
         self.whole = [compiled([rule.lead + rule.value], anywhere=False) for rule in rules]
         self.lead = [compiled([rule.lead], anywhere=False) if rule.lead else None for rule in rules]
 
@@ -283,25 +302,44 @@ class Scanner:
             spans.append({"kind": self.rules[k].kind, "start": seen, "end": seen + end - start})
         return spans
 
+    def _starts(self, k: int, data: bytes, ends: list[int]) -> bytearray:
+        """A mark at every byte where a match of rule ``k`` begins.
+
+        Read backwards, a match begins where it ends. Between a byte that leaves no
+        match open and the end before it there is nothing to read.
+        """
+        table, accepting, marks = self.back[k].table, self.back[k].accepting, bytearray(len(data))
+        unread = len(data)
+        for last in reversed(ends):
+            if last >= unread:
+                continue
+            state = 0
+            for at in range(last, -1, -1):
+                state = table[state + data[at]]
+                if state >= accepting:
+                    marks[at] = 1
+                elif state == 0:
+                    break
+            unread = at
+        return marks
+
     def _matches(self, k: int, data: bytes, ends: list[int]) -> Iterator[tuple[int, int]]:
         """Leftmost, longest matches that do not overlap; short values are dropped after that."""
-        whole, lead, at = self.whole[k], self.lead[k], 0
-        for last in ends:
-            while at <= last:
-                end = _longest(whole, data, at) if whole.table[data[at]] != whole.dead else at
-                if end == at:
-                    at += 1
-                    continue
-                value = _longest(lead, data, at) if lead else at
-                if end - value >= self.rules[k].least:
-                    yield at, end
-                at = end
-
-
-def _longest(one: Automaton, data: bytes, at: int) -> int:
-    """End of the longest match that begins at ``at``, or ``at`` itself."""
+        whole, lead, stop = self.whole[k], self.lead[k], ends[-1] + 1
+        marks = self._starts(k, data, ends)
+        at = marks.find(1)
+        while at >= 0:
+            end = _longest(whole, data, at, stop)
+            value = _longest(lead, data, at, stop) if lead else at
+            if end - value >= self.rules[k].least:
+                yield at, end
+            at = marks.find(1, end)
+
+
+def _longest(one: Automaton, data: bytes, at: int, stop: int) -> int:
+    """End of the longest match that begins at ``at`` and ends by ``stop``, or ``at`` itself."""
     state, end = 0, at
-    for place in range(at, len(data)):
+    for place in range(at, stop):
         state = one.table[state + data[place]]
         if state == one.dead:
             break
@@ -350,6 +388,12 @@ def joined(spans: Column) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
+    """Counts of the base rules, the digest of their spans and all spans, for every row of ``docs``.
+
+    Null and empty texts have no spans: counts of zero and the digest of the empty
+    string. Repeated rows and doc_ids are reported each for themselves; columns other
+    than doc_id and text are not read. An empty table gives an empty result.
+    """
     base = F.filter("spans", lambda one: one["kind"].isin(*(rule.kind for rule in BASE)))
 
     def count(kind: str) -> Column:

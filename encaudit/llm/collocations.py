@@ -11,9 +11,10 @@ three words, then four.
 
 Texts become chunks, rows that hold the ids of some text of one language as one packed
 array. No dictionary is broadcast, and the driver sees no word: ids come to a chunk by
-a join of its different words or pairs. A bitmap of fixed size drops most pairs that
-are not frequent before that. Dense tiles are counted in two steps, salted by chunk,
-as all chunks share them.
+a join of its different words, or from tasks that hold the frequent pairs of a bucket
+and answer packed lists of pairs. A bitmap of fixed size drops most pairs that are not
+frequent before that. Dense tiles are counted in two steps, salted by chunk, as all
+chunks share them.
 """
 
 from __future__ import annotations
@@ -38,7 +39,9 @@ CELLS = SIDE * SIDE
 #: Tiles whose places along both sides (from 1 on) have at most this product are dense; ids are ranks, and cells thin out so.
 DENSE = 16
 #: Bytes of texts in the chunks that a task makes at a time.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 16 << 20
+#: Frequent pairs that a bucket has on average at most.
+BUCKET_PAIRS = 1 << 18
 #: The mark between ids that are no neighbours.
 GAP = -1
 NO_LANGUAGE = "und"
@@ -98,7 +101,7 @@ def chunks(docs: DataFrame) -> DataFrame:
             pa.large_string(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(held.tobytes())]
         ).dictionary_encode()
         codes = np.asarray(said.indices).astype(np.int64)
-        pieces = np.cumsum(kind == _END)[first]
+        pieces = np.searchsorted(np.flatnonzero(kind == _END), first)
         apart = np.flatnonzero(np.diff(pieces)) + 1
         return number, lang, len(codes), _packed(np.insert(codes, apart, GAP)), said.dictionary, np.bincount(codes)
 
@@ -171,19 +174,35 @@ def _first_ids(texts: DataFrame, dictionary: DataFrame, words: DataFrame) -> Dat
     )
 
 
-def _neighbours(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The different ids of a sequence in rising order, and numbers of its neighbours, by their places among them."""
+def _pairs(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """a, b and count of the different neighbours in a sequence, sorted."""
     used, codes = np.unique(ids, return_inverse=True)
     a, b = codes[:-1], codes[1:]
-    pairs = np.flatnonzero((ids[:-1] != GAP) & (ids[1:] != GAP))
-    return used, pairs, a[pairs] * len(used) + b[pairs]
+    beside = (ids[:-1] != GAP) & (ids[1:] != GAP)
+    keys, counts = np.unique(a[beside] * len(used) + b[beside], return_counts=True)
+    return used[keys // len(used)], used[keys % len(used)], counts
 
 
-def _pairs(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """a, b and count of the different neighbours in a sequence, sorted."""
-    used, _, keys = _neighbours(ids)
-    keys, counts = np.unique(keys, return_counts=True)
-    return used[keys // len(used)], used[keys % len(used)], counts
+class _Known:
+    """Ids of pairs (a, b), found by place in sorted arrays."""
+
+    def __init__(self, pairs: list[bytes], ids: list[bytes]) -> None:
+        a, b = np.concatenate([_unpacked(one).reshape(2, -1) for one in pairs], axis=1)
+        self.firsts, self.seconds = np.unique(a), np.unique(b)
+        keys = np.searchsorted(self.firsts, a) * len(self.seconds) + np.searchsorted(self.seconds, b)
+        order = np.argsort(keys)
+        self.keys, self.ids = keys[order], np.concatenate([_unpacked(one) for one in ids])[order]
+
+    def ids_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The id of each pair, or a gap."""
+
+        def placed(values: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            place = np.minimum(np.searchsorted(known, values), len(known) - 1)
+            return place, known[place] == values
+
+        (x, has_a), (y, has_b) = placed(a, self.firsts), placed(b, self.seconds)
+        place, has_pair = placed(x * len(self.seconds) + y, self.keys)
+        return np.where(has_a & has_b & has_pair, self.ids[place], GAP)
 
 
 def _is_dense(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -268,44 +287,84 @@ def _slot(a, b):
     return a * 1_000_003 + b
 
 
+_REQUEST = _schema(bucket=pa.int32(), chunk=pa.int64(), pairs=pa.binary(), ids=pa.binary())
+_REQUEST_TYPES = "bucket int, chunk long, pairs binary, ids binary"
+
+
+def _requests(chunk: int, a: np.ndarray, b: np.ndarray, ids: np.ndarray | None, buckets: int) -> pa.RecordBatch:
+    """One row per bucket that has some of the pairs."""
+    bucket = _slot(a, b) % buckets
+    order = np.argsort(bucket, kind="stable")
+    parts = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []
+    rows = [
+        (int(bucket[part[0]]), chunk, _packed(np.r_[a[part], b[part]]), None if ids is None else _packed(ids[part]))
+        for part in parts
+    ]
+    return _batch(rows, _REQUEST)
+
+
 def _next_ids(sequences: DataFrame, pairs: DataFrame) -> DataFrame:
-    """chunk and packed ids of the frequent pairs (a, b, id) in its sequence, at the places of their first member."""
+    """chunk and packed ids of the frequent pairs (a, b, id) in its sequence, at the places of their first member.
+
+    Chunks ask each bucket of pairs once, with a packed list. A bucket's pairs sort
+    before what is asked of it, so the task that answers holds one bucket at a time.
+    """
+    spark = sequences.sparkSession
     held = bitmap(pairs.select(_slot(F.col("a"), F.col("b")).alias("slot")), "slot")
-    sent = sequences.sparkSession.sparkContext.broadcast(held)
+    sent = spark.sparkContext.broadcast(held)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-pairs.count() // BUCKET_PAIRS))
     made = _schema(chunk=pa.int64(), ids=pa.binary())
 
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, ids = (np.asarray(column) for column in batch.columns)
+            yield _requests(-1, a, b, ids, buckets)
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
                 a, b, _ = _pairs(_unpacked(ids.as_py()))
                 kept = may_hold(sent.value, _slot(a, b))
-                columns = [pa.array(np.full(int(kept.sum()), chunk)), pa.array(a[kept]), pa.array(b[kept])]
-                yield pa.RecordBatch.from_arrays(columns, ["chunk", "a", "b"])
+                yield _requests(chunk, a[kept], b[kept], None, buckets)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held_pairs, held_ids, known = None, [], [], None
+        for batch in batches:
+            for at in range(batch.num_rows):
+                bucket, chunk, asked, ids = (column[at].as_py() for column in batch.columns)
+                if bucket != key:
+                    key, held_pairs, held_ids, known = bucket, [], [], None
+                if chunk < 0:
+                    held_pairs.append(asked)
+                    held_ids.append(ids)
+                elif held_pairs:
+                    known = known or _Known(held_pairs, held_ids)
+                    a, b = _unpacked(asked).reshape(2, -1)
+                    found = known.ids_of(a, b)
+                    hit = found != GAP
+                    row = (bucket, chunk, _packed(np.r_[a[hit], b[hit]]), _packed(found[hit]))
+                    yield _batch([row] if hit.any() else [], _REQUEST)
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
-                chunk, ids, *known = (column[at] for column in batch.columns)
-                ids = _unpacked(ids.as_py())
-                a, b, new = (np.asarray(side.values) for side in known)
-                used, places, keys = _neighbours(ids)
-                known_keys = np.searchsorted(used, a) * len(used) + np.searchsorted(used, b)
-                order = np.argsort(known_keys)
-                known_keys, new = known_keys[order], new[order]
-                place = np.minimum(np.searchsorted(known_keys, keys), len(known_keys) - 1)
-                hit = known_keys[place] == keys
-                after = np.full(max(len(ids) - 1, 0), GAP)
-                after[places[hit]] = new[place[hit]]
-                yield _batch([(chunk.as_py(), _packed(_closed_up(after)))], made)
-
-    asked = sequences.select("chunk", "ids").mapInArrow(ask, "chunk long, a long, b long")
-    known = (
-        asked.join(pairs.select("a", "b", "id"), ["a", "b"])
+                chunk, ids, pairs, new = (column[at].as_py() for column in batch.columns)
+                ids = _unpacked(ids)
+                after = _Known(pairs, new).ids_of(ids[:-1], ids[1:])
+                yield _batch([(chunk, _packed(_closed_up(after)))], made)
+
+    known_pairs = pairs.select("a", "b", "id").mapInArrow(told, _REQUEST_TYPES)
+    asked = sequences.select("chunk", "ids").mapInArrow(ask, _REQUEST_TYPES)
+    answered = (
+        known_pairs.unionByName(asked)
+        .repartition("bucket")
+        .sortWithinPartitions("bucket", "chunk")
+        .mapInArrow(answer, _REQUEST_TYPES)
         .groupBy("chunk")
-        .agg(F.collect_list(F.struct("a", "b", "id")).alias("known"))  # as many as a chunk has neighbours
-        .select("chunk", *(F.col(f"known.{name}").alias(name) for name in ("a", "b", "id")))
+        .agg(F.collect_list(F.struct("pairs", "ids")).alias("known"))  # as many pairs as a chunk has neighbours
+        .select("chunk", F.col("known.pairs").alias("pairs"), F.col("known.ids").alias("new"))
     )
-    return sequences.join(known, "chunk").select("chunk", "ids", "a", "b", "id").mapInArrow(replace, "chunk long, ids binary")
+    return sequences.join(answered, "chunk").select("chunk", "ids", "pairs", "new").mapInArrow(replace, "chunk long, ids binary")
 
 
 def phrases(docs: DataFrame, least: int = 30, longest: int = LONGEST) -> tuple[list[DataFrame], DataFrame]:

@@ -49,7 +49,7 @@ NAMES = {
 
 NAMES |= {("given", writing): f"{NAMES['male', writing]} {NAMES['female', writing]}" for kind, writing in list(NAMES) if kind == "male"}
 
-_LOCAL = re.compile(r"[\w.%+-]+$").search
+_LOCAL = re.compile(r"[\w.%+-]").match
 _DOMAIN = re.compile(r"@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}").match
 _NUMBER = re.compile(
     r"(?<![\w.])(?P<ip>(?:\d{1,3}\.){3}\d{1,3})(?![\w])(?!\.\d)"
@@ -107,9 +107,11 @@ def mentions(text: str) -> list[dict]:
     found: dict[int, tuple[int, str, str]] = {}
     at = text.find("@")
     while at >= 0:
-        left, right = _LOCAL(text, max(0, at - 64), at), _DOMAIN(text, at)
-        if left and right:
-            found[left.start()] = (right.end(), "email", text[left.start() : right.end()].lower())
+        first, right = at, _DOMAIN(text, at)
+        while right and first and _LOCAL(text, first - 1):
+            first -= 1
+        if right and first < at:
+            found[first] = (right.end(), "email", text[first : right.end()].lower())
         at = text.find("@", at + 1)
     for one in _NUMBER(text):
         kind = one.lastgroup

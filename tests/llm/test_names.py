@@ -54,3 +54,11 @@ def test_late_draws_are_wider_forms_of_the_same_type(shown):
         assert new.replace(".", "").isdecimal() and pii._is_ip(new) if kind == "ip" else len(new) > len(shown)
     if kind == "card":
         assert all(map(pii._luhn, late))
+
+
+@pytest.mark.parametrize("n", [1, 64, 65, 70, 100_000])
+def test_addresses_are_found_from_their_first_character(n):
+    text = "to " + "a" * n + "@example.com, " + "b" * n
+    (found,) = pii.mentions(text)
+    assert (found["kind"], found["start"], found["end"]) == ("email", 3, 3 + n + len("@example.com"))
+    assert [one["kind"] for one in pii.mentions("@example.com x @ y a@b.org@c.org")] == ["email"]

@@ -286,7 +286,12 @@ def decode(tokens: DataFrame, vocabulary: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """``decode`` of ``encode`` in one pass: doc_id, n_tokens, ids, and the text that the ids stand for."""
+    """``decode`` of ``encode`` in one pass: doc_id, n_tokens, ids, and the text that the ids stand for.
+
+    A null or empty text has no ids and decodes to the empty text. Every row gives one,
+    null and repeated doc_ids too; extra columns are not read, and an empty table gives
+    an empty result.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

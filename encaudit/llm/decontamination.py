@@ -153,7 +153,12 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that are not contaminated."""
+    """The rows of ``docs``, with all their columns, that are not contaminated.
+
+    Null and empty texts have no words and stay, with a null doc_id too. Rows that
+    repeat doc_id and text all stay or all go. Columns other than these two are kept as
+    they are, whatever their names; an empty benchmark keeps every row.
+    """
     bad = contamination(docs, benchmark).where(is_contaminated()).select(
         F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash")
     )

@@ -276,6 +276,9 @@ def replace_entities(found: DataFrame, key: bytes) -> DataFrame:
 
     Returns doc_id, text_hash, text and replaced (kind, start and end in the old
     text, and the surrogate shown). Rows that repeat doc_id and text come out once.
+    Documents without mentions, null and empty texts among them, are left out, and an
+    empty table gives none. A null doc_id is a doc_id of its own. Extra columns are not
+    read.
     """
     named = found.where(F.size("mentions") > 0).dropDuplicates(["doc_id", "text_hash"])
     each = named.select("doc_id", "text_hash", F.inline("mentions"))
@@ -338,7 +341,12 @@ def with_surrogates(docs: DataFrame, key: bytes) -> DataFrame:
 
 
 def report(docs: DataFrame, key: bytes) -> DataFrame:
-    """One row per document: its mentions, what replaced them, and the text after that (null if it is the same)."""
+    """One row per document: its mentions, what replaced them, and the text after that (null if it is the same).
+
+    Null and empty texts have no mentions, an empty ``replaced`` and a null text. Rows
+    that repeat doc_id and text come out once, a null doc_id is a doc_id of its own,
+    extra columns are not read, and an empty table gives no rows.
+    """
     found = settle(find_entities(docs).dropDuplicates(["doc_id", "text_hash"]))
     new = replace_entities(found, key).select(
         F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "text", "replaced"

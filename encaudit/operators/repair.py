@@ -27,7 +27,7 @@ from encaudit.functions.charsets import (
 )
 from encaudit.functions.paths import extension
 from encaudit.functions.suggestions import sanitize_suggestion
-from encaudit.operators.findings import damaged_files, findings
+from encaudit.operators.findings import damaged_files, findings, with_lines
 from encaudit.operators.skew import PARTS, lookup_join
 from encaudit.session import settle
 
@@ -65,19 +65,25 @@ def rejected_suggestions(proposals: DataFrame, decisions: DataFrame) -> DataFram
 
 
 def repair_context(
-    found: DataFrame, rejected: DataFrame | None = None, reach: int | None = None
+    found: DataFrame,
+    rejected: DataFrame | None = None,
+    reach: int | None = None,
+    lines: DataFrame | None = None,
 ) -> DataFrame:
     """What a scorer needs to propose a character for each repairable finding.
 
-    ``found`` needs the line text (``with_lines``). ``request`` holds all of it as
-    one JSON object. ``reach`` cuts the line to so many characters on either side of
-    the damage; ``char_position`` then counts in the cut.
+    ``found`` needs the line text (``with_lines``), or ``lines`` gives it
+    (``damaged_lines``): then each line is shuffled once, not with all its findings.
+    ``request`` holds all of it as one JSON object. ``reach`` cuts the line to so many
+    characters on either side of the damage; ``char_position`` then counts in the cut.
     """
     places = repairable(found)
     if rejected is None:
         places = places.withColumn("rejected", F.lit(None).cast("array<string>"))
     else:
         places = places.join(rejected, PLACE, "left")
+    if lines is not None:
+        places = with_lines(places, lines.select("path", "line", "line_text"))
     none = F.lit("none")
     said = F.array_join(F.coalesce("rejected", F.array().cast("array<string>")), ", ")
     suffix = extension(F.col("path"))

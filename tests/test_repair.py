@@ -201,6 +201,20 @@ def test_repair_context_and_external_scorer(spark, make_files):
     assert answers == {"/a.c": "è", "/B": None}
 
 
+def test_repair_context_shuffles_each_line_once(spark, make_files):
+    """With ``lines`` the texts join last: rows of findings go through their shuffles without them."""
+    files = make_files([("/a.c", (f"ab{MARK}cd " * 20).encode() + b"\nno\n" + MARK.encode(), "utf-8")])
+    found, lines = findings(files), damaged_lines(files)
+    first = found.select(*steps.PLACE).withColumn("rank", F.lit(1))
+    made, said = first.withColumn("suggestion", F.lit("e")), first.withColumn("decision", F.lit("retry"))
+    rejected = steps.rejected_suggestions(made, said)
+    apart = steps.repair_context(found, rejected, lines=lines)
+    assert apart.count() == 21
+    assert apart.exceptAll(steps.repair_context(with_lines(found, lines), rejected)).count() == 0
+    last_join = apart._jdf.queryExecution().optimizedPlan().toString().split("Join ")[1].splitlines()[0]
+    assert "line#" in last_join
+
+
 def test_lookup_join_splits_a_hot_key(spark):
     rows = spark.range(3000).selectExpr("id", "IF(id % 3 = 0, 'hot', concat('k', id % 50)) AS key")
     lookup = spark.createDataFrame([("hot", 1), ("k1", 2), ("unused", 3)], "key string, value int")

@@ -33,7 +33,8 @@ _HIDDEN = "\xef\xbf\xbd"
 # Letters and marks make up a word; a damaged character may have been one.
 LETTER = r"[\p{L}\p{M}]"
 UP_TO_LAST_NOT_LETTER = r"(?s)\A.*[^\p{L}\p{M}]"
-DAMAGED_WORD = rf"{LETTER}*+{REPLACEMENT}[\p{{L}}\p{{M}}{REPLACEMENT}]*+"
+# A word is tried at its first letter only: the time stays linear in the text.
+DAMAGED_WORD = rf"(?<!{LETTER}){LETTER}*+{REPLACEMENT}[\p{{L}}\p{{M}}{REPLACEMENT}]*+"
 
 FINDING_FIELDS = [
     "finding_no",

@@ -26,12 +26,16 @@ def findings(files: DataFrame, with_word: bool = False) -> DataFrame:
     path = F.col("path")
     found = finding_array(F.col("content"), F.col("label"), extension(path), with_word)
     plan = decode_plan(F.col("content"), F.col("label"))
-    return damaged_files(files).select(
+    listed = damaged_files(files).select(
         "path",
         file_name(path).alias("file_name"),
         plan["write_charset"].alias("write_charset"),
-        F.inline(found),
+        found.alias("found"),
     )
+    # nothing above the generator reads the content, which would be copied for every finding;
+    # inline_outer with a filter, as a plain inline may compute the findings twice
+    rows = listed.select("path", "file_name", "write_charset", F.inline_outer("found"))
+    return rows.where(F.col("finding_no").isNotNull())
 
 
 def damaged_lines(files: DataFrame) -> DataFrame:

@@ -32,6 +32,8 @@ SEED = 42
 MAX_BUCKET = 256
 #: Characters hashed at a time.
 SLICE = 1 << 19
+#: Pairs of key and line that a bucket has on average at most, and that a task packs at a time.
+BUCKET_KEYS, PACKED_KEYS = 1 << 20, 1 << 19
 #: Ids of lines that a task remembers, so as not to repeat their bands.
 SEEN = 1 << 20
 
@@ -148,22 +150,82 @@ def _lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def _crowded(lines: DataFrame, max_bucket: int) -> DataFrame:
-    """key and line_id of buckets with several members, split into blocks of at most two parts."""
-    rows = lines.select("line_id", F.explode("bands").alias("key"))
-    ends = [F.min("line_id").alias("least"), F.max("line_id").alias("most")]
-    several = rows.groupBy("key").agg(*ends).where("least <> most").select("key")
-    sent = lines.sparkSession.sparkContext.broadcast(bitmap(several, "key"))
+def _shared_keys(lines: DataFrame) -> DataFrame:
+    """key and line_id, each pair once, of the keys that several different lines have.
 
-    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    The pairs go to buckets of keys as packed arrays, and a task sorts one bucket at a time.
+    """
+    banded = lines.where(F.size("bands") > 0).select("line_id", "bands")
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(parts, -(-banded.count() * BANDS // BUCKET_KEYS))
+
+    def packed(keys: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
+        flat, of = np.concatenate(keys), np.concatenate(ids)
+        with np.errstate(over="ignore"):
+            bucket = ((flat.view(np.uint64) * _BASE >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        bucket = bucket[order]
+        starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        ends = pa.py_buffer((np.r_[starts, len(bucket)] * 8).astype(np.int32).tobytes())
+        held = [pa.py_buffer(values[order].tobytes()) for values in (flat, of)]
+        columns = [pa.array(bucket[starts])]
+        columns += [pa.Array.from_buffers(pa.binary(), len(starts), [None, ends, one]) for one in held]
+        return pa.RecordBatch.from_arrays(columns, ["bucket", "keys", "ids"])
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, ids, size = [], [], 0
+        for batch in batches:
+            keys.append(batch.column(1).flatten().to_numpy())
+            ids.append(np.repeat(batch.column(0).to_numpy(), batch.column(1).value_lengths().to_numpy()))
+            size += len(keys[-1])
+            if size >= PACKED_KEYS:
+                yield packed(keys, ids)
+                keys, ids, size = [], [], 0
+        if size:
+            yield packed(keys, ids)
+
+    def of_several(keys: list[bytes], ids: list[bytes]) -> pa.RecordBatch:
+        flat, of = (np.frombuffer(b"".join(parts), np.int64) for parts in (keys, ids))
+        order = np.argsort(flat)
+        flat, of = flat[order], of[order]
+        same = np.r_[False, flat[1:] == flat[:-1], False]
+        often = np.flatnonzero(same[1:] | same[:-1])
+        flat, of = flat[often], of[often]
+        order = np.lexsort((of, flat))
+        flat, of = flat[order], of[order]
+        once = np.ones(len(flat), bool)
+        once[1:] = (flat[1:] != flat[:-1]) | (of[1:] != of[:-1])
+        flat, of = flat[once], of[once]
+        same = np.r_[False, flat[1:] == flat[:-1], False]
+        several = (same[1:] | same[:-1])[: len(flat)]
+        return pa.RecordBatch.from_arrays([pa.array(flat[several]), pa.array(of[several])], ["key", "line_id"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, keys, ids = None, [], []
         for batch in batches:
-            keys = batch.column(1).flatten().to_numpy()
-            ids = np.repeat(batch.column(0).to_numpy(), batch.column(1).value_lengths().to_numpy())
-            held = may_hold(sent.value, keys)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[held]), pa.array(ids[held])], ["key", "line_id"])
+            for at in range(batch.num_rows):
+                bucket, some_keys, some_ids = (column[at].as_py() for column in batch.columns)
+                if bucket != held:
+                    if keys:
+                        yield of_several(keys, ids)
+                    held, keys, ids = bucket, [], []
+                keys.append(some_keys)
+                ids.append(some_ids)
+        if keys:
+            yield of_several(keys, ids)
 
-    banded = lines.where(F.size("bands") > 0).select("line_id", "bands")
-    members = settle(banded.mapInArrow(chosen, "key long, line_id long").distinct())
+    return (
+        banded.mapInArrow(dealt, "bucket int, keys binary, ids binary")
+        .repartition(buckets, "bucket")
+        .sortWithinPartitions("bucket")
+        .mapInArrow(meet, "key long, line_id long")
+    )
+
+
+def _crowded(lines: DataFrame, max_bucket: int) -> DataFrame:
+    """key and line_id of buckets with several members, split into blocks of at most two parts."""
+    members = settle(_shared_keys(lines))
+    ends = [F.min("line_id").alias("least"), F.max("line_id").alias("most")]
     sums = [F.sum(F.hash("line_id", F.lit(k)).cast("long")).alias(f"sum_{k}") for k in range(2)]
     buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *ends, *sums).where("n > 1")
     alike = buckets.groupBy("n", "least", "most", "sum_0", "sum_1")

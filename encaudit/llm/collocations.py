@@ -38,6 +38,8 @@ SIDE = 1 << SIDE_BITS
 CELLS = SIDE * SIDE
 #: Tiles whose places along both sides (from 1 on) have at most this product are dense; ids are ranks, and cells thin out so.
 DENSE = 16
+#: Fewer entries of a tile in a chunk are sorted; an address for every cell would cost more than they do.
+FEW = CELLS >> 4
 #: Bytes of texts in the chunks that a task makes at a time.
 CHUNK_BYTES = 16 << 20
 #: Frequent pairs that a bucket has on average at most.
@@ -176,10 +178,17 @@ def _first_ids(texts: DataFrame, dictionary: DataFrame, words: DataFrame) -> Dat
 
 def _pairs(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """a, b and count of the different neighbours in a sequence, sorted."""
-    used, codes = np.unique(ids, return_inverse=True)
-    a, b = codes[:-1], codes[1:]
     beside = (ids[:-1] != GAP) & (ids[1:] != GAP)
-    keys, counts = np.unique(a[beside] * len(used) + b[beside], return_counts=True)
+    return _counted(ids[:-1][beside], ids[1:][beside])
+
+
+def _counted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different pairs, sorted, and how often each occurs."""
+    if not len(a) or max(int(a.max()), int(b.max())) < 1 << 31:
+        keys, counts = np.unique(a << 32 | b, return_counts=True)
+        return keys >> 32, keys & 0xFFFFFFFF, counts
+    used, codes = np.unique(np.concatenate([a, b]), return_inverse=True)
+    keys, counts = np.unique(codes[: len(a)] * len(used) + codes[len(a) :], return_counts=True)
     return used[keys // len(used)], used[keys % len(used)], counts
 
 
@@ -210,17 +219,23 @@ def _is_dense(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _dense_tiles(ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """tile, cells that occur and their counts, by direct addresses, for the dense tiles."""
+    """tile, cells that occur and their counts, for the dense tiles; by direct addresses where many cells are hit."""
     a, b = ids[:-1], ids[1:]
     kept = (a != GAP) & (b != GAP)
     kept[kept] = _is_dense(a[kept], b[kept])
     a, b = a[kept], b[kept]
     tiles = (a >> SIDE_BITS) << 32 | b >> SIDE_BITS
     cells = (a & SIDE - 1) << SIDE_BITS | b & SIDE - 1
-    for tile in np.unique(tiles).tolist():
-        counts = np.bincount(cells[tiles == tile], minlength=CELLS)
+    order = np.argsort(((tiles >> 32) * DENSE + (tiles & 0xFFFFFFFF)).astype(np.int16), kind="stable")  # both places are below DENSE
+    tiles, cells = tiles[order], cells[order]
+    cuts = np.flatnonzero(np.diff(tiles)) + 1
+    for first, end in zip(np.r_[0, cuts], np.r_[cuts, len(tiles)]) if len(tiles) else ():
+        if end - first < FEW:
+            yield int(tiles[first]), *np.unique(cells[first:end], return_counts=True)
+            continue
+        counts = np.bincount(cells[first:end], minlength=CELLS)
         found = np.flatnonzero(counts)
-        yield tile, found, counts[found]
+        yield int(tiles[first]), found, counts[found]
 
 
 def _added_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -270,9 +285,11 @@ def frequent_pairs(sequences: DataFrame, least: int, salts: int) -> DataFrame:
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids in batch.column(0):
-                a, b, counts = _pairs(_unpacked(ids.as_py()))
-                kept = ~_is_dense(a, b)
-                columns = [pa.array(values[kept]) for values in (a, b, counts)]
+                ids = _unpacked(ids.as_py())
+                a, b = ids[:-1], ids[1:]
+                kept = (a != GAP) & (b != GAP)
+                kept[kept] = ~_is_dense(a[kept], b[kept])
+                columns = [pa.array(values) for values in _counted(a[kept], b[kept])]
                 yield pa.RecordBatch.from_arrays(columns, ["a", "b", "n"])
 
     parts = sequences.select("chunk", "ids").mapInArrow(dense, types)

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from registry import corpus
 from registry.oracle import ORACLE
 from registry.queries import QUERIES
 
@@ -50,3 +51,12 @@ def test_query_matches_sql(spark, database, name):
 
 def test_entry(spark):
     assert entry(spark).limit(1).count() == 1
+
+
+@pytest.mark.parametrize("name", ["scan_totals", "remaining_findings"])
+def test_the_damaged_corpus_is_made_once(spark, monkeypatch, name):
+    made = []
+    plain = corpus.made_corpus
+    monkeypatch.setattr(corpus, "made_corpus", lambda *given, **named: made.append(1) or plain(*given, **named))
+    queries()[name](spark, SF_DIR)
+    assert len(made) == 1

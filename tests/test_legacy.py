@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from encaudit import audit
 from encaudit.functions.charsets import SINGLE_BYTE, detect_label, latin1_view
-from encaudit.functions.legacy import CANDIDATES, CODECS, LABELS, LATIN, ODD, ONLY_ODD, PREFERENCE, choice_of_counts, high_counts
+from encaudit.functions.legacy import (
+    _ODD_RUN, CANDIDATES, CODECS, LABELS, LATIN, ODD, ONLY_ODD, PREFERENCE, _listed, choice_of_counts, high_counts,
+)
+from registry import corpus
 
 RUSSIAN = "Маяк стоит на высоком берегу, и свет его виден далеко в море. Рыбаки возвращаются домой поздно вечером."
 GREEK = "Ο φάρος στέκεται στον ψηλό βράχο και το φως του φαίνεται μακριά στη θάλασσα κάθε νύχτα του χειμώνα."
@@ -211,3 +214,44 @@ def test_long_lines_are_kept_once(spark):
     done = audit(files, [".js"], with_string=True)
     assert done.findings.count() == 50_000
     assert done.lines.selectExpr("sum(length(line_text))").first()[0] == 50_000 * 7 + 2_000_000
+
+
+def test_every_part_of_a_label_is_in_the_plan_once(spark):
+    """Words are looked for in two patterns, and the candidates scored in one step, however often the results are read."""
+    files = spark.createDataFrame([(1, bytearray(RUSSIAN.encode("cp1251")))] * 2, "k int, content binary").repartition(2, "k")
+    plan = files.select(detect_label(F.col("content")).alias("l"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 2
+    assert plan.count("zip_with(") == 1
+
+
+def test_classes_one_by_one():
+    """Patterns rewritten for speed find the same."""
+    signs = "".join(map(chr, range(0x100)))
+    for pattern in (r"[A-Za-z\x80-\xff]", r"[^A-Za-z]", r"[\x40-\x7e\xa1-\xfe]{2}", r"[^ ]{3,}", r"[\x80-\xdf]"):
+        assert re.findall(_listed(pattern), signs) == re.findall(pattern, signs)
+    texts = [*map(str, OTHERS), *UNSURE, FRENCH.upper(), signs * 2]
+    for text in texts:
+        for codec in ("cp1251", "koi8-r", "latin-1", "cp850", "mac-roman", "cp866", "tis-620"):
+            shown = text.encode(codec, "replace").decode("latin-1")
+            assert sum(map(len, re.findall(_ODD_RUN, shown))) == len(re.findall(ODD, shown))
+
+
+def test_legacy_files_hold_the_text_in_the_charset(spark, tmp_path):
+    """As Python encodes it, with signs outside the letters, NUL and nulls; in every charset."""
+    texts = ["", "The Quick\x00 brown föx — 3 m²\n", "\x00\x00e\x00", "zjxq " * 50, None]
+    rows = [(k * len(corpus.LEGACY) + n, text) for k, text in enumerate(texts) for n in range(len(corpus.LEGACY))]
+    spark.createDataFrame([*rows, (None, "see")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = corpus.legacy_files(spark, str(tmp_path)).select("*", corpus.legacy_text().alias("shown")).collect()
+    assert len(found) == len(rows) + 1
+    given = dict([*rows, (None, "see")])
+    for row in found:
+        codec, letters = corpus.LEGACY.get(row["charset"], ("ascii", corpus.LETTERS))
+        text = given[row["doc_id"]]
+        if text is None:
+            assert row["shown"] is row["content"] is None
+            continue
+        plain = re.sub("[^\x00-\x7f]", "o", text.lower())
+        expected = plain.translate({ord(a): b for a, b in zip(corpus.LETTERS, letters)})
+        assert row["shown"] == expected
+        assert bytes(row["content"]) == b"".join(sign.encode("ascii" if sign < "\x80" else codec) for sign in expected)
+        assert row["long"] == (len(plain) >= corpus.LONG and len(set(plain) & set(corpus.LETTERS)) >= corpus.DIFFERENT)
